@@ -49,7 +49,7 @@ def components(edges: DataFrame, tables: Tables, name: str, finish: int = 20_000
         a, b = rounds[-1].toDF("u", "a"), rounds[-1].toDF("v", "b")
         left = tables.keep(left.join(a, "u").join(b, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), f"{name}-{k + 1}")
     spark = edges.sparkSession
-    found = left.groupBy(F.lit(0)).applyInPandas(_union_find, "node long, rep long") if n else spark.createDataFrame([], "node long, rep long")
+    found = left.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_union_find, "node long, rep long") if n else spark.createDataFrame([], "node long, rep long")
     for reps in reversed(rounds):
         nxt = found.toDF("rep", "to")
         found = reps.join(nxt, "rep", "left").select("node", F.coalesce("to", "rep").alias("rep"))
