@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -92,6 +93,11 @@ class Tables:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Lets go of the shuffle files of finished steps, which otherwise stay until the driver's memory runs low."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, names: Iterable[str]) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:

@@ -6,16 +6,98 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import language_id, license_scan, secret_scan, sentencepiece_lattice
 from .common import table
+from .decontamination import contaminated
 from .jaccard_join import jaccard_components
+from .quality_rules import quality_rules
+from .substring_dedup import substring_dedup
+from .url_filter import url_filter
+from .warc import archive_pages
+
+#: A vocabulary file of the BPE kind; a parameter of the operator.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    return secret_scan.findings(table(spark, sf_dir, "documents"), forest)
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"), window=13, full=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), MODEL_FILE, full=False).drop("ids")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
-}
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_substring_dedup, op3_ngram_jaccard_join, op4_warc, op5_url_filter,
+        op6_license_scan, op7_decontamination, op8_language_id, op9_sentencepiece, op10_quality_rules,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": f"""
+        with w as (select doc_id, {_WORDS} ws from documents),
+        win as (select doc_id, i, array_to_string(ws[i : i + 12], ' ') k from (select doc_id, ws, unnest(generate_series(1, len(ws) - 12)) i from w)),
+        first as (select k, min(doc_id) f from win group by k),
+        gone as (select distinct doc_id, i + d j from win join first using (k), unnest(generate_series(0, 12)) t(d) where f < doc_id),
+        word as (select doc_id, unnest(generate_series(1, len(ws))) j, unnest(ws) x from w),
+        kept as (select doc_id, string_agg(x, ' ' order by j) t, count(*) n from word anti join gone using (doc_id, j) group by doc_id)
+        select doc_id, len(ws)::bigint n_words, len(ws)::bigint - coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from w left join kept using (doc_id)""",
+    "op4_warc": """
+        with p as (select page_id, coalesce(html, '') t from pages),
+        d as (select page_id, strlen(t)::bigint b, sha1(t) h from p),
+        g as (select *, case when b >= 1000 then max(page_id) over (partition by h, b) else page_id end m from d)
+        select page_id, b payload_bytes, h payload_digest, case when page_id < m then 'revisit' else 'response' end record_type, case when page_id < m then m end refers_to from g""",
+    "op5_url_filter": r"""
+        with recursive u as (select page_id, url, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+            coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path from pages),
+        rules(rule, host, path, action) as (values ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+        edge as (select regexp_replace(url, '(?s)#.*', '') a, regexp_replace(regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), '(?s)#.*', '') b from u where html ilike '%canonical%'),
+        node as (select regexp_replace(url, '(?s)#.*', '') x from u union select b from edge where b <> ''),
+        reach(x, y) as (select x, x from node union select r.x, case when e.a = r.y then e.b else e.a end from reach r join edge e on (e.a = r.y or e.b = r.y) where e.b <> ''),
+        judged as (select x, (select r.action from rules r where (h = r.host or h like '%.' || r.host) and starts_with(p, r.path) order by length(r.rule) desc limit 1) action
+            from (select x, lower(regexp_extract(x, '(?s)^.*?://([^/?#]*)', 1)) h, regexp_extract(x, '(?s)^.*?://[^/?#]*([^?#]*)', 1) p from node)),
+        hit as (select distinct r.x from reach r join judged j on j.x = r.y where j.action = 'block' and r.x <> r.y)
+        select u.page_id, u.host, u.path, b.rule, coalesce(b.action, case when hit.x is not null then 'block' else 'allow' end) verdict
+        from u left join (select u.page_id, max_by(r.rule, length(r.rule)) rule, max_by(r.action, length(r.rule)) action from u join rules r on (u.host = r.host or u.host like '%.' || r.host) and starts_with(u.path, r.path) group by 1) b using (page_id)
+        left join hit on hit.x = regexp_replace(u.url, '(?s)#.*', '')""",
+}
