@@ -16,7 +16,7 @@ Equal sets are one class, found by a combining aggregate, so copies are never pa
 bucket (the classes with one prefix token of order 1) every class is first tried against the bucket's
 least class only, which is linear and joins most near copies. Then only pairs that lie in *different*
 components are still of interest; they are enumerated block by block inside tasks, pruned by size and
-by a 256-bit parity sketch (its Hamming distance never exceeds the symmetric difference), and go
+by parity sketches (their Hamming distance never exceeds the symmetric difference), and go
 through the filters and the exact comparison. No link between different components is lost; links
 inside a component change nothing.
 
@@ -112,8 +112,8 @@ class Orders:
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """256 bits: for each, whether an odd number of elements falls on it."""
-    bits = np.bincount((mix(s, 7) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    """1024 bits: for each, whether an odd number of elements falls on it."""
+    bits = np.bincount((mix(s, 7) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
     return np.packbits(bits.astype(np.uint8))
 
 
@@ -208,49 +208,73 @@ def _sketch(k: int):
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _rounds(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, list]]:
-    """Rows that are sorted by their group, a whole group at a time (each holds at most two blocks)."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows that are sorted by their group, in tables of whole groups, with the number of each row's group."""
     rest: pa.Table | None = None
+
+    def numbered(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        for c in names:
+            x = t.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return new.cumsum()
+
     for b in batches:
         t = pa.Table.from_batches([b])
-        t = pa.concat_tables([rest, t]) if rest is not None else t
-        if not t.num_rows:
-            continue
-        cols = [t.column(c).to_numpy() for c in names]
-        new = np.zeros(t.num_rows, bool)
-        for c in cols:
-            new[1:] |= c[1:] != c[:-1]
-        starts = np.concatenate([[0], np.flatnonzero(new)])
-        for i, j in zip(starts[:-1], starts[1:], strict=True):
-            yield t.slice(i, j - i)
-        rest = t.slice(starts[-1]).combine_chunks()
+        t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
+        if t.num_rows:
+            g = numbered(t)
+            last = int(np.searchsorted(g, g[-1]))
+            if last:
+                yield t.slice(0, last), g[:last]
+            rest = t.slice(last)
     if rest is not None and rest.num_rows:
-        yield rest
+        yield rest, numbered(rest)
+
+
+#: Groups up to this size are compared all at once, by shifts of the whole table.
+SMALL = 24
 
 
 def _cross(percent: int):
     """Candidate pairs of a bucket, or of two of its blocks, that lie in different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _rounds(batches, ["token", "x", "y"]):
-            key, n, comp, block = (t.column(c).to_numpy() for c in ("key", "n", "comp", "block"))
-            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, 4)
-            x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
-            left, right = (np.flatnonzero(block == x), np.flatnonzero(block == y))
-            for start in range(0, len(left), 256):
-                i = left[start : start + 256][:, None]
-                j = right[None, :]
-                ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-                if x == y:
-                    ok &= key[i] < key[j]
-                i, j = (g[ok] for g in np.broadcast_arrays(i, j))
+        for t, g in _whole_groups(batches, ["token", "x", "y"]):
+            key, n, comp, block, x, y = (t.column(c).to_numpy() for c in ("key", "n", "comp", "block", "x", "y"))
+            n = n.astype(np.int64)
+            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, 16)
+            folded = np.bitwise_xor.reduce(bits.reshape(-1, 4, 4), axis=1)  # the same for 256 bits
+
+            def near(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+                # Of two blocks, only pairs across; of one, each pair once.
+                ok = (comp[i] != comp[j]) & (key[i] != key[j]) & ((x[i] == y[i]) | (block[i] != block[j]))
+                ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                i, j = i[ok], j[ok]
                 # With n1 + n2 = m, |A & B| >= t m / (1 + t), so the symmetric difference is m (1 - t) / (1 + t) at most.
-                far = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-                near = far * (100 + percent) <= (n[i].astype(np.int64) + n[j]) * (100 - percent)
-                i, j = i[near], j[near]
+                for sketch in (folded, bits):
+                    far = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+                    ok = far * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+                    i, j = i[ok], j[ok]
                 if len(i):
                     yield batch(_PAIRS, np.minimum(key[i], key[j]), np.maximum(key[i], key[j]))
 
+            sizes = np.bincount(g)
+            small = sizes[g] <= SMALL
+            rows = np.arange(len(g))
+            for shift in range(1, min(SMALL, len(g))):
+                i = rows[:-shift][(g[:-shift] == g[shift:]) & small[:-shift]]
+                if not len(i):
+                    break
+                yield from near(i, i + shift)
+            ends = sizes.cumsum()
+            for k in np.flatnonzero(sizes > SMALL):
+                own = rows[ends[k] - sizes[k] : ends[k]]
+                for start in range(0, len(own), 256):
+                    i, j = np.broadcast_arrays(own[start : start + 256, None], own[None, :])
+                    later = i < j
+                    yield from near(i[later], j[later])
+
     return run
 
 
