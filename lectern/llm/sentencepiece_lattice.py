@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -112,6 +112,11 @@ def _fallback(char: Column, vocabulary: Vocabulary) -> Column:
     return F.transform(F.sequence(F.lit(0), F.octet_length(char) - 1), lambda b: (F.conv(F.substring(code, b * 2 + 1, F.lit(2)), 16, 10).cast("int") + first))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 #: Key of an edge in a chunk: its start (from 0) times this, plus its length.
 _WIDE = 256
 
@@ -132,18 +137,24 @@ def _bpe_fold(word: Column, edges: Column, vocabulary: Vocabulary) -> Column:
         def union(k: Column) -> Column:
             return F.struct(F.try_element_at(edges, _key(F.get(s, k), F.get(s, k + 2) - F.get(s, k)))["score"].alias("score"), (-k).alias("at"))
 
-        best = F.array_max(F.transform(F.sequence(F.lit(0), F.size(s) - 3), union))
-        merged = F.filter(s, lambda _, i: i != 1 - best["at"])
-        next_state = F.struct(F.when(best["score"].isNull(), s).otherwise(merged).alias("starts"), (best["score"].isNull() | (F.size(s) <= 3)).alias("done"))
-        return F.when(state["done"] | (F.size(s) < 3), state).otherwise(next_state).cast(step_type)
+        def next_state(best: Column) -> Column:
+            merged = F.filter(s, lambda _, i: i != 1 - best["at"])
+            return F.when(best["score"].isNull(), F.struct(s.alias("starts"), F.lit(True).alias("done"))).otherwise(F.struct(merged.alias("starts"), F.lit(False).alias("done")))
+
+        found = _let(F.array_max(F.transform(F.sequence(F.lit(0), F.size(s) - 3), union)), next_state)
+        return F.when(state["done"] | (F.size(s) < 3), state).otherwise(found).cast(step_type)
 
     final = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, merge)["starts"]
-    return F.transform(F.array(final), lambda s: F.flatten(F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda k: _ids(word, edges, F.get(s, k), F.get(s, k + 1), vocabulary))))[0]
+    return _let(final, lambda s: _spelled(word, edges, s, vocabulary))
+
+
+def _spelled(word: Column, edges: Column, starts: Column, vocabulary: Vocabulary) -> Column:
+    """The ids of the symbols between starts (the last is the end)."""
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(starts) - 2), lambda k: _ids(word, edges, F.get(starts, k), F.get(starts, k + 1), vocabulary)))
 
 
 def _ids(word: Column, edges: Column, start: Column, end: Column, vocabulary: Vocabulary) -> Column:
-    found = F.try_element_at(edges, _key(start, end - start))
-    return F.when(found.isNotNull(), F.array(found["id"])).otherwise(_fallback(F.substring(word, start + 1, F.lit(1)), vocabulary))
+    return _let(F.try_element_at(edges, _key(start, end - start))["id"], lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(_fallback(F.substring(word, start + 1, F.lit(1)), vocabulary)))
 
 
 def _viterbi_fold(word: Column, edges: Column, vocabulary: Vocabulary) -> Column:
@@ -159,8 +170,8 @@ def _viterbi_fold(word: Column, edges: Column, vocabulary: Vocabulary) -> Column
             score = F.get(cells, j - length)["score"] + F.coalesce(own, F.when(length == 1, F.lit(float(lost))))
             return F.struct(score.alias("score"), (-(j - length)).alias("back"))
 
-        best = F.array_max(F.filter(F.transform(F.sequence(F.lit(1), F.least(j, F.lit(vocabulary.longest))), path), lambda p: p["score"].isNotNull()))
-        return F.concat(cells, F.array(F.struct(best["score"].alias("score"), (-best["back"]).alias("start")).cast(cell)))
+        paths = F.filter(F.transform(F.sequence(F.lit(1), F.least(j, F.lit(vocabulary.longest))), path), lambda p: p["score"].isNotNull())
+        return F.concat(cells, F.array(_let(F.array_max(paths), lambda best: F.struct(best["score"].alias("score"), (-best["back"]).alias("start")).cast(cell))))
 
     cells = F.aggregate(F.sequence(F.lit(1), n), first, step)
 
@@ -170,8 +181,7 @@ def _viterbi_fold(word: Column, edges: Column, vocabulary: Vocabulary) -> Column
 
         return F.aggregate(F.sequence(F.lit(1), n), F.array(n), walk)
 
-    ends = F.transform(F.array(cells), back)[0]
-    return F.transform(F.array(ends), lambda s: F.flatten(F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda k: _ids(word, edges, F.get(s, k), F.get(s, k + 1), vocabulary))))[0]
+    return _let(_let(cells, back), lambda starts: _spelled(word, edges, starts, vocabulary))
 
 
 def merge_long(word: str, ranks: dict[str, tuple[int, float]], vocabulary: Vocabulary) -> list[int]:
@@ -272,7 +282,7 @@ def lattice_ids(chunks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     grouped = matched.groupBy("chunk").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", F.struct("id", "score").alias("edge")))).alias("e"))
     grouped = grouped.withColumn("edges", F.map_from_entries("e"))
     fold = _bpe_fold if vocabulary.bpe else _viterbi_fold
-    out = grouped.select("chunk", F.transform(F.array("edges"), lambda e: fold(F.col("chunk"), e, vocabulary))[0].alias("ids"))
+    out = grouped.select("chunk", _let(F.col("edges"), lambda e: fold(F.col("chunk"), e, vocabulary)).alias("ids"))
     shared = spark.sparkContext.broadcast(vocabulary)
     return out.unionByName(chunks.where(F.length("chunk") > LONG).mapInArrow(_long_chunks(shared), "chunk string, ids array<int>"))
 
