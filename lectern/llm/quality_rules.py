@@ -22,8 +22,8 @@ from .common import Tables, batch
 #: Measure -> (bin as SQL, tolerance above the upper quartile, tolerance below the lower one or None), all in bins.
 MEASURES = {
     "symbols": ("1000 * n_symbols div word_chars", 50, None),
-    "lines": ("1000 * n_dup_lines div n_lines", 200, None),
-    "repeats": ("1000 * n_repeat_words div n_words", 150, None),
+    "lines": ("1000 * n_dup_lines div n_lines", 400, None),
+    "repeats": ("1000 * n_repeat_words div n_words", 300, None),
     "length": ("least(10 * word_chars div n_words, 1000)", 10, 10),
 }
 SPREAD = 3
