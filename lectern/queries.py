@@ -565,3 +565,131 @@ def top_per_group(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
 @query("select c_nationkey, c_custkey, place from (select *, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) place from customer) where place <= 5")
 def topk_per_group(spark, sf_dir):
     return top_per_group(T(spark, sf_dir).customer, "c_nationkey", [F.desc("c_acctbal"), "c_custkey"], 5).select("c_nationkey", "c_custkey", "place")
+
+
+# Filters, paging, documents of several fields
+
+
+@query("select event_id, (props->>'$.k')::int k from events where (props->>'$.k')::int >= 90")
+def json_attribute(spark, sf_dir):
+    props = F.from_json("props", "k int")
+    return T(spark, sf_dir).events.select("event_id", props["k"].alias("k")).where("k >= 90")
+
+
+@query("select n_nationkey, count(*) n from nation join customer on (n_nationkey % 3 = 0 or c_custkey >= n_nationkey * 10) and (n_nationkey % 4 = 0 or c_custkey <= n_nationkey * 50) where c_custkey < 1000 group by 1")
+def open_ranges(spark, sf_dir):
+    """Ranges whose ends may be open (null): points are held to the ends there are."""
+    t = T(spark, sf_dir)
+    spans = t.nation.select("n_nationkey", F.expr("if(n_nationkey % 3 = 0, 0, n_nationkey * 10)").alias("a"), F.expr("if(n_nationkey % 4 = 0, 999, n_nationkey * 50)").alias("b"))
+    points = t.customer.where("c_custkey < 1000").select(F.col("c_custkey").alias("p"))
+    return ranges.point_join(points, "p", spans, "a", "b", 100).groupBy("n_nationkey").agg(F.count("*").alias("n"))
+
+
+@query("select p_partkey, p_name from part where starts_with(p_name, 'Part#') and p_name like '%1\\%%' escape '\\' or p_brand like 'Brand#1_'")
+def like_patterns(spark, sf_dir):
+    part = T(spark, sf_dir).part
+    return part.where((F.col("p_name").startswith("Part#") & F.col("p_name").contains("1%")) | F.col("p_brand").like("Brand#1_")).select("p_partkey", "p_name")
+
+
+@query("select o_orderkey, o_totalprice from orders where (o_totalprice, o_orderkey) < (300000.0, 100) order by o_totalprice desc, o_orderkey desc limit 25")
+def keyset_page(spark, sf_dir):
+    """The page after a known row: no rows before it are counted."""
+    o = T(spark, sf_dir).orders.select("o_orderkey", "o_totalprice")
+    after = (F.col("o_totalprice") < 300000.0) | ((F.col("o_totalprice") == 300000.0) & (F.col("o_orderkey") < 100))
+    return o.where(after).orderBy(F.desc("o_totalprice"), F.desc("o_orderkey")).limit(25)
+
+
+@query("select s_suppkey, (select count(*) from lineitem where l_suppkey = s_suppkey) n, coalesce((select max(l_quantity) from lineitem where l_suppkey = s_suppkey and l_returnflag = 'R'), -1.0) most from supplier")
+def scalar_subqueries(spark, sf_dir):
+    t = T(spark, sf_dir)
+    per = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.max(F.expr("if(l_returnflag = 'R', l_quantity, null)")).alias("m"))
+    return t.supplier.join(per, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("m", F.lit(-1.0)).alias("most"))
+
+
+_FIELDS_SQL = r"""with f as (select doc_id, 'head' field, regexp_extract_all(lower(substr(text, 1, 80)), '[\p{L}\p{N}]+') ts from documents union all select doc_id, 'body', regexp_extract_all(lower(text), '[\p{L}\p{N}]+') from documents),
+    tf as (select doc_id, sum(case field when 'head' then 5.0 else 1.0 end * len(list_filter(ts, lambda x: x = 'the'))) tf, sum(len(ts)) dl from f group by 1),
+    st as (select count(*) n, avg(dl) m, count(case when tf > 0 then 1 end) d from tf)
+    select doc_id, round(-(greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / m))), 9) score from tf, st where tf > 0 order by score, doc_id limit 20"""
+
+
+@query(_FIELDS_SQL)
+def bm25_fields(spark, sf_dir):
+    """Ranking with field weights: a hit in the head counts five times."""
+    docs = T(spark, sf_dir).documents.select("doc_id", tx.tokens(F.substring("text", 1, 80)).alias("head"), tx.tokens(F.col("text")).alias("body"))
+    hits = lambda c: F.size(F.filter(c, lambda x: x == "the"))
+    rows = docs.select("doc_id", (hits("head") * 5.0 + hits("body")).alias("tf"), (F.size("head") + F.size("body")).alias("dl"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("m"), F.count_if(F.col("tf") > 0).alias("d")).withColumn("one", F.lit(1))
+    scored = rows.where("tf > 0").withColumn("one", F.lit(1)).join(stats, "one")
+    idf = F.greatest(F.log((F.col("n") - F.col("d") + 0.5) / (F.col("d") + 0.5)), F.lit(ft.LEAST_IDF))
+    score = F.round(-(idf * F.col("tf") * (ft.K1 + 1) / (F.col("tf") + ft.K1 * (1 - ft.B + ft.B * F.col("dl") / F.col("m")))), 9)
+    return scored.select("doc_id", score.alias("score")).orderBy("score", "doc_id").limit(20)
+
+
+@query("select conv_id, count(*) turns, sum(strlen(text))::bigint bytes, string_agg(role, ',' order by turn) roles from conversations group by 1")
+def conversation_outline(spark, sf_dir):
+    c = T(spark, sf_dir).conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("r"))
+    return c.select("conv_id", "turns", "bytes", F.array_join(F.col("r.role"), ",").alias("roles"))
+
+
+@query("select doc_id, instr(lower(text), 'the') first, len(regexp_extract_all(lower(text), 'the'))::bigint n from documents where contains(lower(text), 'the')")
+def find_in_page(spark, sf_dir):
+    docs = T(spark, sf_dir).documents.where(F.lower("text").contains("the"))
+    return docs.select("doc_id", F.instr(F.lower("text"), "the").cast("long").alias("first"), F.size(F.regexp_extract_all(F.lower("text"), F.lit("(the)"), F.lit(1))).cast("long").alias("n"))
+
+
+@query("select o_orderkey, case when d < date '1996-06-01' then 'overdue' when d = date '1996-06-01' then 'today' else 'ahead' end state from (select o_orderkey, o_orderdate::date d from orders) where o_orderkey % 7 = 0")
+def due_states(spark, sf_dir):
+    day, today = F.to_date("o_orderdate"), F.to_date(F.lit("1996-06-01"))
+    state = F.when(day < today, "overdue").when(day == today, "today").otherwise("ahead")
+    return T(spark, sf_dir).orders.where("o_orderkey % 7 = 0").select("o_orderkey", state.alias("state"))
+
+
+@query("""with done as (select l_orderkey k, min(case when l_returnflag = 'N' then l_linenumber end) stop, max(l_linenumber) top from lineitem group by 1) select k as l_orderkey, coalesce(stop, top + 1) - 1 streak from done""")
+def completed_prefix(spark, sf_dir):
+    """The unbroken run of finished days from the first: up to the day before the first that is open."""
+    per = T(spark, sf_dir).lineitem.groupBy("l_orderkey").agg(F.min(F.expr("if(l_returnflag = 'N', l_linenumber, null)")).alias("stop"), F.max("l_linenumber").alias("top"))
+    return per.select("l_orderkey", (F.coalesce("stop", F.col("top") + 1) - 1).alias("streak"))
+
+
+@query("select event_id, round(year(ts) + (dayofyear(ts) - 1) / 365.0, 6) y from events where event_id % 100 = 0 and year(ts) % 4 <> 0 union all select event_id, round(year(ts) + (dayofyear(ts) - 1) / 366.0, 6) from events where event_id % 100 = 0 and year(ts) % 4 = 0")
+def fractional_years(spark, sf_dir):
+    days = F.expr("if(year(ts) % 4 = 0, 366.0D, 365.0D)")
+    return T(spark, sf_dir).events.where("event_id % 100 = 0").select("event_id", F.round(F.year("ts") + (F.dayofyear("ts") - 1) / days, 6).alias("y"))
+
+
+@query("select l_orderkey, l_linenumber, last_value(a ignore nulls) over (partition by l_orderkey order by l_linenumber) before, first_value(a ignore nulls) over (partition by l_orderkey order by l_linenumber rows between current row and unbounded following) as after from (select distinct l_orderkey, l_linenumber, case when l_linenumber % 3 = 1 then l_linenumber end a from lineitem where l_orderkey % 25 = 0)")
+def nearest_anchor(spark, sf_dir):
+    """The nearest anchored word before and after each word."""
+    rows = T(spark, sf_dir).lineitem.where("l_orderkey % 25 = 0").select("l_orderkey", "l_linenumber").distinct().withColumn("a", F.expr("if(l_linenumber % 3 = 1, l_linenumber, null)"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    return rows.select("l_orderkey", "l_linenumber", F.last("a", True).over(w).alias("before"), F.first("a", True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("after"))
+
+
+@query("select o_orderkey from orders where o_orderstatus = 'F' and o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
+def cascade_delete(spark, sf_dir):
+    """Rows that go with their parents."""
+    t = T(spark, sf_dir)
+    gone = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return t.orders.where("o_orderstatus = 'F'").join(gone, "o_custkey", "left_semi").select("o_orderkey")
+
+
+@query("select 'line without order' as problem, count(*) n from lineitem anti join orders on o_orderkey = l_orderkey union all select 'order without customer', count(*) from orders anti join customer on c_custkey = o_custkey union all select 'label without document', count(*) from labels anti join documents using (doc_id)")
+def integrity_check(spark, sf_dir):
+    """Constraint checks as counts of violations."""
+    t = T(spark, sf_dir)
+    tests = {
+        "line without order": t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti"),
+        "order without customer": t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left_anti"),
+        "label without document": t.labels.join(t.documents, "doc_id", "left_anti"),
+    }
+    out = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n") for name, df in tests.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(r"""select token, n from (select token, count(*) n from (select unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) token from documents) group by 1) where token in ('the', 'thes', 'theing', 'thed') or (starts_with(token, 'the') and substr(token, 4) in ('s', 'es', 'ed', 'ing', 'eth', 'est'))""")
+def headword_forms(spark, sf_dir):
+    """A headword with the inflected forms that the corpus has."""
+    from .functions.dictionary import inflections
+
+    vocab = index_of(spark, sf_dir).vocabulary()
+    return vocab.where(F.col("token").isin([*inflections("the"), "the", "thes", "theing", "thed"])).select("token", "n")

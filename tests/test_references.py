@@ -36,3 +36,11 @@ def test_small_kernels():
     assert book("II Sam.") == 10 and book("nowhere") is None
     assert [stem(w) for w in ("caresses", "ponies", "relational", "hopping", "falling", "happy", "generalizations", "sky")] == ["caress", "poni", "relat", "hop", "fall", "happi", "gener", "sky"]
     assert bare_letters("Λόγος") == "λογοσ" and bare_letters(None) is None
+
+
+def test_headwords():
+    from lectern.functions.dictionary import headword, inflections
+
+    known = {"love", "stop", "city", "have", "run", "speak"}
+    assert [headword(w, known) for w in ("loveth", "stopped", "cities", "hath", "Running", "spake", "zzz")] == ["love", "stop", "city", "have", "run", "speak", None]
+    assert "loveing" in inflections("love")
