@@ -27,6 +27,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"), window=13, full=False)
+    # longest_repeat stays in the operator: SQL has no equal of its sampled levels.
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

@@ -4,8 +4,9 @@ A window of ``w`` words can only repeat if the windows of half its length inside
 therefore looks at windows of ceil(w / 2) words, and only at one of those inside each long window: the
 one of least hash, which equal long windows share. That is a quarter of all positions. Windows
 that occur in two documents survive; only they are extended to the full length, which settles what is
-removed. ``longest=True`` goes on: windows that repeat are extended to twice their length, of which
-every other one (by its hash) is kept as a sample, until no candidate survives.
+removed. Windows that repeat at that length are extended to twice, four times ... the length until no
+candidate survives, which tells how long the repeats of a document are; as nothing more is removed by
+that, these levels look at a sample of starts (chosen by hash, alike in all documents; one in eight, then half as many at each level).
 
 Counts combine before each shuffle (least and greatest document of a window), so a passage in a third
 of all documents costs no more than its occurrences; joins on windows are plain equi-joins, whose
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
@@ -25,9 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, batch, signed, text_bytes, window_hashes, word_hashes
+from .common import Tables, batch, mix, signed, text_bytes, window_hashes, word_hashes
 
 _ROWS = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64())])
+_GROWN = pa.schema([("level", pa.int8()), ("half", pa.int64()), *_ROWS])
+#: Of the starts of repeated windows, one in so many is extended further.
+SAMPLE = 8
 
 
 def anchors(h: np.ndarray, window: int) -> np.ndarray:
@@ -62,46 +67,42 @@ def _as_hashes(x: pa.Array) -> list[np.ndarray]:
     return np.split(flat, ends[:-1])
 
 
-def _level_two(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for t, halves in zip(b.column("text").to_pylist(), _as_hashes(b.column("hashes")), strict=True):
-                h = word_hashes(t.split())
-                found.append(np.unique(window_hashes(h, window, 2)[np.isin(anchors(h, window), halves)]))
-            yield from _emit(b.column("doc_id").to_pylist(), found)
+def _levels(h: np.ndarray, window: int, halves: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(level, hashes of half that length at the same starts, hashes) of the windows whose half repeats; level 0 is the whole window, each next one twice as long."""
+    full = window_hashes(h, window, 2)
+    at = np.flatnonzero(np.isin(anchors(h, window), halves))
+    base = np.unique(full[at])
+    yield 0, np.zeros(len(base), np.uint64), base
+    level, size, rate = 0, window, SAMPLE
+    while len(full) > size and len(at):
+        longer = window_hashes(np.stack([full[:-size], full[size:]], 1).ravel(), 2, 3 + level)[::2]
+        at = at[(at < len(longer))]
+        at = at[(window_bits(h, window, at) % np.uint64(rate)) == 0]
+        level, size, rate = level + 1, size * 2, rate * 2
+        if len(at):
+            yield level, full[at], longer[at]
+        full = longer
 
-    return run
 
+def window_bits(h: np.ndarray, window: int, at: np.ndarray) -> np.ndarray:
+    """Bits by which starts are sampled: the same wherever the same words follow."""
+    return mix(h[at] ^ h[at + window - 1], 9) >> np.uint64(8)
 
-def _extend(window: int, level: int):
-    """Windows of window * 2**level words at the starts of surviving windows of half that length, every other one by its base hash."""
 
+def _level_two(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = window << level
         for b in batches:
-            for doc, t, own in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), _as_hashes(b.column("hashes")), strict=True):
-                h = word_hashes(t.split())
-                if len(h) < size:
-                    continue
-                base = window_hashes(h, window, 2)
-                ok = (base >> np.uint64(8)) % np.uint64(1 << level) == 0
-                before = _power(base, window, level - 1)
-                at = np.flatnonzero(ok[: len(h) - size + 1] & np.isin(before[: len(h) - size + 1], own))
-                grown = np.unique(_power(base, window, level)[at])
-                yield from _emit([doc], [grown])
+            found: list[tuple] = []
+            for doc, t, halves in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), _as_hashes(b.column("hashes")), strict=True):
+                found += ((doc, *x) for x in _levels(word_hashes(t.split()), window, halves))
+            if found:
+                sizes = [len(x[3]) for x in found]
+                yield batch(_GROWN, np.repeat(np.array([x[1] for x in found], np.int8), sizes), signed(np.concatenate([x[2] for x in found])), signed(np.concatenate([x[3] for x in found])), np.repeat(np.array([x[0] for x in found], np.int64), sizes))
 
     return run
 
 
-def _power(base: np.ndarray, window: int, level: int) -> np.ndarray:
-    """Hashes of windows of window * 2**level words by doubling those of window words."""
-    for i in range(level):
-        base = window_hashes(np.stack([base[: -(window << i)], base[window << i :]], 1).ravel(), 2, 3 + i)[::2] if len(base) > window << i else base[:0]
-    return base
-
-
-_KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+_KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("longest_repeat", pa.int64())])
 
 
 def covered(h: np.ndarray, window: int, repeated: np.ndarray) -> np.ndarray:
@@ -129,20 +130,20 @@ def _apply(window: int, full: bool):
                 kept = b" ".join(words)
                 for r, v in zip(rows, (n, gone, hashlib.sha256(kept).hexdigest(), kept if full else None, spans if full else None), strict=True):
                     r.append(v)
-            yield batch(_KEPT, b.column("doc_id"), *rows)
+            yield batch(_KEPT, b.column("doc_id"), *rows, b.column("longest_repeat"))
 
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, full: bool = True, longest: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, full: bool = True) -> DataFrame:
     """Per row of docs (doc_id, text; other columns are ignored): what is left once repeated passages go.
 
     Words are runs of other than ASCII white space, unchanged. A word goes if a window of ``window``
     words over it also starts in a document with a smaller doc_id; windows are judged on the input.
-    Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by spaces) and, if full,
-    the kept words as bytes and the removed spans (word numbers, the end not included), otherwise
-    nulls there; with longest also longest_repeat: the longest level (window, twice, four times ...)
-    of which the document holds a sampled window that repeats (null: none).
+    Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by spaces), if full the
+    kept words as bytes and the removed spans (word numbers, the end not included), otherwise nulls
+    there, and longest_repeat: the longest level (window, twice, four times ...) of which the document
+    holds a window that occurs in another one (null: none; beyond the first level a sample of starts is looked at).
 
     A null text has no words. A null doc_id is smaller and greater than none: nothing goes from such a
     row, and nothing because of it. Rows that share a doc_id do not make one another's windows go, but
@@ -153,33 +154,33 @@ def substring_dedup(docs: DataFrame, window: int = 13, full: bool = True, longes
     source = text_bytes(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id")
     usable = source.where("doc_id is not null and text is not null")
 
-    def repeated(rows: DataFrame, name: str, later: bool) -> DataFrame:
-        """The windows of each document that occur in two documents; if later, in one with a smaller id."""
-        twice = rows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-        hits = rows.join(twice.select("hash", "first"), "hash")
-        if later:
-            hits = hits.where("doc_id > first")
-        return tables.keep(hits.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")), name)
+    def twice(rows: DataFrame, name: str) -> DataFrame:
+        """Windows that occur in two documents, and the first of these."""
+        return tables.keep(rows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first"), name)
 
-    halves = tables.keep(usable.mapInArrow(_level_one(window), "hash long, doc_id long"), "windows-1")
-    found = repeated(halves, "repeated-1", later=False)
+    halves = tables.keep(usable.mapInArrow(_level_one(window), "hash long, doc_id long"), "windows-half")
+    found = tables.keep(halves.join(twice(halves, "twice-half"), "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")), "found-half")
     del halves
-    tables.drop(["windows-1"])
+    tables.drop(["windows-half", "twice-half"])
     tables.release()
-    whole = tables.keep(usable.join(found, "doc_id").mapInArrow(_level_two(window), "hash long, doc_id long"), "windows-2")
+    whole = tables.keep(usable.join(found, "doc_id").mapInArrow(_level_two(window), "level byte, half long, hash long, doc_id long"), "windows")
     tables.release()
-    later = repeated(whole, "repeated-2", later=True)
+
+    rows, level = whole.where("level = 0").select("hash", "doc_id"), 0
+    again = twice(rows, "twice-0")
+    gone = tables.keep(rows.join(again, "hash").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")), "gone")
+    reached = []
+    while not again.isEmpty():
+        reached.append(tables.keep(rows.join(again.select("hash"), "hash", "left_semi").select("doc_id").distinct().withColumn("longest_repeat", F.lit(window << level).cast("long")), f"reached-{level}"))
+        level += 1
+        rows = whole.where(F.col("level") == level).join(again.select(F.col("hash").alias("half")), "half", "left_semi").select("hash", "doc_id")
+        again = twice(rows, f"twice-{level}")
     tables.release()
-    out = source.join(later, "doc_id", "left").mapInArrow(_apply(window, full), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, removed array<struct<start:int,end:int>>")
-    if longest:
-        size, level = repeated(whole, "repeated-w", later=False), 1
-        best = tables.keep(size.select("doc_id", F.lit(window).alias("longest_repeat")), "best-0")
-        while True:
-            rows = tables.keep(usable.join(size, "doc_id").mapInArrow(_extend(window, level), "hash long, doc_id long"), f"windows-x{level}")
-            size = repeated(rows, f"repeated-x{level}", later=False)
-            if size.isEmpty():
-                break
-            best = best.unionByName(size.select("doc_id", F.lit(window << level).alias("longest_repeat")))
-            level += 1
-        out = out.join(best.groupBy("doc_id").agg(F.max("longest_repeat").alias("longest_repeat")), "doc_id", "left")
-    return out
+    if reached:
+        longest = reduce(DataFrame.unionByName, reached).groupBy("doc_id").agg(F.max("longest_repeat").alias("longest_repeat"))
+        gone = longest.join(gone, "doc_id", "left")
+    else:
+        gone = gone.withColumn("longest_repeat", F.lit(None).cast("long"))
+    marks = tables.keep(gone.select("doc_id", "hashes", "longest_repeat"), "marks")
+    types = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, removed array<struct<start:int,end:int>>, longest_repeat long"
+    return source.join(marks, "doc_id", "left").mapInArrow(_apply(window, full), types)
