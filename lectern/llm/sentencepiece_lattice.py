@@ -276,8 +276,9 @@ def lattice_ids(chunks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     spark = chunks.sparkSession
     short = chunks.where(F.length("chunk") <= LONG)
     n = F.length("chunk")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i, F.lit(vocabulary.longest))), lambda k: F.struct(_key(i, k).alias("at"), F.substring("chunk", i + 1, k).alias("piece")))))
-    edges = short.select("chunk", F.inline(spans))
+    starts = short.select("chunk", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    spans = starts.select("chunk", "start", F.explode(F.sequence(F.lit(1), F.least(n - F.col("start"), F.lit(vocabulary.longest)))).alias("size"))
+    edges = spans.select("chunk", _key(F.col("start"), F.col("size")).alias("at"), F.substring("chunk", F.col("start") + 1, F.col("size")).alias("piece"))
     matched = edges.join(F.broadcast(vocabulary.table(spark)), "piece", "left").where("id is not null or at = 1")  # bounded by the vocabulary file
     grouped = matched.groupBy("chunk").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", F.struct("id", "score").alias("edge")))).alias("e"))
     grouped = grouped.withColumn("edges", F.map_from_entries("e"))
