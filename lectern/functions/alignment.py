@@ -131,3 +131,24 @@ def recall(expected: str, typed: str) -> tuple[list[tuple[str, str]], float]:
     """The difference between a text and what was typed, and the share of words that were right."""
     words = word_keys(expected)
     return edition_diff(expected, typed), (common_size(words, word_keys(typed)) / len(words) if words else 1.0)
+
+
+def align_phrases(phrases: list[tuple[str, list[str]]], words: list[tuple[str, str]]) -> list[tuple[int, int]]:
+    """(phrase, word) index pairs: phrases (text, numbers) of a translation with words (text, number) of the original.
+
+    Words whose numbers stand in the same order in both come first; each word left over goes to the nearest phrase that
+    names its number and has not got that number yet. A word belongs to one phrase.
+    """
+    named = [(i, n) for i, (_, numbers) in enumerate(phrases) for n in numbers]
+    pairs = {b: named[a][0] for a, b in common_pairs([n for _, n in named], [n for _, n in words])}
+    taken = {(p, words[w][1]) for w, p in pairs.items()}
+    for w, (_, number) in enumerate(words):
+        if w in pairs:
+            continue
+        place = len(phrases) * w / max(len(words), 1)
+        free = [i for i, (_, numbers) in enumerate(phrases) if number in numbers and (i, number) not in taken]
+        if free:
+            best = min(free, key=lambda i: (abs(i - place), i))
+            pairs[w] = best
+            taken.add((best, number))
+    return sorted((p, w) for w, p in pairs.items())
