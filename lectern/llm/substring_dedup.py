@@ -182,5 +182,6 @@ def substring_dedup(docs: DataFrame, window: int = 13, full: bool = True) -> Dat
     else:
         gone = gone.withColumn("longest_repeat", F.lit(None).cast("long"))
     marks = tables.keep(gone.select("doc_id", "hashes", "longest_repeat"), "marks")
+    tables.drop(["found-half", "windows", "gone", *(f"{name}-{i}" for i in range(level + 1) for name in ("twice", "reached"))])
     types = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, removed array<struct<start:int,end:int>>, longest_repeat long"
     return source.join(marks, "doc_id", "left").mapInArrow(_apply(window, full), types)
