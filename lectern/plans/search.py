@@ -1,6 +1,6 @@
 """Ranked full-text retrieval: a parsed query as a lazy plan over postings.
 
-The postings table holds a row for each (token, document) with the token's positions. A query filters
+The postings table holds a row for each (token, document) with the token's count and positions. A query filters
 it by token (which reaches the scan, as postings are written sorted by token), and all terms of a
 conjunction are intersected by one aggregate on the document, whatever their number. Ranking works
 on ids; texts are joined after the top rows are known.
@@ -24,7 +24,7 @@ LEAST_IDF = 1e-6
 
 @dataclass
 class Index:
-    """Postings (token, doc_id, positions), sizes (doc_id, length) of the documents (doc_id, text, ...)."""
+    """Postings (token, doc_id, tf, positions), sizes (doc_id, length) of the documents (doc_id, text, ...)."""
 
     docs: DataFrame
     postings: DataFrame
@@ -35,7 +35,8 @@ class Index:
         """An index that is computed as it is asked: token filters apply before anything is shuffled."""
         own = docs.select("doc_id", tokens(F.col(text)).alias("ts"))
         each = own.select("doc_id", F.posexplode("ts").alias("pos", "token"))
-        postings = each.groupBy("token", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        # Queries that need no positions do not gather them: unused aggregates are pruned.
+        postings = each.groupBy("token", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
         return cls(docs, postings, own.select("doc_id", F.size("ts").alias("length")))
 
     @classmethod
@@ -53,7 +54,7 @@ class Index:
 
     def vocabulary(self) -> DataFrame:
         """(token, n, docs): occurrences and documents of each token."""
-        return self.postings.groupBy("token").agg(F.sum(F.size("positions")).alias("n"), F.count("*").alias("docs"))
+        return self.postings.groupBy("token").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
 
 
 def words_in(text: str) -> list[str]:
@@ -121,7 +122,7 @@ def frequencies(index: Index, node: object) -> DataFrame:
         if len(words) > 1 or isinstance(leaf, Phrase):
             tf = _phrase_starts(index, words).groupBy("doc_id").agg(F.count("*").alias("tf"))
         else:
-            tf = index.postings.where(_is(leaf)).groupBy("doc_id").agg(F.sum(F.size("positions")).alias("tf"))
+            tf = index.postings.where(_is(leaf)).groupBy("doc_id").agg(F.sum("tf").alias("tf"))
         out.append(tf.select("doc_id", F.lit(i).alias("leaf"), F.col("tf").cast("long").alias("tf")))
     return reduce(DataFrame.unionByName, out)
 

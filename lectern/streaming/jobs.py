@@ -20,11 +20,11 @@ def daily_counts(events: DataFrame, ts: str, kind: str, late: str = "1 day") ->
 
 
 def append_postings(path: str):
-    """A foreachBatch sink that adds each batch's postings (token, doc_id, positions) under path; a batch that is run again replaces its own folder."""
+    """A foreachBatch sink that adds each batch's postings (token, doc_id, tf, positions) under path; a batch that is run again replaces its own folder."""
 
     def write(batch: DataFrame, number: int) -> None:
         each = batch.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
-        postings = each.groupBy("token", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        postings = each.groupBy("token", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
         postings.sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
