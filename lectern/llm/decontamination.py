@@ -96,7 +96,7 @@ def _hits(known, sizes: list[int]):
                         p = np.arange(len(s))
                     else:
                         p = np.flatnonzero(low[(s & np.uint64(0xFFFFF)).astype(np.int64)])
-                        p = p[np.isin(s[p], seeds)]
+                        p = p[seeds[np.minimum(np.searchsorted(seeds, s[p]), len(seeds) - 1)] == s[p]] if len(p) else p
                     if len(p):
                         ids.append(np.full(len(p), doc))
                         at.append(p.astype(np.int32))
