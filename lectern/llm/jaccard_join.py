@@ -232,6 +232,8 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterat
         yield rest, numbered(rest)
 
 
+#: Classes in more buckets than this do not list them; their pairs may come more than once, which changes nothing.
+LISTED = 64
 #: Groups up to this size are compared all at once, by shifts of the whole table.
 SMALL = 24
 
@@ -241,12 +243,18 @@ def _cross(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, g in _whole_groups(batches, ["token", "x", "y"]):
-            key, n, comp, block, x, y = (t.column(c).to_numpy() for c in ("key", "n", "comp", "block", "x", "y"))
+            key, n, comp, block, x, y, token = (t.column(c).to_numpy() for c in ("key", "n", "comp", "block", "x", "y", "token"))
+            own: dict[int, frozenset] = {}
             n = n.astype(np.int64)
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, 16)
             folded = np.bitwise_xor.reduce(bits.reshape(-1, 4, 4), axis=1)  # the same for 256 bits
 
-            def near(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+            def least_shared(i: int, j: int) -> bool:
+                """Whether this bucket is the first of those that both rows lie in; unknown counts as yes."""
+                a, b = (own[k] if k in own else own.setdefault(k, frozenset(t.column("own")[k].as_py() or ())) for k in (i, j))
+                return not a or not b or min(a & b) == token[i]
+
+            def near(i: np.ndarray, j: np.ndarray, large: bool) -> Iterator[pa.RecordBatch]:
                 # Of two blocks, only pairs across; of one, each pair once.
                 ok = (comp[i] != comp[j]) & (key[i] != key[j]) & ((x[i] == y[i]) | (block[i] != block[j]))
                 ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
@@ -256,6 +264,9 @@ def _cross(percent: int):
                     far = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
                     ok = far * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
                     i, j = i[ok], j[ok]
+                if large:
+                    ok = np.fromiter(map(least_shared, i.tolist(), j.tolist()), bool, len(i))
+                    i, j = i[ok], j[ok]
                 if len(i):
                     yield batch(_PAIRS, np.minimum(key[i], key[j]), np.maximum(key[i], key[j]))
 
@@ -266,14 +277,14 @@ def _cross(percent: int):
                 i = rows[:-shift][(g[:-shift] == g[shift:]) & small[:-shift]]
                 if not len(i):
                     break
-                yield from near(i, i + shift)
+                yield from near(i, i + shift, False)
             ends = sizes.cumsum()
             for k in np.flatnonzero(sizes > SMALL):
-                own = rows[ends[k] - sizes[k] : ends[k]]
-                for start in range(0, len(own), 256):
-                    i, j = np.broadcast_arrays(own[start : start + 256, None], own[None, :])
+                group = rows[ends[k] - sizes[k] : ends[k]]
+                for start in range(0, len(group), 256):
+                    i, j = np.broadcast_arrays(group[start : start + 256, None], group[None, :])
                     later = i < j
-                    yield from near(i[later], j[later])
+                    yield from near(i[later], j[later], True)
 
     return run
 
@@ -353,11 +364,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     # What is left: buckets with two components at least, dealt out in blocks if they are large.
     named = buckets.select("token", "key", "n").join(comp.toDF("key", "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     named = tables.keep(named, "named")
-    mixed = named.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    mixed = named.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), "size")
     rows = named.join(mixed, "token").join(texts.select("key", "bits"), "key")
+    # Classes of large buckets know all their buckets, so that a pair comes from one of the large ones only.
+    in_large = named.join(mixed.where(F.col("size") > SMALL).select("token"), "token", "left_semi").select("key").distinct()
+    lists = named.join(in_large, "key", "left_semi").groupBy("key").agg(F.collect_list("token").alias("own")).where(F.size("own") <= LISTED)
+    rows = rows.join(lists, "key", "left").withColumn("own", F.when(F.col("size") > SMALL, F.col("own")))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "key", "n", "comp", "bits")
+    rows = rows.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "key", "n", "comp", "bits", "own")
     pairs = rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_cross(percent), "a long, b long")
     pairs = tables.keep(pairs.distinct(), "pairs")
     second = verified(pairs, "links-2")
