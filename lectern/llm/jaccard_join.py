@@ -347,10 +347,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     # The buckets with two classes at least, and the least class of each; both aggregates combine before the shuffle.
     shared = tokens.groupBy("token").agg(F.min(F.struct("key", "n")).alias("m"), F.max("key").alias("last")).where("m.key <> last").select("token", F.col("m.key").alias("anchor"), F.col("m.n").alias("anchor_n"))
     buckets = tables.keep(tokens.join(shared, "token").distinct(), "buckets")
+    del tokens, shared
     tables.drop(["tokens"])
+    tables.release()
 
     members = classes.join(buckets.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
     texts = tables.keep(source.join(members, "doc_id").dropDuplicates(["key"]).select("key", "text").mapInArrow(_sketch(k), "key long, bits binary, text binary"), "texts")
+    tables.release()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         a, b = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
@@ -360,6 +363,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     first = verified(buckets.where(f"key <> anchor and {size}").select(F.col("key").alias("a"), F.col("anchor").alias("b")), "links-1")
     links = first.toDF("u", "v")
     comp = tables.keep(components(links, tables, "first"), "comp-1")
+    tables.release()
 
     # What is left: buckets with two components at least, dealt out in blocks if they are large.
     named = buckets.select("token", "key", "n").join(comp.toDF("key", "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
