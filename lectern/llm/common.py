@@ -39,14 +39,15 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def window_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """A hash of each k consecutive values; empty if there are fewer."""
-    n = len(h) - k + 1
-    if n <= 0:
+    """A hash of each k consecutive values, made from two (perhaps overlapping) windows of half the length; empty if there are fewer."""
+    if len(h) < k:
         return h[:0]
-    with np.errstate(over="ignore"):
-        out = mix(h[:n], seed)
-        for i in range(1, k):
-            out = mix(out * np.uint64(0x100000001B3) ^ h[i : i + n], seed)
+    out, size = mix(h, seed), 1
+    while size < k:
+        step = min(size, k - size)
+        with np.errstate(over="ignore"):
+            out = mix(out[:-step] * np.uint64(0x100000001B3) ^ out[step:], seed)
+        size += step
     return out
 
 

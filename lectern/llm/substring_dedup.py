@@ -156,7 +156,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, full: bool = True) -> Dat
 
     def twice(rows: DataFrame, name: str) -> DataFrame:
         """Windows that occur in two documents, and the first of these."""
-        return tables.keep(rows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first"), name)
+        out = tables.keep(rows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first"), name)
+        tables.release()
+        return out
 
     halves = tables.keep(usable.mapInArrow(_level_one(window), "hash long, doc_id long"), "windows-half")
     found = tables.keep(halves.join(twice(halves, "twice-half"), "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")), "found-half")
@@ -164,6 +166,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, full: bool = True) -> Dat
     tables.drop(["windows-half", "twice-half"])
     tables.release()
     whole = tables.keep(usable.join(found, "doc_id").mapInArrow(_level_two(window), "level byte, half long, hash long, doc_id long"), "windows")
+    # The sampled longer windows, a small part, which the loop below reads again and again.
+    longer = tables.keep(whole.where("level > 0"), "windows-longer")
     tables.release()
 
     rows, level = whole.where("level = 0").select("hash", "doc_id"), 0
@@ -173,7 +177,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, full: bool = True) -> Dat
     while not again.isEmpty():
         reached.append(tables.keep(rows.join(again.select("hash"), "hash", "left_semi").select("doc_id").distinct().withColumn("longest_repeat", F.lit(window << level).cast("long")), f"reached-{level}"))
         level += 1
-        rows = whole.where(F.col("level") == level).join(again.select(F.col("hash").alias("half")), "half", "left_semi").select("hash", "doc_id")
+        rows = longer.where(F.col("level") == level).join(again.select(F.col("hash").alias("half")), "half", "left_semi").select("hash", "doc_id")
         again = twice(rows, f"twice-{level}")
     tables.release()
     if reached:
@@ -182,6 +186,6 @@ def substring_dedup(docs: DataFrame, window: int = 13, full: bool = True) -> Dat
     else:
         gone = gone.withColumn("longest_repeat", F.lit(None).cast("long"))
     marks = tables.keep(gone.select("doc_id", "hashes", "longest_repeat"), "marks")
-    tables.drop(["found-half", "windows", "gone", *(f"{name}-{i}" for i in range(level + 1) for name in ("twice", "reached"))])
+    tables.drop(["found-half", "windows", "windows-longer", "gone", *(f"{name}-{i}" for i in range(level + 1) for name in ("twice", "reached"))])
     types = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, removed array<struct<start:int,end:int>>, longest_repeat long"
     return source.join(marks, "doc_id", "left").mapInArrow(_apply(window, full), types)
