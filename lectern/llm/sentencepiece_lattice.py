@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 LONG = 64
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 _LETTER = r"[^\W\d_]"
 
 
