@@ -18,16 +18,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.where(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a 64-bit hash of each whole row, by which rows are told apart: ids may be null or repeat."""
+    return docs.withColumn("row", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least id stays."""
-    kept = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of each group of near copies (shingles of five words, similarity 0.8) the row of least id stays, one without an id only if none has one.
+
+    Rows that are equal in all columns count as one.
+    """
+    rows = keyed(docs)
+    groups = jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = groups.distinct().join(rows.select("row", "doc_id").distinct(), "row").groupBy("component_id").agg(first.alias("m")).select("m.row")
+    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that hold a copy of a benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Rows go that hold a copy of a benchmark item."""
+    rows = keyed(docs)
+    found = contaminated(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(found, "row", "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -138,3 +138,35 @@ def test_pipeline(spark, tmp_path):
     text = {r.doc_id: r.text for r in sentencepiece_lattice.decode(corpus_pipeline.run(spark, path), MODEL_FILE).collect()}
     assert text[3] == rows[3][1] and text[105].endswith('token = "[SECRET]" end')
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontaminate", "secrets", "tokens"]
+
+
+def planted(spark, tmp_path, rows, items=()):
+    import corpus_pipeline
+
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return corpus_pipeline, docs, str(tmp_path)
+
+
+def distinct_words(seed, n):
+    return [f"w{seed}x{i}" for i in range(n)]
+
+
+def test_pipeline_near_copies_by_five_words(spark, tmp_path):
+    """53 words with one changed in the middle: 44 of 54 shingles of five words are shared (0.81), 48 of 54 of three (0.89)."""
+    one = distinct_words(1, 53)
+    other = [*one[:26], "changed", *one[27:]]
+    pipeline, docs, path = planted(spark, tmp_path, [(1, " ".join(one), "en", "s"), (2, " ".join(other), "en", "s"), (3, " ".join(distinct_words(2, 53)), "en", "s")])
+    assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs, path).collect()) == [1, 3]
+
+
+def test_pipeline_rows_without_or_with_equal_ids(spark, tmp_path):
+    """Rows are judged one by one, whatever their ids."""
+    t = [" ".join(distinct_words(i, 40)) for i in range(8)]
+    rows = [(None, t[0], "en", "a"), (None, t[1], "en", "b"), (5, t[2], "en", "c"), (5, t[3], "en", "d"), (None, t[2], "en", "e"), (9, t[2], "en", "f"), (None, t[4], "en", "g"), (5, t[4], "en", "h"), (None, t[5], "en", "i"), (7, None, "en", "j"), (7, None, "en", "k"), (None, t[6], "en", "l"), (None, t[6], "en", "m")]
+    pipeline, docs, path = planted(spark, tmp_path, rows, [(1, t[5]), (2, t[3])])
+    kept = pipeline.near_duplicates(spark, docs, path)
+    got = [r.source for r in kept.collect()]
+    assert sorted(set(got) - {"l", "m"}) == ["a", "b", "c", "d", "h", "i", "j", "k"] and len({"l", "m"} & set(got)) == 1 and len(got) == 9
+    clean = {r.source for r in pipeline.decontaminate(spark, kept, path).collect()}
+    assert clean == set(got) - {"d", "i"}
