@@ -1,10 +1,10 @@
-"""Operator 7: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Operator 7: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
-Seeds are the word n-grams of the benchmark's items. One pass over the corpus finds every occurrence;
-their counts over the whole corpus say which seeds are rare, and each item keeps those no more
-frequent than its median seed (so an item that leaked into many documents keeps seeds too). The rare
-ones join documents to items, and each stretch of a document with hits, with a margin of the item's length, is
-aligned with the item. Words are compared in lower case without punctuation.
+Seeds are the word n-grams of the benchmark's items. One pass over the corpus finds every occurrence,
+and all of them join documents to items: a frequent seed may be frequent because of the copies, so none
+is left out. Each stretch of a document with hits, with a margin of the item's length, is aligned with
+the item if the two have enough words in common to reach the score at all, whatever their order. Words
+are compared in lower case without punctuation.
 
 The test for seeds inside the pass uses a broadcast array while there are at most ``SEEDS`` of them
 (checked); beyond that every n-gram goes to the join. The joins on seeds and ids are equi-joins.
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, batch, signed, text_bytes, window_hashes, word_hashes
@@ -110,28 +110,35 @@ def _hits(known, sizes: list[int]):
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        last, words = None, []
-        for doc, item, text, item_text, spots in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "item_text", "spots")), strict=True):
-            if text is not last:
-                last, words = text, words_of(text)
-            own = words_of(item_text)
-            m, best = len(own), (0, 0, 0)
-            spots = sorted(spots)
-            i = 0
-            while i < len(spots):
-                j = i
-                while j + 1 < len(spots) and spots[j + 1] - spots[j] <= 2 * m:
-                    j += 1
-                lo = max(0, spots[i] - m)
-                score, start, end = smith_waterman(own, words[lo : spots[j] + 2 * m])
-                best = max(best, (score, lo + start, lo + end), key=lambda x: x[0])
-                i = j + 1
-            out.append((doc, item, best[0] / (MATCH * m), best[1], best[2]))
-        if out:
-            yield batch(_FOUND, *map(list, zip(*out, strict=True)))
+def _align(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            last, words = None, []
+            for doc, item, text, item_text, spots in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "item_text", "spots")), strict=True):
+                if text != last:
+                    last, words = text, words_of(text)
+                own = words_of(item_text)
+                m, best = len(own), (0, 0, 0)
+                spots = sorted(spots)
+                i = 0
+                while i < len(spots):
+                    j = i
+                    while j + 1 < len(spots) and spots[j + 1] - spots[j] <= 2 * m:
+                        j += 1
+                    lo = max(0, spots[i] - m)
+                    passage = words[lo : spots[j] + 2 * m]
+                    i = j + 1
+                    # No alignment matches more words than the passage has of the item's.
+                    if sum(map(set(passage).__contains__, own)) / m < least:
+                        continue
+                    score, start, end = smith_waterman(own, passage)
+                    best = max(best, (score, lo + start, lo + end), key=lambda x: x[0])
+                out.append((doc, item, best[0] / (MATCH * m), best[1], best[2]))
+            if out:
+                yield batch(_FOUND, *map(list, zip(*out, strict=True)))
+
+    return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 3, least: float = 0.6) -> DataFrame:
@@ -156,12 +163,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 3, least: float
     hits = source.mapInArrow(_hits(known, sizes), "doc_id long, pos int, seed long")
     hits = tables.keep(hits if few else hits.join(distinct, "seed", "left_semi"), "hits")
 
-    counts = hits.groupBy("seed").agg(F.count("*").alias("n"))
-    own = seeds.select("item_id", "seed").distinct().join(counts, "seed")
-    own = own.withColumn("median", F.expr("percentile_approx(n, 0.5, 10000)").over(Window.partitionBy("item_id")))
-    rare = tables.keep(own.where("n <= median").select("item_id", "seed"), "rare")
-    spots = hits.join(rare, "seed").groupBy("doc_id", "item_id").agg(F.collect_set("pos").alias("spots"))
+    spots = hits.join(seeds.select("item_id", "seed").distinct(), "seed").groupBy("doc_id", "item_id").agg(F.collect_set("pos").alias("spots"))
     asked = spots.join(source, "doc_id").join(items.toDF("item_id", "item_text"), "item_id")
-    found = asked.mapInArrow(_align, "doc_id long, item_id long, score double, start int, end int").where(F.col("score") >= least)
+    found = asked.mapInArrow(_align(least), "doc_id long, item_id long, score double, start int, end int").where(F.col("score") >= least)
     best = F.max_by(F.struct("score", "start", "end"), F.struct("score", -F.col("start"), -F.col("end")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")

@@ -206,6 +206,18 @@ def test_contaminated(spark):
     assert contaminated(docs.limit(0), bench).collect() == [] and contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_contaminated_frequent_seeds(spark):
+    """What copies share is frequent because of them: edited copies are found beside exact ones, few or many."""
+    item, hot = prose(2000, 20, 5000), prose(2001, 20, 5000)
+    edit = lambda w, at: ["other" if i % 5 == at else x for i, x in enumerate(w)]
+    rows = [(1, " ".join(prose(1, 40, 5000) + item)), (2, " ".join(prose(2, 40, 5000) + edit(item, 4) + prose(3, 20, 5000))), (3, " ".join(item[:3] + prose(4, 60, 5000)))]
+    rows += [(10, " ".join(hot)), *((11 + i, " ".join(prose(50 + i, 15, 5000) + edit(hot, 4))) for i in range(40))]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(hot))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {(1, 7), (2, 7), *((10 + i, 8) for i in range(41))}
+    assert got[2, 7].score == 29 / 40 and (got[2, 7].start, got[2, 7].end) == (40, 59)
+
+
 def test_contaminated_many_seeds(spark, monkeypatch):
     """Without the broadcast of seeds the result is the same."""
     from lectern.llm import decontamination
