@@ -4,7 +4,7 @@ Archives are plain text files, so a reader may start anywhere: it cuts its split
 (``WARC/1.``), also at those inside payloads. Each piece is a candidate record that names its successor:
 its own offset plus its header, its declared length and the end mark. Pointer jumping over these
 edges from the start of the file (the reachable set doubles in each step) keeps the true records; a
-magic inside a payload is not reachable, however well formed it looks. Only offsets are
+header that a magic cuts (in a URL, say) goes on to the first blank line of the pieces that follow; a magic inside a payload is not reachable, however well formed it looks. Only offsets are
 gathered by file, 16 bytes a record. Files in which every piece is as long as it declares need no
 more; the pieces of other files are read once more with their bytes, and those between two reachable
 offsets are put together again.
@@ -64,8 +64,9 @@ def _parsed(pieces: DataFrame) -> DataFrame:
     """Header fields, the payload's size and digest, and whether a piece (the bytes after a magic) is as long as it declares."""
     out = pieces.withColumn("header", F.substring_index("value", END, 1))
     out = out.withColumns({"bytes": F.octet_length("value").cast("long"), "length": _field("Content-Length", r"(\d{1,15})[ \t]*(?=$|\r\n)").cast("long")})
-    out = out.withColumn("declared", F.octet_length("header") + F.lit(8) + F.col("length"))
-    out = out.withColumn("whole", F.coalesce((F.col("declared") == F.col("bytes")) & F.col("value").endswith(END), F.lit(False)))
+    # Null where a magic in the header's free text cut it before its end.
+    out = out.withColumn("head", F.expr(f"if(instr(value, '{END}') > 0, octet_length(header), null)".replace("\r", "\\r").replace("\n", "\\n")).cast("long"))
+    out = out.withColumn("whole", F.coalesce((F.col("head") + 8 + F.col("length") == F.col("bytes")) & F.col("value").endswith(END), F.lit(False)))
     out = out.withColumn("block", F.expr("substring(value, length(header) + 5, length(value) - length(header) - 8)"))
     out = out.withColumn("payload", F.expr(f"if(instr(block, '{END}') > 0, substring(block, instr(block, '{END}') + 4), '')".replace("\r", "\\r").replace("\n", "\\n")))
     page = lambda c: F.regexp_extract(c, rf"{_URN}(-?\d+)", 1).try_cast("long")
@@ -93,7 +94,11 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     offsets = np.concatenate([[-len(MAGIC)], ends[:-1]])
     n = len(offsets)
     out = pd.DataFrame({"file": pdf["file"], "split": pdf["split"], "nth": pdf["nth"], "offset": offsets})
-    declared = pdf["declared"].to_numpy(np.float64)
+    # A header ends in the first piece with a blank line, and its length is the first stated up to there.
+    after = lambda known: np.minimum.accumulate(np.where(known, np.arange(n), n)[::-1])[::-1]
+    head, length = (np.append(pdf[c].to_numpy(np.float64), np.nan) for c in ("head", "length"))
+    last, stated = after(~np.isnan(head[:n])), after(~np.isnan(length[:n]))
+    declared = np.where(stated <= last, np.append(offsets, 0)[last] - offsets + head[last] + 8 + length[stated], np.nan)
     heads = np.where(np.isnan(declared) | (offsets < 0), -1, offsets + len(MAGIC) + np.nan_to_num(declared)).astype(np.int64)
     # The successor's number; n for the file's end, n + 1 for none.
     at = np.searchsorted(offsets, heads)
@@ -117,16 +122,16 @@ _CHAIN = "file string, split long, nth long, offset long, record long"
 def read_warc(spark: SparkSession, path: str, tables: Tables) -> DataFrame:
     """A row for each record of the archives under path: file, record (its offset), type, page_id, refers_to, url, stated (digest), payload_bytes, payload_digest."""
     place = ["file", "split", "nth"]
-    first = tables.keep(_parsed(_pieces(spark, path)).select(*place, "bytes", "declared", "whole", *_FIELDS), "pieces")
+    first = tables.keep(_parsed(_pieces(spark, path)).select(*place, "bytes", "head", "length", "whole", *_FIELDS), "pieces")
     # A file's first piece is what precedes its first magic: nothing, in a sound file.
     broken = tables.keep(first.where("not whole and bytes > 0").select("file").distinct(), "broken")
     whole = first.join(broken, "file", "left_anti")
-    sound = whole.select(*place, "bytes", "declared").groupBy("file").applyInPandas(_chain, _CHAIN)
+    sound = whole.select(*place, "bytes", "head", "length").groupBy("file").applyInPandas(_chain, _CHAIN)
     records = whole.join(sound, place).where("offset = record").select("file", "record", *_FIELDS)
 
-    again = _parsed(_pieces(spark, path)).join(broken, "file").select(*place, "bytes", "declared", "value")
+    again = _parsed(_pieces(spark, path)).join(broken, "file").select(*place, "bytes", "head", "length", "value")
     again = tables.keep(again, "pieces-again")
-    mended = again.join(again.select(*place, "bytes", "declared").groupBy("file").applyInPandas(_chain, _CHAIN), place)
+    mended = again.join(again.select(*place, "bytes", "head", "length").groupBy("file").applyInPandas(_chain, _CHAIN), place)
     mended = mended.groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
     return records.unionByName(_parsed(mended).select("file", "record", *_FIELDS))
 

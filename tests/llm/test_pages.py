@@ -49,6 +49,23 @@ def test_damaged_archives(spark, tmp_path):
     assert got == [1, 5, 6]
 
 
+@pytest.mark.parametrize("split", [None, "300"])
+def test_magic_in_url(spark, tmp_path, split):
+    """A magic in a URL, alone or beside others in the payload, loses neither its record nor those behind it."""
+    urls = ["https://x.org/1", "https://x.org/WARC/1.1/", "WARC/1.0", "https://x.org/WARC/1.1/WARC/1.0?Content-Length:3", "https://x.org/5", "https://x.org/WARC/1."]
+    rows = [(i, u, [f"<p>{i}", FAKE * 3 + "WARC/1.", "WARC/1.", "", "y" * 1500, "y" * 1500][i]) for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        warc.write_warc(pages, str(tmp_path / "w"), common.Tables(spark, "t"))
+        got = {r.page_id: r for r in warc.read_warc(spark, str(tmp_path / "w"), common.Tables(spark, "t")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got) == list(range(6)) and [got[i].url for i in range(6)] == urls
+    assert [got[i].payload_digest for i in (0, 1, 2, 3, 5)] == [sha1(rows[i][2]) for i in (0, 1, 2, 3, 5)] and got[4].type == "revisit"
+
+
 def test_no_pages(spark, pages):
     assert warc.archive_pages(pages.limit(0)).collect() == []
     assert url_filter.url_filter(pages.limit(0), URL_RULES).collect() == []
