@@ -1,8 +1,9 @@
 """Operator 1: secret scan with a random forest against false positives. DataFrame functions only.
 
 One regular expression finds texts that may hold a secret at all; only in those are words taken apart,
-inside the row. A candidate is a word with a run of 16 or more key characters, a digit among them. Its
-features: length, character transitions, coverage by dictionary words, the path (source) it comes
+inside the row. A candidate is any run of 16 or more key characters of a word, a digit among them, or a value of
+8 or more characters, a digit among them, behind a secret's name and a sign (=, : and the like). Each is judged
+with its own name, that is the part of its word before it. Its features: length, character transitions, coverage by dictionary words, the path (source) it comes
 from and the words around it. A random forest trained on labelled findings, its trees written out as column
 expressions, decides which candidates are secrets. Nothing is shuffled.
 
@@ -26,7 +27,7 @@ _KEY = "[A-Za-z0-9+/_~.-]"
 _RUN = rf"{_KEY}{{15,}}[A-Za-z0-9_-]"
 #: Some word has a run of 16 key characters or more with a digit in it.
 MAYBE = rf"(?<!{_KEY})(?={_RUN})[A-Za-z+/_~.-]*+[0-9]"
-_CORE = rf"({_RUN}={{0,2}})"
+_CORE = rf"((?<!{_KEY}){_RUN}={{0,2}})"
 
 # Words that name a secret, and words that name something else.
 NAMES = ["token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "private_key", "auth", "authorization", "bearer", "credential", "credentials", "key"]
@@ -36,6 +37,11 @@ DICTIONARY = [
     "access", "user", "name", "default", "value", "insert", "replace", "none", "null", "xxxx", "aaaa", "0000", "1234", "abcd", "the", "and", "with", "from",
     "http", "https", "www", "com", "org", "net", "file", "index", "page", "mail", "version", "release", "build", "static", "image", "data", "main", "src",
 ]
+_VALUE = r"[^\s\"'`,;&<>(){}\[\]=:]"
+#: A shorter value behind a secret's name; group 1 is the value.
+SHORT = rf"(?i)(?<![a-z])(?:{'|'.join(map(re.escape, NAMES))})[\"'`]?\s?(?::=|=>|[:=])\s?[\"'`]?((?=[^0-9\s]{{0,64}}[0-9]){_VALUE}{{8,}})"
+#: Of values in a word and the ones before it, those in the last word.
+_SHORT_LAST = rf"{SHORT}(?=\S*$)"
 FEATURES = ["length", "transitions", "distinct", "digits", "letters_run", "dictionary", "hex", "uuid", "slashes", "mail", "quoted", "assigned", "named", "othered", "path"]
 TREES, DEPTH, SAMPLE = 15, 6, 3000
 
@@ -44,13 +50,26 @@ def _any(words: list[str]) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
-def features(word: Column, before: Column, after: Column, path: Column) -> dict[str, Column]:
-    """The features of a candidate: the word, up to three words before it and one after (each joined by spaces), and the path."""
-    core = F.regexp_extract(word, _CORE, 1)
+def _cores(word: Column, before: Column) -> Column:
+    """The candidates of a word: its long runs, and short values behind a secret's name that hold no such run."""
+    runs = F.filter(F.regexp_extract_all(word, F.lit(_CORE), F.lit(1)), lambda x: x.rlike("[0-9]"))
+    short = F.regexp_extract_all(F.concat_ws(" ", before, word), F.lit(_SHORT_LAST), F.lit(1))
+    return F.array_distinct(F.concat(runs, F.filter(short, lambda x: ~x.rlike(MAYBE))))
+
+
+def features(word: Column, before: Column, after: Column, path: Column, core: Column | None = None) -> dict[str, Column]:
+    """The features of a candidate: the word, up to three words before it and one after (each joined by spaces), the path, and which part of the word it is (the last candidate, unless given)."""
+    core = F.coalesce(F.try_element_at(_cores(word, before), F.lit(-1)), F.lit("")) if core is None else core
+    lead = F.split_part(word, core, F.lit(1))
+    # The candidate's own part of the word; what precedes it counts only if that part names nothing.
+    last = F.regexp_extract(lead, r"([^,;&{}?]*)$", 1)
+    named = last.rlike("[A-Za-z]")
+    own = F.when(named, last).otherwise(lead)
+    before = F.when(named & (last != lead) & (F.length(F.regexp_replace(lead, "[^A-Za-z]", "")) > F.length(F.regexp_replace(last, "[^A-Za-z]", ""))), F.lit("")).otherwise(before)
     size = F.greatest(F.length(core), F.lit(1)).cast("double")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(core, "[^A-Za-z0-9]", "_"), "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
     runs = F.regexp_replace(kinds, r"(.)\1*", "$1")
-    near = F.lower(F.concat_ws(" ", before, F.regexp_replace(word, rf"{_RUN}.*", "")))
+    near = F.lower(F.concat_ws(" ", before, own))
     flag = lambda c: c.cast("double")
     return {
         "length": F.length(core).cast("double"),
@@ -62,9 +81,9 @@ def features(word: Column, before: Column, after: Column, path: Column) -> dict[
         "hex": flag(core.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "uuid": flag(core.rlike("(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")),
         "slashes": F.length(F.regexp_replace(core, "[^/.]", "")) / size,
-        "mail": flag(word.contains("@") | word.contains("://")),
+        "mail": flag(F.concat(own, core).contains("@") | F.concat(own, core).contains("://")),
         "quoted": flag(word.rlike("[\"'`]")),
-        "assigned": flag(F.concat_ws(" ", before, word).rlike(rf"(?:[:=]>?[ \"'`]*|bearer ){_RUN}[^ ]*$") | F.lower(before).endswith("bearer")),
+        "assigned": flag(F.concat_ws(" ", before, own).rlike(r"(?:[:=]>?[ \"'`]*|bearer )$") | F.lower(before).endswith("bearer")),
         "named": flag(near.rlike(rf"(?:^|[^a-z])(?:\w*_)?(?:{_any(NAMES)})(?:[^a-z]|$)")),
         "othered": flag(near.rlike(rf"(?:^|[^a-z])(?:{_any(OTHERS)})(?:[^a-z]|$)")),
         "path": flag(F.coalesce(F.lower(path), F.lit("")).rlike(r"test|example|sample|fixture|mock|docs?/|\.lock|\.sum")),
@@ -72,7 +91,7 @@ def features(word: Column, before: Column, after: Column, path: Column) -> dict[
 
 
 def labelled_findings(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
-    """n made-up findings (word, before, after, path, label), the same on every run."""
+    """n made-up findings (word, before, after, path, label) and a quarter as many short ones, the same on every run."""
     i = F.col("id").cast("string")
     hexes = F.sha2(F.concat(F.lit("finding "), i), 512)
     base = F.regexp_replace(F.base64(F.unhex(hexes)), r"[\s=]", "")
@@ -107,7 +126,13 @@ def labelled_findings(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
         F.when(good, secret_before).otherwise(other_before).alias("before"), text(17).alias("after"),
         F.when(in_test & ~good, "tests/fixtures/data.txt").otherwise(F.concat(F.lit("src"), draw(18, 20).cast("string"))).alias("path"), good.cast("double").alias("label"),
     )
-    return rows.where(F.col("word").rlike(MAYBE))
+    # Passwords, and what stands in their place, of 8 to 15 characters.
+    secret = F.concat(F.substring(F.translate(base, "+/", "!#"), 1, 7), pick(19, ["7", "2!", "9x", "4#Q", "3pL$", "8rT5", "1wZ6k", "5@mN0q"]))
+    stand_in = F.concat(pick(20, ["example", "changeme", "password", "default", "required", "your_key", "optional", "version"]), pick(21, ["1", "12", "123", "1234", "_1", "-2", "01", "00"]))
+    stand_in = F.when(draw(22, 4) == 0, F.substring(number, 1, 8)).otherwise(stand_in)
+    value = F.concat(F.when(spaced, "").otherwise(F.concat(name, sign)), quote, F.when(good, secret).otherwise(stand_in), quote)
+    short = spark.range(n // 4).select(value.alias("word"), F.when(spaced, F.concat_ws(" ", text(12), name, sign)).otherwise(text(12)).alias("before"), text(17).alias("after"), F.concat(F.lit("src"), draw(18, 20).cast("string")).alias("path"), good.cast("double").alias("label"))
+    return rows.where(F.col("word").rlike(MAYBE)).unionByName(short.where(F.size(_cores(F.col("word"), F.col("before"))) > 0))
 
 
 #: A leaf's class, or (feature, edge, what holds up to the edge, what holds above it).
@@ -153,20 +178,23 @@ def _findings(text: Column, path: Column, forest: list[Tree], least: float) -> C
     """The secrets of a text, as an array of structs."""
 
     def of(w: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.element_at(w, i).rlike(MAYBE))
         word = lambda i, d: F.coalesce(F.get(w, i - 1 + d), F.lit(""))
 
-        def described(i: Column) -> Column:
-            before = F.concat_ws(" ", word(i, -3), word(i, -2), word(i, -1))
-            f = F.struct(*(c.alias(k) for k, c in features(word(i, 0), before, word(i, 1), path).items()))
+        before = lambda i: F.concat_ws(" ", word(i, -3), word(i, -2), word(i, -1))
+
+        def described(i: Column, core: Column) -> Column:
+            f = F.struct(*(c.alias(k) for k, c in features(word(i, 0), before(i), word(i, 1), path, core).items()))
             scored = F.transform(F.array(f), lambda x: _share(forest, x))[0]
-            return F.struct((i - 1).cast("int").alias("word"), F.regexp_extract(word(i, 0), _CORE, 1).alias("secret"), scored.alias("score"))
+            return F.struct((i - 1).cast("int").alias("word"), core.alias("secret"), scored.alias("score"))
 
-        return F.filter(F.transform(at, described), lambda x: x["score"] >= least)
+        # Every candidate starts in a word with a digit.
+        at = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.element_at(w, i).rlike("[0-9]") & (F.length(F.element_at(w, i)) >= 8))
+        found = F.flatten(F.transform(at, lambda i: F.transform(_cores(word(i, 0), before(i)), lambda core: described(i, core))))
+        return F.filter(found, lambda x: x["score"] >= least)
 
     # The words are bound once, as the one element of an array.
     found = F.transform(F.array(F.split(text, SPACE)), of)[0]
-    return F.when(text.rlike(MAYBE), found).otherwise(F.array().cast("array<struct<word:int,secret:string,score:double>>"))
+    return F.when(text.rlike(MAYBE) | text.rlike(SHORT), found).otherwise(F.array().cast("array<struct<word:int,secret:string,score:double>>"))
 
 
 def scan(docs: DataFrame, forest: list[Tree], least: float = 0.5, path: str = "source") -> DataFrame:
@@ -183,7 +211,9 @@ def redact(docs: DataFrame, forest: list[Tree], least: float = 0.5, mark: str =
     """docs with every confirmed secret in text replaced by the mark; all rows and columns stay."""
     columns = docs.columns
     out = scan(docs, forest, least, path)
-    clean = F.aggregate(F.col("secrets"), F.col("text"), lambda t, s: F.replace(t, s["secret"], F.lit(mark)))
+    # The longest first: one secret may be a part of another.
+    longest = F.array_sort("secrets", lambda a, b: F.length(b["secret"]) - F.length(a["secret"]))
+    clean = F.aggregate(longest, F.col("text"), lambda t, s: F.replace(t, s["secret"], F.lit(mark)))
     return out.withColumn("text", F.when(F.size("secrets") > 0, clean).otherwise(F.col("text"))).select(*columns)
 
 

@@ -43,6 +43,23 @@ def test_secrets(spark, forest):
     assert secret_scan.findings(docs.limit(0), forest).collect() == []
 
 
+def test_every_run_of_a_word(spark, forest):
+    """Keys behind a long name, in a URL and in minified JSON, several in one word, and short passwords."""
+    aws, ghp, other = "wJalrXUtnFEMIK7MDENGbPxRfiCYzR8aQ4tLk2vN", "ghp_x7Kq2mZp9Lw4Rt8Vb3Nc6Yd1Hf5Js0Ga2QeU", "9f3c77ab01d25e4468bb0c9de1f7a2350c6d8e91"
+    texts = [
+        f"export AWS_SECRET_ACCESS_KEY={aws} now", f"get https://api.example.com/v1/x?token={ghp} now", f'{{"id":"0123456789abcdef01","api_key":"{HEX}"}}',
+        f'{{"api_key":"{HEX}","token":"{other}"}}', "the login password=hunter2Xy9! is", 'and password = "pQ7rT2zK9w" here', "see https://ththre.example.com/en/8251234?page=1234567890123456 here",
+        "password=changeme123 here", "an order of 12345678 or hunter2Xy9 here",
+    ]
+    docs = spark.createDataFrame([(i, t, "src1") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs, forest).collect()}
+    assert clean[0] == "export AWS_SECRET_ACCESS_KEY=[SECRET] now"
+    assert clean[1] == "get https://api.example.com/v1/x?token=[SECRET] now"
+    assert clean[2] == '{"id":"0123456789abcdef01","api_key":"[SECRET]"}' and clean[3] == '{"api_key":"[SECRET]","token":"[SECRET]"}'
+    assert clean[4] == "the login password=[SECRET] is" and clean[5] == 'and password = "[SECRET]" here'
+    assert all(clean[i] == texts[i] for i in (6, 7, 8))
+
+
 @pytest.fixture(scope="module")
 def classifier(spark):
     return license_scan.train(license_scan.training_rows(spark))
