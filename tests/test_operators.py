@@ -138,3 +138,14 @@ def test_study(spark):
     entities = spark.createDataFrame([(1, "noah"), (2, "noah"), (3, "abram")], "entity int, fold string")
     shared = spark.createDataFrame([("Noah", 2, 7)], "name string, entity int, n long")
     assert rows(study.resolve_names(names, entities, shared), "name") == [("Abram", 3), ("Noah", 2)]
+
+
+def test_queries_over_whole_tables(spark, tmp_path):
+    """Orders of every customer are packed, and references are sought in the documents' own texts."""
+    from lectern import queries
+
+    orders = [(1, 3, "1996-01-01", 10.0), (2, 3, "1996-02-01", 20.0), (3, 3, "1996-03-01", 30.0), (4, 3, "1996-03-02", 5.0), (5, 10, "1996-01-01", 1.0)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(7, "as Paul says (Rom. 8:28), and more"), (8, "no reference"), (9, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in queries.interval_packing(spark, str(tmp_path)).collect()} == {(3, 3, 0), (3, 2, 1), (3, 1, 2), (3, 4, -1), (10, 5, 0)}
+    assert [(r.doc_id, r.chapter, r.verse_start) for r in queries.find_references(spark, str(tmp_path)).collect()] == [(7, 8, 28)]
