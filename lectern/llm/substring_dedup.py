@@ -5,8 +5,8 @@ therefore looks at windows of ceil(w / 2) words, and only at one of those inside
 one of least hash, which equal long windows share. That is a quarter of all positions. Windows
 that occur in two documents survive; only they are extended to the full length, which settles what is
 removed. Windows that repeat at that length are extended to twice, four times ... the length until no
-candidate survives, which tells how long the repeats of a document are; as nothing more is removed by
-that, these levels look at a sample of starts (chosen by hash, alike in all documents; one in eight, then half as many at each level).
+candidate survives, which tells how long the repeats of a document are; every start both of whose
+halves repeat is extended.
 
 Counts combine before each shuffle (least and greatest document of a window), so a passage in a third
 of all documents costs no more than its occurrences; joins on windows are plain equi-joins, whose
@@ -27,12 +27,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, batch, mix, signed, text_bytes, window_hashes, word_hashes
+from .common import Tables, batch, signed, text_bytes, window_hashes, word_hashes
 
 _ROWS = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64())])
-_GROWN = pa.schema([("level", pa.int8()), ("half", pa.int64()), *_ROWS])
-#: Of the starts of repeated windows, one in so many is extended further.
-SAMPLE = 8
 
 
 def anchors(h: np.ndarray, window: int) -> np.ndarray:
@@ -67,41 +64,42 @@ def _as_hashes(x: pa.Array) -> list[np.ndarray]:
     return np.split(flat, ends[:-1])
 
 
-def _levels(h: np.ndarray, window: int, halves: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(level, hashes of half that length at the same starts, hashes) of the windows whose half repeats; level 0 is the whole window, each next one twice as long."""
-    full = window_hashes(h, window, 2)
-    at = np.flatnonzero(np.isin(anchors(h, window), halves))
-    base = np.unique(full[at])
-    yield 0, np.zeros(len(base), np.uint64), base
-    level, size, rate = 0, window, SAMPLE
-    while len(full) > size and len(at):
-        longer = window_hashes(np.stack([full[:-size], full[size:]], 1).ravel(), 2, 3 + level)[::2]
-        at = at[(at < len(longer))]
-        at = at[(window_bits(h, window, at) % np.uint64(rate)) == 0]
-        level, size, rate = level + 1, size * 2, rate * 2
-        if len(at):
-            yield level, full[at], longer[at]
-        full = longer
+def _level_two(window: int):
+    """The windows whose half repeats."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for t, halves in zip(b.column("text").to_pylist(), _as_hashes(b.column("hashes")), strict=True):
+                h = word_hashes(t.split())
+                found.append(np.unique(window_hashes(h, window, 2)[np.isin(anchors(h, window), halves)]))
+            yield from _emit(b.column("doc_id").to_pylist(), found)
 
-def window_bits(h: np.ndarray, window: int, at: np.ndarray) -> np.ndarray:
-    """Bits by which starts are sampled: the same wherever the same words follow."""
-    return mix(h[at] ^ h[at + window - 1], 9) >> np.uint64(8)
+    return run
 
 
-def _level_two(window: int):
+def _grown(window: int, level: int):
+    """The windows of the next level both of whose halves repeat."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: list[tuple] = []
-            for doc, t, halves in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), _as_hashes(b.column("hashes")), strict=True):
-                found += ((doc, *x) for x in _levels(word_hashes(t.split()), window, halves))
-            if found:
-                sizes = [len(x[3]) for x in found]
-                yield batch(_GROWN, np.repeat(np.array([x[1] for x in found], np.int8), sizes), signed(np.concatenate([x[2] for x in found])), signed(np.concatenate([x[3] for x in found])), np.repeat(np.array([x[0] for x in found], np.int64), sizes))
+            found = []
+            for t, halves in zip(b.column("text").to_pylist(), _as_hashes(b.column("hashes")), strict=True):
+                full, size = window_hashes(word_hashes(t.split()), window, 2), window
+                for k in range(level):
+                    full, size = _twice_as_long(full, size, k), size * 2
+                good = np.isin(full, halves)
+                found.append(np.unique(_twice_as_long(full, size, level)[good[:-size] & good[size:]]))
+            yield from _emit(b.column("doc_id").to_pylist(), found)
 
     return run
 
 
+def _twice_as_long(full: np.ndarray, size: int, level: int) -> np.ndarray:
+    """From the hashes of all windows of a size, those of all of twice that size; level gives each its own permutation."""
+    return window_hashes(np.stack([full[:-size], full[size:]], 1).ravel(), 2, 3 + level)[::2]
+
+
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("longest_repeat", pa.int64())])
 
 
@@ -143,7 +141,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, full: bool = True) -> Dat
     Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by spaces), if full the
     kept words as bytes and the removed spans (word numbers, the end not included), otherwise nulls
     there, and longest_repeat: the longest level (window, twice, four times ...) of which the document
-    holds a window that occurs in another one (null: none; beyond the first level a sample of starts is looked at).
+    holds a window that occurs in another one (null: none).
 
     A null text has no words. A null doc_id is smaller and greater than none: nothing goes from such a
     row, and nothing because of it. Rows that share a doc_id do not make one another's windows go, but
@@ -165,19 +163,18 @@ def substring_dedup(docs: DataFrame, window: int = 13, full: bool = True) -> Dat
     del halves
     tables.drop(["windows-half", "twice-half"])
     tables.release()
-    whole = tables.keep(usable.join(found, "doc_id").mapInArrow(_level_two(window), "level byte, half long, hash long, doc_id long"), "windows")
-    # The sampled longer windows, a small part, which the loop below reads again and again.
-    longer = tables.keep(whole.where("level > 0"), "windows-longer")
+    rows, level = tables.keep(usable.join(found, "doc_id").mapInArrow(_level_two(window), "hash long, doc_id long"), "windows-0"), 0
     tables.release()
-
-    rows, level = whole.where("level = 0").select("hash", "doc_id"), 0
     again = twice(rows, "twice-0")
     gone = tables.keep(rows.join(again, "hash").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")), "gone")
     reached = []
     while not again.isEmpty():
-        reached.append(tables.keep(rows.join(again.select("hash"), "hash", "left_semi").select("doc_id").distinct().withColumn("longest_repeat", F.lit(window << level).cast("long")), f"reached-{level}"))
+        held = tables.keep(rows.join(again.select("hash"), "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")), f"held-{level}")
+        reached.append(tables.keep(held.select("doc_id", F.lit(window << level).cast("long").alias("longest_repeat")), f"reached-{level}"))
+        tables.drop([f"windows-{level}", f"twice-{level}"])
+        rows = tables.keep(usable.join(held, "doc_id").mapInArrow(_grown(window, level), "hash long, doc_id long"), f"windows-{level + 1}")
+        tables.drop([f"held-{level}"])
         level += 1
-        rows = longer.where(F.col("level") == level).join(again.select(F.col("hash").alias("half")), "half", "left_semi").select("hash", "doc_id")
         again = twice(rows, f"twice-{level}")
     tables.release()
     if reached:
@@ -186,6 +183,6 @@ def substring_dedup(docs: DataFrame, window: int = 13, full: bool = True) -> Dat
     else:
         gone = gone.withColumn("longest_repeat", F.lit(None).cast("long"))
     marks = tables.keep(gone.select("doc_id", "hashes", "longest_repeat"), "marks")
-    tables.drop(["found-half", "windows", "windows-longer", "gone", *(f"{name}-{i}" for i in range(level + 1) for name in ("twice", "reached"))])
+    tables.drop(["found-half", "gone", *(f"{name}-{i}" for i in range(level + 1) for name in ("windows", "twice", "reached"))])
     types = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, removed array<struct<start:int,end:int>>, longest_repeat long"
     return source.join(marks, "doc_id", "left").mapInArrow(_apply(window, full), types)

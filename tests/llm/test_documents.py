@@ -136,6 +136,24 @@ def test_substrings(docs, texts, window):
         assert longest[len(texts) - 1] is None and longest[24] >= 13 and {x for x in longest.values() if x} <= {13, 26, 52, 104}
 
 
+def test_longest_repeat(spark, docs, texts):
+    """The longest level by brute force, for passages of exactly a level's length and one word less among them."""
+    size = [26, 52, 104, 25, 13, 26, 30, 12, 208]
+    extra = [f"{' '.join(prose(5000 + 2 * i + j, 20, 10**6))} {' '.join(prose(6000 + i, n, 10**6))} {' '.join(prose(7000 + 2 * i + j, 9, 10**6))}" for i, n in enumerate(size) for j in range(2)]
+    every = texts[:-1] + extra
+    want = {}
+    for level in (13, 26, 52, 104, 208, 416):
+        held = {}
+        for i, t in enumerate(every):
+            w = words(t)
+            for a in range(len(w) - level + 1):
+                held.setdefault(tuple(w[a : a + level]), set()).add(i)
+        want |= {i: level for ids in held.values() if len(ids) > 1 for i in ids}
+    rows = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    got = {r.doc_id: r.longest_repeat for r in substring_dedup.substring_dedup(rows, 13).collect()}
+    assert got == {i: want.get(i) for i in range(len(every))} and {26, 52, 104, 208} <= set(want.values())
+
+
 def test_substrings_ids(spark, docs):
     t = " ".join(prose(1, 20))
     odd = spark.createDataFrame([(None, t), (3, t), (3, t), (9, t)], "doc_id long, text string")
