@@ -1,17 +1,20 @@
 """Operator 9: SentencePiece encoding and decoding by a relational lattice.
 
-A text is cut into chunks that no piece of the vocabulary spans (a run of letters with the white space before
-it, a run of other characters), which is checked against the vocabulary when it is loaded. The lattice is
-built once for each distinct chunk: its substrings of bounded length are exploded and equi-joined to the
-piece table, the matches (edges) are grouped by chunk, and one higher-order aggregate folds them into ids:
+A text is cut into chunks between characters that stand side by side in no piece of the vocabulary, so no piece
+spans a cut. The lattice is built once for each distinct chunk: its substrings of bounded length are exploded and
+equi-joined to the piece table, the matches (edges) are grouped by chunk, and a higher-order aggregate folds
+them into ids:
 
 * unigram models: Viterbi, the path of greatest summed score;
 * BPE models: the adjacent pair whose union is the best-scored edge merges, until none is left. Scores of
   BPE pieces are ranks of merges, so Viterbi over them would give other ids than the model defines.
 
-Chunks of more than ``LONG`` characters (no words) would make the fold quadratic; they are folded in Python
-by the same rule. Documents are dealt into buckets by a hash; a bucket's texts meet only that bucket's distinct
-chunks, so memory follows the bucket, whose size is a parameter.
+A chunk of more than ``LONG`` characters does not fit the fold's bit mask; it is folded in Python by the same rule.
+
+Texts travel compressed, and once: they are dealt into buckets of bounded size by a hash. A bucket lists each of its
+chunks once, with a number; chunks are grouped over up to ``TOGETHER`` buckets at a time, so no list of buckets grows with
+the corpus and no chunk, however common, gathers more rows than that in one group. What comes back to a bucket
+is (number, ids), and its texts are put together by array look-ups.
 
 The vocabulary file is read by the driver from a path; the piece table (its rows) is what is broadcast.
 """
@@ -20,25 +23,30 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import mix
+
 SPACE = "▁"
-LONG = 64
-BUCKET_BYTES = 4 << 20
-_LETTER = r"[^\W\d_]"
+LONG = 60
+BUCKET_BYTES = 16 << 20
+TOGETHER = 1024
+#: Characters that are cut and hashed at once.
+SLICE = 1 << 20
 
 
 @dataclass
 class Vocabulary:
-    """Pieces with their scores, and how chunks are cut."""
+    """Pieces with their scores."""
 
     pieces: list[str]
     scores: list[float]
@@ -47,21 +55,12 @@ class Vocabulary:
     dummy_prefix: bool
     byte_ids: list[int]
     unknown: int
-    letters: str = ""
     longest: int = field(default=1)
 
     def __post_init__(self) -> None:
-        usable = [p for p, k in zip(self.pieces, self.kinds, strict=True) if k in (1, 4)]
-        self.longest = max(map(len, usable), default=1)
-        pairs = {(a, b) for p in usable for a, b in zip(p, p[1:], strict=False)}
-        # A piece has white space at its start only.
-        if any(b == SPACE and a != SPACE for a, b in pairs):
-            raise ValueError("pieces with white space after other characters are not supported")
-        letter, joined = re.compile(_LETTER), set()
-        inside = lambda c: c in joined or bool(letter.fullmatch(c))
-        while more := {b if inside(a) else a for a, b in pairs if SPACE not in (a, b) and inside(a) != inside(b)}:
-            joined |= more
-        self.letters = f"(?:{_LETTER}|[{''.join(map(re.escape, sorted(joined)))}])" if joined else _LETTER
+        self.longest = max((len(p) for p, _, _ in self.usable()), default=1)
+        if self.bpe and (len(self.pieces) >= 1 << 20 or self.longest >= 64):
+            raise ValueError("BPE vocabularies of a million pieces or more, or with pieces of 64 characters or more, are not supported")
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -77,16 +76,17 @@ class Vocabulary:
         byte_ids = [at[f"<0x{b:02X}>"] for b in range(256)] if m.trainer_spec.byte_fallback else []
         return cls([p.piece for p in m.pieces], [p.score for p in m.pieces], kinds, m.trainer_spec.model_type == 2, m.normalizer_spec.add_dummy_prefix, byte_ids, kinds.index(2))
 
-    def chunker(self) -> re.Pattern:
-        """Cuts a text, white space written as SPACE, into chunks; joined they are the text."""
-        a = self.letters
-        return re.compile(rf"{SPACE}*{a}+|{SPACE}*(?:(?!{a})[^{SPACE}])+|{SPACE}+", re.S)
-
     def usable(self) -> list[tuple[str, int, float]]:
         return [(p, i, s) for i, (p, s, k) in enumerate(zip(self.pieces, self.scores, self.kinds, strict=True)) if k in (1, 4)]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.usable(), "piece string, id int, score double")
+        """The piece table: piece, id, score, and rank (0 for the best score; equal scores share one)."""
+        rank = {s: r for r, s in enumerate(sorted({s for _, _, s in self.usable()}, reverse=True))}
+        return spark.createDataFrame([(*row, rank[row[2]]) for row in self.usable()], "piece string, id int, score double, rank long")
+
+    @cached_property
+    def cutter(self) -> Cutter:
+        return Cutter(self)
 
     def as_bytes(self) -> list[bytes]:
         """What each id stands for, white space written as SPACE; control ids for nothing."""
@@ -101,6 +101,67 @@ def escaped(text: str, vocabulary: Vocabulary) -> str:
     return (SPACE if vocabulary.dummy_prefix and text else "") + text.replace(" ", SPACE)
 
 
+class Cutter:
+    """Cuts texts into chunks and gives each a 64-bit hash (multilinear, with fixed random coefficients)."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        pairs = {(a, b) for p, _, _ in vocabulary.usable() for a, b in zip(p, p[1:], strict=False)}
+        kinds = {c: i for i, c in enumerate(sorted({c for pair in pairs for c in pair}), 1)}
+        self.kind, self.n = np.zeros(0x110000, np.int32), len(kinds) + 1
+        for c, i in kinds.items():
+            self.kind[ord(c)] = i
+        joined = np.zeros((self.n, self.n), bool)
+        for a, b in pairs:
+            joined[kinds[a], kinds[b]] = True
+        self.joined = joined.ravel()
+        self.value, self.odd = mix(np.arange(0x110000, dtype=np.uint64), 21), np.zeros(0, np.uint64)
+
+    def blocks(self, texts: list[str | None]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+        """The escaped texts in blocks of about SLICE characters: the block, where its chunks start, their hashes, and the number of each chunk's text."""
+        waiting: list[tuple[int, str]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            rest = escaped(text, self.vocabulary) if text else ""
+            while rest:
+                end = self._safe(rest) if len(rest) > SLICE else len(rest)
+                waiting.append((i, rest[:end]))
+                size += end
+                rest = rest[end:]
+                if size >= SLICE:
+                    yield self._cut(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            yield self._cut(waiting)
+
+    def _safe(self, text: str) -> int:
+        """A place after SLICE where a chunk ends; the end if there is none."""
+        for start in range(SLICE, len(text), SLICE):
+            k = self.kind[np.frombuffer(text[start - 1 : start + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)]
+            ends = np.flatnonzero(~self.joined[k[:-1] * self.n + k[1:]])
+            if len(ends):
+                return start + int(ends[0])
+        return len(text)
+
+    def _cut(self, parts: list[tuple[int, str]]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        block = "".join(t for _, t in parts)
+        codes = np.frombuffer(block.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.kind[codes]
+        begins = np.ones(len(codes), bool)
+        begins[1:] = ~self.joined[kind[:-1] * self.n + kind[1:]]
+        first = np.concatenate([[0], np.cumsum([len(t) for _, t in parts])]).astype(np.int64)
+        begins[first[:-1]] = True
+        starts = np.flatnonzero(begins)
+        sizes = np.diff(np.append(starts, len(codes)))
+        at = np.arange(len(codes)) - np.repeat(starts, sizes)
+        if (most := int(sizes.max())) > len(self.odd):
+            self.odd = mix(np.arange(2 * most, dtype=np.uint64), 22) | np.uint64(1)
+        with np.errstate(over="ignore"):
+            hashes = mix(np.add.reduceat(self.value[codes] * self.odd[at], starts) + sizes.astype(np.uint64), 23)
+        owner = np.repeat(np.array([i for i, _ in parts]), np.diff(np.searchsorted(starts, first)))
+        return block, starts, hashes, owner
+
+
 def _fallback(char: Column, vocabulary: Vocabulary) -> Column:
     """The ids of a character that is no piece."""
     if not vocabulary.byte_ids:
@@ -117,44 +178,88 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: Key of an edge in a chunk: its start (from 0) times this, plus its length.
-_WIDE = 256
+def _left(x: Column, by: Column | int) -> Column:
+    return F.call_function("shiftleft", x, by if isinstance(by, Column) else F.lit(by))
 
 
-def _key(start: Column, length: Column) -> Column:
-    return start * _WIDE + length
+def _right(x: Column, by: Column | int) -> Column:
+    return F.call_function("shiftright", x, by if isinstance(by, Column) else F.lit(by))
+
+
+# An edge of a BPE lattice is one long: rank, start, size and id, so that the least one merges first.
+_ID, _SIZE, _START = 20, 26, 32
+
+
+def _pack() -> Column:
+    return _left(F.col("rank"), _START) + _left(F.col("start").cast("long"), _SIZE) + _left(F.col("size").cast("long"), _ID) + F.col("id")
+
+
+def _start(z: Column) -> Column:
+    return _right(z, _SIZE).bitwiseAND(63).cast("int")
+
+
+def _size(z: Column) -> Column:
+    return _right(z, _ID).bitwiseAND(63).cast("int")
+
+
+def _bit(at: Column) -> Column:
+    return _left(F.lit(1).cast("long"), at)
+
+
+def _ends(z: Column) -> Column:
+    return _bit(_start(z)).bitwiseOR(_bit(_start(z) + _size(z)))
+
+
+def _inside(z: Column) -> Column:
+    return _left(_bit(_size(z) - 1) - 1, _start(z) + 1)
 
 
 def _bpe_fold(word: Column, edges: Column, vocabulary: Vocabulary) -> Column:
-    """Merges the adjacent symbols whose union has the best score, the leftmost first, until no union is a piece."""
+    """Merges the adjacent symbols whose union has the best score, the leftmost first, until no union is a piece.
+
+    The places where symbols start, and the end of the last, are the bits of a long; edges come best first.
+    """
     n = F.length(word)
-    step_type = "struct<starts:array<int>,done:boolean>"
-    start = F.struct(F.sequence(F.lit(0), n).alias("starts"), F.lit(False).alias("done")).cast(step_type)
+    state_type = "struct<cuts:bigint,open:array<bigint>>"
+
+    def still(cuts: Column, z: Column) -> Column:
+        return (cuts.bitwiseAND(_ends(z)) == _ends(z)) & (cuts.bitwiseAND(_inside(z)) != 0)
 
     def merge(state: Column, _: Column) -> Column:
-        s = state["starts"]  # where symbols start, and the end of the last
+        cuts, open_ = state["cuts"], state["open"]
+        best = F.get(F.filter(open_, lambda z: _let(cuts.bitwiseAND(_inside(z)), lambda x: x.bitwiseAND(x - 1) == 0)), F.lit(0))
 
-        def union(k: Column) -> Column:
-            return F.struct(F.try_element_at(edges, _key(F.get(s, k), F.get(s, k + 2) - F.get(s, k)))["score"].alias("score"), (-k).alias("at"))
+        def merged(z: Column) -> Column:
+            after = cuts.bitwiseAND(F.bitwise_not(_inside(z)))
+            return _let(after, lambda c: F.struct(c.alias("cuts"), F.filter(open_, lambda y: still(c, y)).alias("open")).cast(state_type))
 
-        def next_state(best: Column) -> Column:
-            merged = F.filter(s, lambda _, i: i != 1 - best["at"])
-            return F.when(best["score"].isNull(), F.struct(s.alias("starts"), F.lit(True).alias("done"))).otherwise(F.struct(merged.alias("starts"), F.lit(False).alias("done")))
+        done = F.struct(cuts.alias("cuts"), F.array().cast("array<bigint>").alias("open")).cast(state_type)
+        return F.when(F.size(open_) == 0, state).otherwise(_let(best, lambda z: F.when(z.isNull(), done).otherwise(merged(z))))
 
-        found = _let(F.array_max(F.transform(F.sequence(F.lit(0), F.size(s) - 3), union)), next_state)
-        return F.when(state["done"] | (F.size(s) < 3), state).otherwise(found).cast(step_type)
+    start = F.struct((_bit(n + 1) - 1).alias("cuts"), F.filter(edges, lambda z: _size(z) > 1).alias("open")).cast(state_type)
+    cuts = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, merge)["cuts"]
 
-    final = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, merge)["starts"]
-    return _let(final, lambda s: _spelled(word, edges, s, vocabulary))
+    def spelled(cuts: Column) -> Column:
+        used = F.filter(edges, lambda z: (cuts.bitwiseAND(_ends(z)) == _ends(z)) & (cuts.bitwiseAND(_inside(z)) == 0))
 
+        def ids(used: Column) -> Column:
+            in_order = F.array_sort(F.transform(used, lambda z: _left(_start(z).cast("long"), _ID) + z.bitwiseAND((1 << _ID) - 1)))
+            plain = F.transform(in_order, lambda z: z.bitwiseAND((1 << _ID) - 1).cast("int"))
+            symbol = lambda s: F.coalesce(F.get(F.transform(F.filter(used, lambda z: _start(z) == s), lambda z: F.array(z.bitwiseAND((1 << _ID) - 1).cast("int"))), F.lit(0)), _fallback(F.substring(word, s + 1, F.lit(1)), vocabulary))
+            starts = F.filter(F.sequence(F.lit(0), n - 1), lambda s: cuts.bitwiseAND(_bit(s)) != 0)
+            return F.when(F.size(used) == F.bit_count(cuts) - 1, plain).otherwise(F.flatten(F.transform(starts, symbol)))
 
-def _spelled(word: Column, edges: Column, starts: Column, vocabulary: Vocabulary) -> Column:
-    """The ids of the symbols between starts (the last is the end)."""
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(starts) - 2), lambda k: _ids(word, edges, F.get(starts, k), F.get(starts, k + 1), vocabulary)))
+        return _let(used, ids)
 
+    return _let(cuts, spelled)
 
-def _ids(word: Column, edges: Column, start: Column, end: Column, vocabulary: Vocabulary) -> Column:
-    return _let(F.try_element_at(edges, _key(start, end - start))["id"], lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(_fallback(F.substring(word, start + 1, F.lit(1)), vocabulary)))
+
+#: Key of an edge of a unigram lattice: its start (from 0) times this, plus its length.
+_WIDE = 256
+
+
+def _key(start: Column, length: Column) -> Column:
+    return start * _WIDE + length
 
 
 def _viterbi_fold(word: Column, edges: Column, vocabulary: Vocabulary) -> Column:
@@ -181,7 +286,13 @@ def _viterbi_fold(word: Column, edges: Column, vocabulary: Vocabulary) -> Column
 
         return F.aggregate(F.sequence(F.lit(1), n), F.array(n), walk)
 
-    return _let(_let(cells, back), lambda starts: _spelled(word, edges, starts, vocabulary))
+    def ids(start: Column, end: Column) -> Column:
+        return _let(F.try_element_at(edges, _key(start, end - start))["id"], lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(_fallback(F.substring(word, start + 1, F.lit(1)), vocabulary)))
+
+    def spelled(starts: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(starts) - 2), lambda k: ids(F.get(starts, k), F.get(starts, k + 1))))
+
+    return _let(_let(cells, back), spelled)
 
 
 def merge_long(word: str, ranks: dict[str, tuple[int, float]], vocabulary: Vocabulary) -> list[int]:
@@ -232,86 +343,111 @@ def _plain_ids(piece: str, ranks: dict[str, tuple[int, float]], vocabulary: Voca
     return [vocabulary.byte_ids[b] for b in piece.encode()] if vocabulary.byte_ids else [vocabulary.unknown]
 
 
-def _chunks(vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
-        cut = v.chunker()
-        seen: dict[int, set[str]] = {}
-        for b in batches:
-            for p, text in zip(b.column("bucket").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if text:
-                    seen.setdefault(p, set()).update(cut.findall(escaped(text, v)))
-            # Bounded: what a full set holds is written out; a chunk may then come again.
-            if sum(map(len, seen.values())) > 400_000:
-                yield from _listed(seen)
-        yield from _listed(seen)
-
-    return run
+_LISTED = pa.schema([("chunk", pa.string()), ("place", pa.int64())])
 
 
-_CHUNKS = pa.schema([("bucket", pa.int32()), ("chunk", pa.string())])
+def _unpacked(docs: pa.Table | pa.RecordBatch) -> list[str | None]:
+    z = zstandard.ZstdDecompressor()
+    return [None if t is None else z.decompress(t).decode() for t in docs.column("text").to_pylist()]
 
 
-def _listed(seen: dict[int, set[str]]) -> Iterator[pa.RecordBatch]:
-    for p, chunks in seen.items():
-        yield pa.RecordBatch.from_arrays([pa.array([p] * len(chunks), pa.int32()), pa.array(list(chunks), pa.string())], schema=_CHUNKS)
-    seen.clear()
+def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, their last column (text) compressed."""
+    z = zstandard.ZstdCompressor(1)
+    for b in batches:
+        packed = pa.array([None if t is None else z.compress(t.encode()) for t in b.columns[-1].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], packed], names=b.schema.names)
 
 
-def _long_chunks(vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
-        ranks = {p: (i, s) for p, i, s in v.usable()}
-        fold = merge_long if v.bpe else viterbi_long
-        schema = pa.schema([("chunk", pa.string()), ("ids", pa.list_(pa.int32()))])
-        for b in batches:
-            chunks = b.column("chunk").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.string()), pa.array([fold(c, ranks, v) for c in chunks], schema.field(1).type)], schema=schema)
+def _chunks(vocabulary):
+    def run(bucket: pa.Table) -> pa.Table:
+        """The distinct chunks of a bucket in the order of their hashes; place is the bucket and the chunk's number in it."""
+        cutter, known, words = vocabulary.value.cutter, np.zeros(0, np.uint64), []
+        for block, starts, hashes, _ in cutter.blocks(_unpacked(bucket)):
+            own, first = np.unique(hashes, return_index=True)
+            new = ~np.isin(own, known, assume_unique=True)
+            ends = np.append(starts, len(block))[first[new] + 1]
+            words.append((own[new], [block[i:j] for i, j in zip(starts[first[new]].tolist(), ends.tolist(), strict=True)]))
+            known = np.union1d(known, own)
+        order = np.argsort(np.concatenate([h for h, _ in words])) if words else []
+        texts = [w for _, ws in words for w in ws]
+        place = (bucket.column("bucket")[0].as_py() << 32) + np.arange(len(order), dtype=np.int64)
+        return pa.table([pa.array([texts[i] for i in order], pa.string()), pa.array(place)], schema=_LISTED)
 
     return run
 
 
 def lattice_ids(chunks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(chunk, ids) for distinct chunks (chunk: string, not null or empty)."""
+    """chunks (chunk: string, not empty; group: int; places; one row for each chunk and group) with a column ids.
+
+    Nothing is shuffled if chunks is dealt by chunk and group. ids is null for chunks of more than LONG characters.
+    """
     spark = chunks.sparkSession
-    short = chunks.where(F.length("chunk") <= LONG)
-    n = F.length("chunk")
-    starts = short.select("chunk", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    spans = starts.select("chunk", "start", F.explode(F.sequence(F.lit(1), F.least(n - F.col("start"), F.lit(vocabulary.longest)))).alias("size"))
-    edges = spans.select("chunk", _key(F.col("start"), F.col("size")).alias("at"), F.substring("chunk", F.col("start") + 1, F.col("size")).alias("piece"))
-    matched = edges.join(F.broadcast(vocabulary.table(spark)), "piece", "left").where("id is not null or at = 1")  # bounded by the vocabulary file
-    grouped = matched.groupBy("chunk").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", F.struct("id", "score").alias("edge")))).alias("e"))
-    grouped = grouped.withColumn("edges", F.map_from_entries("e"))
-    fold = _bpe_fold if vocabulary.bpe else _viterbi_fold
-    out = grouped.select("chunk", _let(F.col("edges"), lambda e: fold(F.col("chunk"), e, vocabulary)).alias("ids"))
-    shared = spark.sparkContext.broadcast(vocabulary)
-    return out.unionByName(chunks.where(F.length("chunk") > LONG).mapInArrow(_long_chunks(shared), "chunk string, ids array<int>"))
+    n, short = F.length("chunk"), F.length("chunk") <= LONG
+    starts = chunks.select("*", F.explode(F.sequence(F.lit(0), F.when(short, n - 1).otherwise(0))).alias("start"))
+    most = F.when(short, F.least(n - F.col("start"), F.lit(vocabulary.longest))).otherwise(1)
+    spans = starts.select("*", F.explode(F.sequence(F.lit(1), most)).alias("size"))
+    edges = spans.withColumn("piece", F.substring("chunk", F.col("start") + 1, F.col("size")))
+    # The piece table is bounded by the vocabulary file. The first character is kept, piece or not, so that no chunk gets lost.
+    matched = edges.join(F.broadcast(vocabulary.table(spark)), "piece", "left").where("id is not null or (start = 0 and size = 1)")
+    edge = _pack() if vocabulary.bpe else F.struct(_key(F.col("start"), F.col("size")), F.struct("id", "score"))
+    grouped = matched.groupBy("chunk", "group").agg(F.first("places").alias("places"), F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("e"))
+    in_order, fold = (F.sort_array("e"), _bpe_fold) if vocabulary.bpe else (F.map_from_entries("e"), _viterbi_fold)
+    return grouped.withColumn("edges", in_order).select("chunk", "group", "places", F.when(short, _let(F.col("edges"), lambda e: fold(F.col("chunk"), e, vocabulary))).alias("ids"))
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at starts, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+
+
+def _lists(listed: pa.Table, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the chunks in order of their numbers, one after the other, and how many each has."""
+    listed = listed.sort_by("place")
+    lists = listed.column("ids").to_pylist() if listed.column("chunk").null_count < listed.num_rows else None
+    if lists is not None:
+        ranks = {p: (i, s) for p, i, s in v.usable()}
+        fold = merge_long if v.bpe else viterbi_long
+        column = pa.array([x if c is None else fold(c, ranks, v) for x, c in zip(lists, listed.column("chunk").to_pylist(), strict=True)], pa.list_(pa.int32()))
+    else:
+        column = pa.concat_arrays(listed.column("ids").chunks) if listed.num_rows else pa.array([], pa.list_(pa.int32()))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int32), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _assemble(vocabulary, keys: list[str], full: bool):
-    def run(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
-        v = vocabulary.value
-        cut, pieces = v.chunker(), v.as_bytes()
-        chunks, lists = dictionary.column("chunk").to_pylist(), dictionary.column("ids").combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-        flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        number = {c: i for i, c in enumerate(chunks)}
-        prefix = SPACE.encode() if v.dummy_prefix else b""
-        sizes, hashes, same, all_ids = [], [], [], []
-        for text in docs.column("text").to_pylist():
-            at = np.fromiter(map(number.__getitem__, cut.findall(escaped(text, v))), np.int64) if text else np.zeros(0, np.int64)
-            starts, lengths = ends[at], ends[at + 1] - ends[at]
-            total = int(lengths.sum())
-            # The ids of all chunks, one after the other.
-            ids = flat[np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(total)] if total else np.zeros(0, np.int32)
-            back = b"".join(map(pieces.__getitem__, ids.tolist()))
-            sizes.append(total)
-            hashes.append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
-            same.append(text is not None and back.removeprefix(prefix).replace(SPACE.encode(), b" ") == text.replace(SPACE, " ").encode())
-            all_ids.append(ids if full else None)
-        columns = [docs.column(k) for k in keys]
-        return pa.table([*columns, pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(same, pa.bool_()), pa.array(all_ids, pa.list_(pa.int32()))], names=[*keys, "n_tokens", "ids_sha256", "round_trip", "ids"])
+    def run(docs: pa.Table, listed: pa.Table) -> pa.Table:
+        v, texts = vocabulary.value, _unpacked(docs)
+        n = len(texts)
+        flat, sizes = _lists(listed, v)
+        begins = np.cumsum(sizes) - sizes
+        spelled = v.as_bytes()
+        letters, lengths = np.frombuffer(b"".join(spelled), np.uint8), np.array([len(x) for x in spelled], np.int64)
+        offsets = np.cumsum(lengths) - lengths
+        # A bucket's chunks are numbered in the order of their hashes.
+        blocks = list(v.cutter.blocks(texts))
+        known = np.unique(np.concatenate([np.unique(h) for _, _, h, _ in blocks])) if blocks else np.zeros(0, np.uint64)
+        if len(known) != len(sizes):
+            raise RuntimeError(f"{len(known)} chunks in the texts, {len(sizes)} in the list")
+        counts, same, parts = np.zeros(n, np.int64), [t is not None for t in texts], []
+        for block, starts, hashes, owner in blocks:
+            at = np.searchsorted(known, hashes)
+            ids = _gather(flat, begins[at], sizes[at])
+            parts.append(ids)
+            counts += np.bincount(owner, sizes[at], minlength=n).astype(np.int64)
+            # The bytes that all ids stand for, one after the other, are the block's if every text in it decodes to itself.
+            if _gather(letters, offsets[ids], lengths[ids]).tobytes() != block.encode():
+                first, last = np.cumsum(sizes[at]) - sizes[at], np.cumsum(sizes[at])
+                edges = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)]
+                for i, j in zip(edges[:-1], edges[1:], strict=True):
+                    text = block[starts[i] : starts[j] if j < len(starts) else None]
+                    same[owner[i]] &= b"".join(spelled[x] for x in ids[first[i] : last[j - 1]].tolist()) == text.encode()
+        all_ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        raw = memoryview(all_ids.astype("<i4").tobytes())
+        digests = [hashlib.sha256(raw[4 * i : 4 * j]).hexdigest() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(all_ids, pa.int32())) if full else pa.nulls(n, pa.list_(pa.int32()))
+        return pa.table([*(docs.column(k) for k in keys), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_()), lists], names=[*keys, "n_tokens", "ids_sha256", "round_trip", "ids"])
 
     return run
 
@@ -323,7 +459,10 @@ def encode(docs: DataFrame, model_file: str, keys: tuple[str, ...] = ("doc_id",)
     and, if full, ids (else null). A null text has no ids and no round trip (false), an empty one no ids. Text is
     taken as it is, white space of every kind included; U+2581 in a text decodes to a space, as the
     encoding defines. Rows are encoded one by one, so repeated rows give repeated rows, and no rows
-    none. Measures the input's size at once, to choose the number of buckets.
+    none. Of two unions with the same score the leftmost merges first; of two paths with the same sum the one with the
+    longer last piece is taken. A text of any length is cut and hashed in slices, but held whole by one task.
+    Extra columns may have any names: only keys and text are read. Measures the input's size at once, to choose the
+    number of buckets.
     """
     spark = docs.sparkSession
     vocabulary = Vocabulary.load(model_file)
@@ -331,13 +470,18 @@ def encode(docs: DataFrame, model_file: str, keys: tuple[str, ...] = ("doc_id",)
     rows = docs.select(*keys, F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys, "text"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
-    listed = dealt.select("bucket", "text").mapInArrow(_chunks(shared), "bucket int, chunk string").where("chunk <> ''")
-    by_chunk = listed.groupBy("chunk").agg(F.collect_set("bucket").alias("buckets"))
-    ids = lattice_ids(by_chunk.select("chunk"), vocabulary)
-    dictionary = by_chunk.join(ids, "chunk").select(F.explode("buckets").alias("bucket"), "chunk", "ids")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
-    return dealt.groupBy("bucket").cogroup(dictionary.groupBy("bucket")).applyInArrow(_assemble(shared, list(keys), full), f"{types}, n_tokens long, ids_sha256 string, round_trip boolean, ids array<int>")
+    rows = rows.select(*keys, F.pmod(F.xxhash64(*keys, "text"), F.lit(buckets)).cast("int").alias("bucket"), "text")
+    key_types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keys).schema)
+    dealt = rows.mapInArrow(_compress, f"{key_types}bucket int, text binary").repartition(buckets, "bucket")
+    listed = dealt.groupBy("bucket").applyInArrow(_chunks(shared), "chunk string, place long")
+    grouped = listed.withColumn("group", (_right(F.col("place"), 32) / TOGETHER).cast("int"))
+    # Twice as many partitions as buckets: each row of them stands for a lattice.
+    by_chunk = grouped.repartition(max(2 * buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunk", "group").groupBy("chunk", "group").agg(F.collect_list("place").alias("places"))
+    ids = lattice_ids(by_chunk, vocabulary)
+    told = ids.select(F.explode("places").alias("place"), F.when(F.length("chunk") > LONG, F.col("chunk")).alias("chunk"), "ids")
+    told = told.withColumn("bucket", _right(F.col("place"), 32).cast("int"))
+    out = f"{key_types}n_tokens long, ids_sha256 string, round_trip boolean, ids array<int>"
+    return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_assemble(shared, list(keys), full), out)
 
 
 def decode(rows: DataFrame, model_file: str) -> DataFrame:
