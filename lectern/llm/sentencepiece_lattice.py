@@ -11,10 +11,11 @@ them into ids:
 
 A chunk of more than ``LONG`` characters does not fit the fold's bit mask; it is folded in Python by the same rule.
 
-Texts travel compressed, and once: they are dealt into buckets of bounded size by a hash. A bucket lists each of its
-chunks once, with a number; chunks are grouped over up to ``TOGETHER`` buckets at a time, so no list of buckets grows with
-the corpus and no chunk, however common, gathers more rows than that in one group. What comes back to a bucket
-is (number, ids), and its texts are put together by array look-ups.
+Texts travel compressed, and once: they are dealt into buckets of bounded size by a hash. A bucket numbers its distinct
+chunks in the order of their hashes and sends them, packed, to the parts of its group of up to ``TOGETHER`` buckets; a part
+finds the distinct chunks of its share of the hashes. So a lattice is built once for each chunk and group, however common the
+chunk, and no list grows with the corpus. What comes back to a bucket is the ids of its chunks by number, packed as
+well, and its texts are put together by array look-ups.
 
 The vocabulary file is read by the driver from a path; the piece table (its rows) is what is broadcast.
 """
@@ -158,8 +159,8 @@ class Cutter:
             self.odd = mix(np.arange(2 * most, dtype=np.uint64), 22) | np.uint64(1)
         with np.errstate(over="ignore"):
             hashes = mix(np.add.reduceat(self.value[codes] * self.odd[at], starts) + sizes.astype(np.uint64), 23)
-        owner = np.repeat(np.array([i for i, _ in parts]), np.diff(np.searchsorted(starts, first)))
-        return block, starts, hashes, owner
+        owner = np.repeat(np.array([i for i, _ in parts], np.int32), np.diff(np.searchsorted(starts, first)))
+        return block, starts.astype(np.int32), hashes, owner
 
 
 def _fallback(char: Column, vocabulary: Vocabulary) -> Column:
@@ -343,9 +344,6 @@ def _plain_ids(piece: str, ranks: dict[str, tuple[int, float]], vocabulary: Voca
     return [vocabulary.byte_ids[b] for b in piece.encode()] if vocabulary.byte_ids else [vocabulary.unknown]
 
 
-_LISTED = pa.schema([("chunk", pa.string()), ("place", pa.int64())])
-
-
 def _unpacked(docs: pa.Table | pa.RecordBatch) -> list[str | None]:
     z = zstandard.ZstdDecompressor()
     return [None if t is None else z.decompress(t).decode() for t in docs.column("text").to_pylist()]
@@ -359,24 +357,72 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], packed], names=b.schema.names)
 
 
-def _chunks(vocabulary):
+def _sealed(*columns: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(b"".join(c if isinstance(c, bytes) else c.astype("<u4").tobytes() for c in columns))
+
+
+def _opened(blob: bytes) -> tuple[int, np.ndarray, np.ndarray, bytes]:
+    """What _sealed packed: a bucket, numbers (as steps), sizes, and the bytes or integers that these measure."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    bucket, n = np.frombuffer(raw, "<u4", 2).tolist()
+    return bucket, np.frombuffer(raw, "<u4", n, 8).cumsum(dtype=np.int64), np.frombuffer(raw, "<u4", n, 8 + 4 * n).astype(np.int64), raw[8 + 8 * n :]
+
+
+def _steps(sorted_numbers: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_numbers, prepend=0)
+
+
+_SENT = pa.schema([("group", pa.int32()), ("part", pa.int32()), ("chunks", pa.binary())])
+
+
+def _chunks(vocabulary, parts: int):
     def run(bucket: pa.Table) -> pa.Table:
-        """The distinct chunks of a bucket in the order of their hashes; place is the bucket and the chunk's number in it."""
+        """The distinct chunks of a bucket with their numbers, for each part of its group."""
         cutter, known, words = vocabulary.value.cutter, np.zeros(0, np.uint64), []
         for block, starts, hashes, _ in cutter.blocks(_unpacked(bucket)):
             own, first = np.unique(hashes, return_index=True)
             new = ~np.isin(own, known, assume_unique=True)
             ends = np.append(starts, len(block))[first[new] + 1]
-            words.append((own[new], [block[i:j] for i, j in zip(starts[first[new]].tolist(), ends.tolist(), strict=True)]))
+            words.append((own[new], [block[i:j].encode() for i, j in zip(starts[first[new]].tolist(), ends.tolist(), strict=True)]))
             known = np.union1d(known, own)
-        order = np.argsort(np.concatenate([h for h, _ in words])) if words else []
+        number = bucket.column("bucket")[0].as_py()
+        order = np.argsort(np.concatenate([h for h, _ in words])) if words else np.zeros(0, np.int64)
         texts = [w for _, ws in words for w in ws]
-        place = (bucket.column("bucket")[0].as_py() << 32) + np.arange(len(order), dtype=np.int64)
-        return pa.table([pa.array([texts[i] for i in order], pa.string()), pa.array(place)], schema=_LISTED)
+        part = (known >> np.uint64(32)).astype(np.int64) % parts
+        rows: list[list] = [[], [], []]
+        for p in np.unique(part).tolist():
+            at = np.flatnonzero(part == p)
+            own = [texts[i] for i in order[at].tolist()]
+            rows[1].append(p)
+            rows[2].append(_sealed(np.array([number, len(at)]), _steps(at), np.fromiter(map(len, own), np.int64, len(own)), b"".join(own)))
+        rows[0] = [number // TOGETHER] * len(rows[1])
+        return pa.table([pa.array(c, f.type) for c, f in zip(rows, _SENT, strict=True)], schema=_SENT)
 
     return run
 
 
+_DISTINCT = pa.schema([("chunk", pa.string()), ("group", pa.int32()), ("places", pa.list_(pa.int64()))])
+
+
+def _distinct(sent: pa.Table) -> pa.Table:
+    """The distinct chunks of one part of a group; places are the buckets and the numbers there."""
+    places, sizes, letters = [], [], []
+    for blob in sent.column("chunks").to_pylist():
+        bucket, numbers, lengths, raw = _opened(blob)
+        places.append((bucket << 32) + numbers)
+        sizes.append(lengths)
+        letters.append(raw)
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(b"".join(letters))])
+    coded = chunks.dictionary_encode()
+    which = coded.indices.to_numpy()
+    order = np.argsort(which, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(coded.dictionary)))])
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(places)[order], pa.int64()))
+    group = np.full(len(lists), sent.column("group")[0].as_py(), np.int32)
+    return pa.table([coded.dictionary.cast(pa.large_string()).cast(pa.string()), pa.array(group), lists], schema=_DISTINCT)
+
+
 def lattice_ids(chunks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """chunks (chunk: string, not empty; group: int; places; one row for each chunk and group) with a column ids.
 
@@ -402,34 +448,76 @@ def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
 
 
-def _lists(listed: pa.Table, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the chunks in order of their numbers, one after the other, and how many each has."""
-    listed = listed.sort_by("place")
-    lists = listed.column("ids").to_pylist() if listed.column("chunk").null_count < listed.num_rows else None
-    if lists is not None:
-        ranks = {p: (i, s) for p, i, s in v.usable()}
-        fold = merge_long if v.bpe else viterbi_long
-        column = pa.array([x if c is None else fold(c, ranks, v) for x, c in zip(lists, listed.column("chunk").to_pylist(), strict=True)], pa.list_(pa.int32()))
-    else:
-        column = pa.concat_arrays(listed.column("ids").chunks) if listed.num_rows else pa.array([], pa.list_(pa.int32()))
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int32), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of lists, one after the other, and the sizes; nulls have none."""
+    return lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+_TOLD = pa.schema([("bucket", pa.int32()), ("told", pa.binary())])
+#: Ids of chunks that a task holds at a time before it sends them.
+HELD = 1 << 21
+
+
+def _tell(vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each bucket the ids of its chunks, by number; long chunks are folded here."""
+        v = vocabulary.value
+        ranks, fold = {p: (i, s) for p, i, s in v.usable()}, merge_long if v.bpe else viterbi_long
+        waiting, size = [], 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            places = np.concatenate([p for p, _, _ in waiting])
+            flat, sizes = np.concatenate([f for _, f, _ in waiting]), np.concatenate([s for _, _, s in waiting])
+            begins, order = np.cumsum(sizes) - sizes, np.argsort(places)
+            buckets = places[order] >> 32
+            edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(order)]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                at = order[i:j]
+                told = _sealed(np.array([buckets[i], len(at)]), _steps(places[at] & 0xFFFFFFFF), sizes[at], _gather(flat, begins[at], sizes[at]))
+                yield pa.RecordBatch.from_arrays([pa.array([buckets[i]], pa.int32()), pa.array([told], pa.binary())], schema=_TOLD)
+
+        for b in batches:
+            ids = b.column("ids")
+            if ids.null_count:
+                ids = pa.array([fold(c, ranks, v) if x is None else x for c, x in zip(b.column("chunk").to_pylist(), ids.to_pylist(), strict=True)], ids.type)
+            (flat, sizes), (places, times) = _flat(ids), _flat(b.column("places"))
+            begins = np.cumsum(sizes) - sizes
+            waiting.append((places, _gather(flat.astype(np.int32), np.repeat(begins, times), np.repeat(sizes, times)), np.repeat(sizes, times)))
+            size += len(waiting[-1][1])
+            if size >= HELD:
+                yield from send()
+                waiting, size = [], 0
+        if waiting:
+            yield from send()
+
+    return run
+
+
+def _by_number(told: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a bucket's chunks in the order of their numbers, one after the other, and how many each has."""
+    if not told:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    _, numbers, sizes, raws = zip(*map(_opened, told), strict=True)
+    flat, lengths, order = np.concatenate([np.frombuffer(r, "<u4") for r in raws]).astype(np.int32), np.concatenate(sizes), np.argsort(np.concatenate(numbers))
+    return _gather(flat, (np.cumsum(lengths) - lengths)[order], lengths[order]), lengths[order]
 
 
 def _assemble(vocabulary, keys: list[str], full: bool):
-    def run(docs: pa.Table, listed: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         v, texts = vocabulary.value, _unpacked(docs)
-        n = len(texts)
-        flat, sizes = _lists(listed, v)
+        n, same = len(texts), [t is not None for t in texts]
+        flat, sizes = _by_number(told.column("told").to_pylist())
         begins = np.cumsum(sizes) - sizes
         spelled = v.as_bytes()
         letters, lengths = np.frombuffer(b"".join(spelled), np.uint8), np.array([len(x) for x in spelled], np.int64)
         offsets = np.cumsum(lengths) - lengths
         # A bucket's chunks are numbered in the order of their hashes.
         blocks = list(v.cutter.blocks(texts))
+        del texts
         known = np.unique(np.concatenate([np.unique(h) for _, _, h, _ in blocks])) if blocks else np.zeros(0, np.uint64)
         if len(known) != len(sizes):
             raise RuntimeError(f"{len(known)} chunks in the texts, {len(sizes)} in the list")
-        counts, same, parts = np.zeros(n, np.int64), [t is not None for t in texts], []
+        counts, parts = np.zeros(n, np.int64), []
         for block, starts, hashes, owner in blocks:
             at = np.searchsorted(known, hashes)
             ids = _gather(flat, begins[at], sizes[at])
@@ -473,13 +561,12 @@ def encode(docs: DataFrame, model_file: str, keys: tuple[str, ...] = ("doc_id",)
     rows = rows.select(*keys, F.pmod(F.xxhash64(*keys, "text"), F.lit(buckets)).cast("int").alias("bucket"), "text")
     key_types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keys).schema)
     dealt = rows.mapInArrow(_compress, f"{key_types}bucket int, text binary").repartition(buckets, "bucket")
-    listed = dealt.groupBy("bucket").applyInArrow(_chunks(shared), "chunk string, place long")
-    grouped = listed.withColumn("group", (_right(F.col("place"), 32) / TOGETHER).cast("int"))
-    # Twice as many partitions as buckets: each row of them stands for a lattice.
-    by_chunk = grouped.repartition(max(2 * buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunk", "group").groupBy("chunk", "group").agg(F.collect_list("place").alias("places"))
-    ids = lattice_ids(by_chunk, vocabulary)
-    told = ids.select(F.explode("places").alias("place"), F.when(F.length("chunk") > LONG, F.col("chunk")).alias("chunk"), "ids")
-    told = told.withColumn("bucket", _right(F.col("place"), 32).cast("int"))
+    parts = 2 * min(buckets, TOGETHER)
+    sent = dealt.groupBy("bucket").applyInArrow(_chunks(shared, parts), "group int, part int, chunks binary")
+    by_chunk = sent.groupBy("group", "part").applyInArrow(_distinct, "chunk string, group int, places array<bigint>")
+    # Each row stands for a lattice, so there are as many partitions as the buckets are worth.
+    ids = lattice_ids(by_chunk.repartition(max(2 * buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunk", "group"), vocabulary)
+    told = ids.select("chunk", "places", "ids").mapInArrow(_tell(shared), "bucket int, told binary")
     out = f"{key_types}n_tokens long, ids_sha256 string, round_trip boolean, ids array<int>"
     return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_assemble(shared, list(keys), full), out)
 
