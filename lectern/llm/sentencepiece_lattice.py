@@ -163,17 +163,6 @@ class Cutter:
         return block, starts.astype(np.int32), hashes, owner
 
 
-def _fallback(char: Column, vocabulary: Vocabulary) -> Column:
-    """The ids of a character that is no piece."""
-    if not vocabulary.byte_ids:
-        return F.array(F.lit(vocabulary.unknown))
-    first = vocabulary.byte_ids[0]
-    if vocabulary.byte_ids != list(range(first, first + 256)):
-        raise ValueError("byte pieces must be in order")
-    code = F.hex(F.encode(char, "UTF-8"))
-    return F.transform(F.sequence(F.lit(0), F.octet_length(char) - 1), lambda b: (F.conv(F.substring(code, b * 2 + 1, F.lit(2)), 16, 10).cast("int") + first))
-
-
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once, however often body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -189,6 +178,8 @@ def _right(x: Column, by: Column | int) -> Column:
 
 # An edge of a BPE lattice is one long: rank, start, size and id, so that the least one merges first.
 _ID, _SIZE, _START = 20, 26, 32
+#: What the folds give for a character that no edge covers: this plus its code point.
+CHAR = 1 << 21
 
 
 def _pack() -> Column:
@@ -207,50 +198,46 @@ def _bit(at: Column) -> Column:
     return _left(F.lit(1).cast("long"), at)
 
 
-def _ends(z: Column) -> Column:
-    return _bit(_start(z)).bitwiseOR(_bit(_start(z) + _size(z)))
-
-
-def _inside(z: Column) -> Column:
-    return _left(_bit(_size(z) - 1) - 1, _start(z) + 1)
+def _char(word: Column, start: Column) -> Column:
+    return F.ascii(F.substring(word, start + 1, F.lit(1))) + CHAR
 
 
 def _bpe_fold(word: Column, edges: Column, vocabulary: Vocabulary) -> Column:
     """Merges the adjacent symbols whose union has the best score, the leftmost first, until no union is a piece.
 
-    The places where symbols start, and the end of the last, are the bits of a long; edges come best first.
+    The places where symbols start, and the end of the last, are the bits of a long; edges (of two characters at
+    least) come best first. Open is an edge while its ends are cuts and there are cuts inside.
     """
     n = F.length(word)
-    state_type = "struct<cuts:bigint,open:array<bigint>>"
+    edge_type = "struct<ends:bigint,inside:bigint>"
+    state_type = f"struct<cuts:bigint,open:array<{edge_type}>>"
 
-    def still(cuts: Column, z: Column) -> Column:
-        return (cuts.bitwiseAND(_ends(z)) == _ends(z)) & (cuts.bitwiseAND(_inside(z)) != 0)
+    def mask(z: Column) -> Column:
+        ends = _bit(_start(z)) + _bit(_start(z) + _size(z))
+        return F.struct(ends.alias("ends"), _left(_bit(_size(z) - 1) - 1, _start(z) + 1).alias("inside")).cast(edge_type)
 
     def merge(state: Column, _: Column) -> Column:
         cuts, open_ = state["cuts"], state["open"]
-        best = F.get(F.filter(open_, lambda z: _let(cuts.bitwiseAND(_inside(z)), lambda x: x.bitwiseAND(x - 1) == 0)), F.lit(0))
+        best = F.get(F.filter(open_, lambda z: F.bit_count(cuts.bitwiseAND(z["inside"])) == 1), F.lit(0))
 
-        def merged(z: Column) -> Column:
-            after = cuts.bitwiseAND(F.bitwise_not(_inside(z)))
-            return _let(after, lambda c: F.struct(c.alias("cuts"), F.filter(open_, lambda y: still(c, y)).alias("open")).cast(state_type))
+        def merged(cuts: Column) -> Column:
+            still = F.filter(open_, lambda z: (cuts.bitwiseAND(z["inside"]) != 0) & (cuts.bitwiseAND(z["ends"]) == z["ends"]))
+            return F.struct(cuts.alias("cuts"), still.alias("open")).cast(state_type)
 
-        done = F.struct(cuts.alias("cuts"), F.array().cast("array<bigint>").alias("open")).cast(state_type)
-        return F.when(F.size(open_) == 0, state).otherwise(_let(best, lambda z: F.when(z.isNull(), done).otherwise(merged(z))))
+        done = F.struct(cuts.alias("cuts"), F.array().cast(f"array<{edge_type}>").alias("open")).cast(state_type)
+        next_ = _let(best, lambda z: F.when(z.isNull(), done).otherwise(_let(cuts - cuts.bitwiseAND(z["inside"]), merged)))
+        return F.when(F.size(open_) == 0, state).otherwise(next_)
 
-    start = F.struct((_bit(n + 1) - 1).alias("cuts"), F.filter(edges, lambda z: _size(z) > 1).alias("open")).cast(state_type)
+    start = F.struct((_bit(n + 1) - 1).alias("cuts"), F.transform(edges, mask).alias("open")).cast(state_type)
     cuts = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, merge)["cuts"]
 
     def spelled(cuts: Column) -> Column:
-        used = F.filter(edges, lambda z: (cuts.bitwiseAND(_ends(z)) == _ends(z)) & (cuts.bitwiseAND(_inside(z)) == 0))
-
-        def ids(used: Column) -> Column:
-            in_order = F.array_sort(F.transform(used, lambda z: _left(_start(z).cast("long"), _ID) + z.bitwiseAND((1 << _ID) - 1)))
-            plain = F.transform(in_order, lambda z: z.bitwiseAND((1 << _ID) - 1).cast("int"))
-            symbol = lambda s: F.coalesce(F.get(F.transform(F.filter(used, lambda z: _start(z) == s), lambda z: F.array(z.bitwiseAND((1 << _ID) - 1).cast("int"))), F.lit(0)), _fallback(F.substring(word, s + 1, F.lit(1)), vocabulary))
-            starts = F.filter(F.sequence(F.lit(0), n - 1), lambda s: cuts.bitwiseAND(_bit(s)) != 0)
-            return F.when(F.size(used) == F.bit_count(cuts) - 1, plain).otherwise(F.flatten(F.transform(starts, symbol)))
-
-        return _let(used, ids)
+        # Symbols: edges with cuts at their ends only, and characters with a cut on either side.
+        whole = lambda z: _right(cuts, _start(z)).bitwiseAND(_bit(_size(z) + 1) - 1) == _bit(_size(z)) + 1
+        alone = F.filter(F.sequence(F.lit(0), n - 1), lambda s: _right(cuts, s).bitwiseAND(3) == 3)
+        pieces = F.transform(F.filter(edges, whole), lambda z: _left(_start(z).cast("long"), 24) + z.bitwiseAND((1 << _ID) - 1))
+        chars = F.transform(alone, lambda s: _left(s.cast("long"), 24) + _char(word, s))
+        return F.transform(F.sort_array(F.concat(pieces, chars)), lambda x: x.bitwiseAND((1 << 24) - 1).cast("int"))
 
     return _let(cuts, spelled)
 
@@ -288,7 +275,7 @@ def _viterbi_fold(word: Column, edges: Column, vocabulary: Vocabulary) -> Column
         return F.aggregate(F.sequence(F.lit(1), n), F.array(n), walk)
 
     def ids(start: Column, end: Column) -> Column:
-        return _let(F.try_element_at(edges, _key(start, end - start))["id"], lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(_fallback(F.substring(word, start + 1, F.lit(1)), vocabulary)))
+        return _let(F.try_element_at(edges, _key(start, end - start))["id"], lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(F.array(_char(word, start))))
 
     def spelled(starts: Column) -> Column:
         return F.flatten(F.transform(F.sequence(F.lit(0), F.size(starts) - 2), lambda k: ids(F.get(starts, k), F.get(starts, k + 1))))
@@ -426,18 +413,22 @@ def _distinct(sent: pa.Table) -> pa.Table:
 def lattice_ids(chunks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """chunks (chunk: string, not empty; group: int; places; one row for each chunk and group) with a column ids.
 
-    Nothing is shuffled if chunks is dealt by chunk and group. ids is null for chunks of more than LONG characters.
+    A character that no edge covers stands as CHAR plus its code point. Nothing is shuffled if chunks is dealt by chunk
+    and group. ids is null for chunks of more than LONG characters.
     """
     spark = chunks.sparkSession
     n, short = F.length("chunk"), F.length("chunk") <= LONG
-    starts = chunks.select("*", F.explode(F.sequence(F.lit(0), F.when(short, n - 1).otherwise(0))).alias("start"))
+    # Characters are symbols without an edge in BPE, so their edges are of two characters or more; the row of the first character keeps every chunk.
+    least = F.when((F.col("start") == 0) | ~F.lit(vocabulary.bpe), 1).otherwise(2)
+    starts = chunks.select("*", F.explode(F.sequence(F.lit(0), F.when(short, F.greatest(n - (2 if vocabulary.bpe else 1), F.lit(0))).otherwise(0))).alias("start"))
     most = F.when(short, F.least(n - F.col("start"), F.lit(vocabulary.longest))).otherwise(1)
-    spans = starts.select("*", F.explode(F.sequence(F.lit(1), most)).alias("size"))
+    spans = starts.select("*", F.explode(F.sequence(least, most)).alias("size"))
     edges = spans.withColumn("piece", F.substring("chunk", F.col("start") + 1, F.col("size")))
-    # The piece table is bounded by the vocabulary file. The first character is kept, piece or not, so that no chunk gets lost.
+    # The piece table is bounded by the vocabulary file.
     matched = edges.join(F.broadcast(vocabulary.table(spark)), "piece", "left").where("id is not null or (start = 0 and size = 1)")
     edge = _pack() if vocabulary.bpe else F.struct(_key(F.col("start"), F.col("size")), F.struct("id", "score"))
-    grouped = matched.groupBy("chunk", "group").agg(F.first("places").alias("places"), F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("e"))
+    wanted = F.col("id").isNotNull() & (F.col("size") >= (2 if vocabulary.bpe else 1))
+    grouped = matched.groupBy("chunk", "group").agg(F.first("places").alias("places"), F.collect_list(F.when(wanted, edge)).alias("e"))
     in_order, fold = (F.sort_array("e"), _bpe_fold) if vocabulary.bpe else (F.map_from_entries("e"), _viterbi_fold)
     return grouped.withColumn("edges", in_order).select("chunk", "group", "places", F.when(short, _let(F.col("edges"), lambda e: fold(F.col("chunk"), e, vocabulary))).alias("ids"))
 
@@ -463,8 +454,26 @@ def _tell(vocabulary):
         """For each bucket the ids of its chunks, by number; long chunks are folded here."""
         v = vocabulary.value
         ranks, fold = {p: (i, s) for p, i, s in v.usable()}, merge_long if v.bpe else viterbi_long
+        chars = {ord(p): i for p, (i, _) in ranks.items() if len(p) == 1}
+        char_ids = np.full(0x110000, -1, np.int32)
+        char_ids[list(chars)] = list(chars.values())
         waiting, size = [], 0
 
+        def resolved(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The ids with characters replaced by theirs, or by their bytes'."""
+            at = np.flatnonzero(flat >= CHAR)
+            ids = flat.astype(np.int32)
+            ids[at] = char_ids[flat[at] - CHAR]
+            lost = at[ids[at] < 0]
+            if not len(lost):
+                return ids, sizes
+            spelled = [_plain_ids(chr(c), ranks, v) for c in (flat[lost] - CHAR).tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[lost] = [len(x) for x in spelled]
+            out = np.repeat(ids, times)
+            out[np.repeat(ids < 0, times)] = [i for x in spelled for i in x]
+            return out, np.bincount(np.repeat(np.arange(len(sizes)), sizes), times, minlength=len(sizes)).astype(np.int64)
+
         def send() -> Iterator[pa.RecordBatch]:
             places = np.concatenate([p for p, _, _ in waiting])
             flat, sizes = np.concatenate([f for _, f, _ in waiting]), np.concatenate([s for _, _, s in waiting])
@@ -480,9 +489,9 @@ def _tell(vocabulary):
             ids = b.column("ids")
             if ids.null_count:
                 ids = pa.array([fold(c, ranks, v) if x is None else x for c, x in zip(b.column("chunk").to_pylist(), ids.to_pylist(), strict=True)], ids.type)
-            (flat, sizes), (places, times) = _flat(ids), _flat(b.column("places"))
+            (flat, sizes), (places, times) = resolved(*_flat(ids)), _flat(b.column("places"))
             begins = np.cumsum(sizes) - sizes
-            waiting.append((places, _gather(flat.astype(np.int32), np.repeat(begins, times), np.repeat(sizes, times)), np.repeat(sizes, times)))
+            waiting.append((places, _gather(flat, np.repeat(begins, times), np.repeat(sizes, times)), np.repeat(sizes, times)))
             size += len(waiting[-1][1])
             if size >= HELD:
                 yield from send()
