@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -51,6 +53,73 @@ def window_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return out
 
 
+#: Bytes that are hashed at once.
+SLICE = 1 << 17
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_IS_GAP = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+
+
+class WordHashes:
+    """64-bit hashes of the words of many texts at once (multilinear, with fixed random coefficients); the same on every executor."""
+
+    def __init__(self, lower: bool = False):
+        self.value = mix(np.arange(256, dtype=np.uint64), 31)
+        if lower:
+            self.value[ord("A") : ord("Z") + 1] = self.value[ord("a") : ord("z") + 1]
+        self.value[_IS_GAP] = 0
+        self.odd = np.zeros(0, np.uint64)
+
+    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the words of all texts, one after the other, and the number of words of each (null: none)."""
+        counts, out, waiting, size = np.zeros(len(texts), np.int64), [], [], 0
+        for i, t in enumerate(texts):
+            at = 0
+            while t and at < len(t):
+                # Long texts are cut between words.
+                gap = _GAP.search(t, at + SLICE) if at + SLICE < len(t) else None
+                end = gap.start() if gap else len(t)
+                waiting.append((i, t[at:end]))
+                size += end - at + 1
+                at = end
+                if size >= SLICE:
+                    out.append(self._block(waiting, counts))
+                    waiting, size = [], 0
+        if waiting:
+            out.append(self._block(waiting, counts))
+        return np.concatenate(out) if out else np.zeros(0, np.uint64), counts
+
+    def _block(self, parts: list[tuple[int, bytes]], counts: np.ndarray) -> np.ndarray:
+        codes = np.frombuffer(b" ".join(t for _, t in parts) + b" ", np.uint8)
+        gap = _IS_GAP[codes]
+        starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
+        if not gap[0]:
+            starts = np.concatenate([[0], starts])
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        # A word and the gap after it make a span; the gap's values are 0.
+        spans = np.diff(np.append(starts, len(codes)))
+        if (most := int(spans.max())) > len(self.odd):
+            self.odd = mix(np.arange(2 * most, dtype=np.uint64), 32) | np.uint64(1)
+        at = np.arange(starts[0], len(codes), dtype=np.int32) - np.repeat(starts.astype(np.int32), spans)
+        offsets = np.cumsum([0, *(len(t) + 1 for _, t in parts)])
+        np.add.at(counts, [i for i, _ in parts], np.diff(np.searchsorted(starts, offsets)))
+        with np.errstate(over="ignore"):
+            return mix(np.add.reduceat(self.value[codes[starts[0] :]] * self.odd[at], starts - starts[0]), 33)
+
+
+def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, their last column (text as bytes) compressed."""
+    z = zstandard.ZstdCompressor(1)
+    for b in batches:
+        packed = pa.array([None if t is None else z.compress(t) for t in b.columns[-1].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], packed], names=b.schema.names)
+
+
+def uncompressed(packed: pa.ChunkedArray) -> list[bytes | None]:
+    z = zstandard.ZstdDecompressor()
+    return [None if t is None else z.decompress(t) for t in packed.to_pylist()]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64, copy=False).view(np.int64)
 

@@ -27,8 +27,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"), window=13, full=False)
-    # longest_repeat stays in the operator: SQL has no equal of its sampled levels.
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +102,19 @@ def _quality_sql() -> str:
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and bad.doc_id is null as kept from base left join bad using (doc_id)"""
 
 
+#: Levels of the doubling: windows of 13 words, twice, four times ... up to 13 * 2^14.
+_LEVELS = 15
+
+
+def _doubled_sql() -> str:
+    """The windows of each level that occur in two documents; those of level 0 are l0."""
+    again = "qualify min(doc_id) over (partition by k) < max(doc_id) over (partition by k)"
+    steps = [f"l0 as (select doc_id, i, md5(k) k from win {again})"]
+    steps += [f"l{n} as (select a.doc_id, a.i, md5(a.k || b.k) k from l{n - 1} a join l{n - 1} b on a.doc_id = b.doc_id and b.i = a.i + {13 << (n - 1)} {again})" for n in range(1, _LEVELS)]
+    every = " union all ".join(f"select doc_id, {13 << n} s from l{n}" for n in range(_LEVELS))
+    return ", ".join(steps) + f", longest as (select doc_id, max(s)::bigint longest_repeat from ({every}) group by doc_id)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op10_quality_rules": _quality_sql(),
     "op2_substring_dedup": f"""
@@ -111,8 +123,9 @@ ORACLE_SQL: dict[str, str] = {
         first as (select k, min(doc_id) f from win group by k),
         gone as (select distinct doc_id, i + d j from win join first using (k), unnest(generate_series(0, 12)) t(d) where f < doc_id),
         word as (select doc_id, unnest(generate_series(1, len(ws))) j, unnest(ws) x from w),
-        kept as (select doc_id, string_agg(x, ' ' order by j) t, count(*) n from word anti join gone using (doc_id, j) group by doc_id)
-        select doc_id, len(ws)::bigint n_words, len(ws)::bigint - coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from w left join kept using (doc_id)""",
+        kept as (select doc_id, string_agg(x, ' ' order by j) t, count(*) n from word anti join gone using (doc_id, j) group by doc_id),
+        {_doubled_sql()}
+        select doc_id, len(ws)::bigint n_words, len(ws)::bigint - coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256, longest_repeat from w left join kept using (doc_id) left join longest using (doc_id)""",
     "op3_ngram_jaccard_join": r"""
         with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
         s as (select doc_id, list_distinct(case when len(ws) >= 3 then list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) ks from w),

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import compressed, mix, uncompressed
 
 SPACE = "▁"
 LONG = 60
@@ -331,17 +331,8 @@ def _plain_ids(piece: str, ranks: dict[str, tuple[int, float]], vocabulary: Voca
     return [vocabulary.byte_ids[b] for b in piece.encode()] if vocabulary.byte_ids else [vocabulary.unknown]
 
 
-def _unpacked(docs: pa.Table | pa.RecordBatch) -> list[str | None]:
-    z = zstandard.ZstdDecompressor()
-    return [None if t is None else z.decompress(t).decode() for t in docs.column("text").to_pylist()]
-
-
-def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows, their last column (text) compressed."""
-    z = zstandard.ZstdCompressor(1)
-    for b in batches:
-        packed = pa.array([None if t is None else z.compress(t.encode()) for t in b.columns[-1].to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], packed], names=b.schema.names)
+def _unpacked(docs: pa.Table) -> list[str | None]:
+    return [None if t is None else t.decode() for t in uncompressed(docs.column("text"))]
 
 
 def _sealed(*columns: np.ndarray | bytes) -> bytes:
@@ -567,9 +558,9 @@ def encode(docs: DataFrame, model_file: str, keys: tuple[str, ...] = ("doc_id",)
     rows = docs.select(*keys, F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
-    rows = rows.select(*keys, F.pmod(F.xxhash64(*keys, "text"), F.lit(buckets)).cast("int").alias("bucket"), "text")
+    rows = rows.select(*keys, F.pmod(F.xxhash64(*keys, "text"), F.lit(buckets)).cast("int").alias("bucket"), F.col("text").cast("binary").alias("text"))
     key_types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keys).schema)
-    dealt = rows.mapInArrow(_compress, f"{key_types}bucket int, text binary").repartition(buckets, "bucket")
+    dealt = rows.mapInArrow(compressed, f"{key_types}bucket int, text binary").repartition(buckets, "bucket")
     parts = 2 * min(buckets, TOGETHER)
     sent = dealt.groupBy("bucket").applyInArrow(_chunks(shared, parts), "group int, part int, chunks binary")
     by_chunk = sent.groupBy("group", "part").applyInArrow(_distinct, "chunk string, group int, places array<bigint>")

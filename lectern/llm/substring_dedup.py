@@ -2,34 +2,34 @@
 
 A window of ``w`` words can only repeat if the windows of half its length inside it repeat. Level one
 therefore looks at windows of ceil(w / 2) words, and only at one of those inside each long window: the
-one of least hash, which equal long windows share. That is a quarter of all positions. Windows
-that occur in two documents survive; only they are extended to the full length, which settles what is
-removed. Windows that repeat at that length are extended to twice, four times ... the length until no
-candidate survives, which tells how long the repeats of a document are; every start both of whose
-halves repeat is extended.
-
-Counts combine before each shuffle (least and greatest document of a window), so a passage in a third
-of all documents costs no more than its occurrences; joins on windows are plain equi-joins, whose
-skewed partitions adaptive execution splits. What goes back to a document is the list of its own
-repeated windows. Windows are compared by 64-bit hashes.
+one of least hash, which equal long windows share. Windows that occur in two documents survive; only
+they are extended to the full length, which settles what is removed. Windows that repeat at that
+length are extended to twice, four times ... the length until no candidate survives: at each level every
+start both of whose halves repeat, from the hashes of the level before, without the texts.
+
+Documents are dealt into buckets of bounded size by a hash, their texts compressed. A bucket knows its distinct windows
+in the order of their hashes, which are ranges of parts; a part hears of each window from each bucket once, so a
+passage in a third of all documents costs a row for each bucket, and answers with bits in the same
+order. Windows are packed into arrays for each bucket and part, and compared by 64-bit hashes (level one, a
+filter, by 40 bits within a part).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, batch, signed, text_bytes, window_hashes, word_hashes
+from .common import Tables, WordHashes, compressed, text_bytes, uncompressed, window_hashes
 
-_ROWS = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64())])
+BUCKET_BYTES = 16 << 20
+_HASHES = WordHashes()
 
 
 def anchors(h: np.ndarray, window: int) -> np.ndarray:
@@ -45,96 +45,228 @@ def anchors(h: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def _emit(ids: list[int], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if found:
-        yield batch(_ROWS, signed(np.concatenate(found)), np.repeat(np.array(ids, np.int64), [len(f) for f in found]))
+class Windows:
+    """The distinct windows of a bucket, in the order of their hashes, with the least and greatest document of each.
 
+    hashes are those of all windows and owners their documents, which must not fall.
+    """
 
-def _level_one(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.unique(anchors(word_hashes(t.split()), window)) for t in b.column("text").to_pylist()]
-            yield from _emit(b.column("doc_id").to_pylist(), found)
+    def __init__(self, hashes: np.ndarray, owners: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        h = hashes[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        first = np.flatnonzero(new)
+        self.hashes = h[first]
+        self.least = owners[order[first]]
+        self.greatest = owners[order[np.append(first[1:], len(h)) - 1]] if len(h) else self.least
+
+    def parts(self, parts: int) -> list[tuple[int, int, int]]:
+        """(part, from, to): ranges of the windows, by part."""
+        part = (self.hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+        return [(p, i, j) for p, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if i < j]
+
+
+_SENT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary())])
+_SENT_TYPES = "part int, bucket int, n int, hashes binary, docs binary"
+_ANSWER_TYPES = "bucket int, part int, n int, bits binary"
+
+
+def _sent(windows: Windows, bucket: int, parts: int, exact: bool) -> pa.Table:
+    """The windows for each part: whole hashes with documents, or 40 bits with a bit for those that two documents of the bucket hold."""
+    z, rows = zstandard.ZstdCompressor(1), []
+    for p, i, j in windows.parts(parts):
+        h, least, greatest = windows.hashes[i:j], windows.least[i:j], windows.greatest[i:j]
+        if exact:
+            rows.append((p, bucket, j - i, h.tobytes(), z.compress(least.tobytes() + (greatest - least).tobytes())))
+        else:
+            rows.append((p, bucket, j - i, h.view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), np.packbits(least != greatest).tobytes()))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, _SENT, strict=True)], schema=_SENT)
+
+
+def _answers(sent: pa.Table, found: list[np.ndarray], ends: np.ndarray) -> pa.Table:
+    """For each row of sent the bits of its windows, one array of bits after the other."""
+    bits = [b"".join(np.packbits(f[i:j]).tobytes() for f in found) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return pa.table([sent.column("bucket"), sent.column("part"), sent.column("n"), pa.array(bits, pa.binary())], names=["bucket", "part", "n", "bits"])
+
+
+def _ends(sent: pa.Table) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sent.column("n").to_numpy())])
+
+
+def _seen_twice(sent: pa.Table) -> pa.Table:
+    """Level one: whether a window occurs in two buckets, or in two documents of one."""
+    ends = _ends(sent)
+    raw = np.frombuffer(b"".join(sent.column("hashes").to_pylist()), np.uint8).reshape(-1, 5)
+    h = np.zeros((len(raw), 8), np.uint8)
+    h[:, :5] = raw
+    _, which, times = np.unique(h.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
+    own = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(sent.column("docs").to_pylist(), sent.column("n").to_pylist(), strict=True)]
+    return _answers(sent, [(times[which] > 1) | np.concatenate(own).astype(bool)], ends)
+
+
+def _compared(sent: pa.Table) -> pa.Table:
+    """Whether a document outside the bucket with a smaller id than any inside holds the window, and whether two documents hold it at all."""
+    ends, z = _ends(sent), zstandard.ZstdDecompressor()
+    h = np.frombuffer(b"".join(sent.column("hashes").to_pylist()), np.uint64)
+    docs = [np.frombuffer(z.decompress(b), np.int64) for b in sent.column("docs").to_pylist()]
+    least = np.concatenate([d[: len(d) // 2] for d in docs])
+    greatest = least + np.concatenate([d[len(d) // 2 :] for d in docs])
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    low, high = np.minimum.reduceat(least[order], first), np.maximum.reduceat(greatest[order], first)
+    return _answers(sent, [low[which] < least, (low < high)[which]], ends)
+
+
+def _bits(answers: pa.Table, kinds: int) -> list[np.ndarray]:
+    """The answers to all windows of a bucket, in order, for each kind."""
+    answers = answers.sort_by("part")
+    out: list[list[np.ndarray]] = [[] for _ in range(kinds)]
+    for n, bits in zip(answers.column("n").to_pylist(), answers.column("bits").to_pylist(), strict=True):
+        size = len(bits) // kinds
+        for k in range(kinds):
+            out[k].append(np.unpackbits(np.frombuffer(bits, np.uint8, size, k * size), count=n).astype(bool))
+    return [np.concatenate(x) if x else np.zeros(0, bool) for x in out]
+
+
+class Bucket:
+    """The words of a bucket's documents, those without an id left out, in order of the ids."""
+
+    def __init__(self, docs: pa.Table, window: int):
+        self.ids, self.texts = docs.column("doc_id").to_pylist(), uncompressed(docs.column("text"))
+        self.rows = sorted((i for i, d in enumerate(self.ids) if d is not None), key=lambda i: self.ids[i])
+        self.h, self.counts = _HASHES.of([self.texts[i] for i in self.rows])
+        self.first = np.cumsum(self.counts) - self.counts
+        starts = np.maximum(self.counts - window + 1, 0)
+        #: Where windows start, and the row (in order) of each.
+        self.row = np.repeat(np.arange(len(starts)), starts)
+        self.at = np.arange(len(self.row)) - np.repeat(np.cumsum(starts) - starts, starts) + self.first[self.row]
+        self.doc = np.array([self.ids[i] for i in self.rows], np.int64)[self.row] if self.rows else np.zeros(0, np.int64)
+        self.window = window
+
+    def anchors(self) -> tuple[np.ndarray, Windows]:
+        """The anchor of each window, and their distinct ones."""
+        a = anchors(self.h, self.window)[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        # Windows side by side mostly share theirs.
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (self.row[1:] != self.row[:-1])
+        return a, Windows(a[new], self.doc[new])
+
+    def candidates(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, Windows]:
+        """The windows whose anchor repeats: which they are, their hashes, and the distinct ones."""
+        a, distinct = self.anchors()
+        (again,) = _bits(answers, 1)
+        twice = distinct.hashes[again]
+        which = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, a), len(twice) - 1)] == a) if len(twice) else np.zeros(0, np.int64)
+        h = window_hashes(self.h, self.window, 2)[self.at[which]]
+        return which, h, Windows(h, self.doc[which])
+
+
+def _level_one(window: int, parts: int):
+    def run(docs: pa.Table) -> pa.Table:
+        return _sent(Bucket(docs, window).anchors()[1], docs.column("bucket")[0].as_py(), parts, False)
 
     return run
 
 
-def _as_hashes(x: pa.Array) -> list[np.ndarray]:
-    flat, ends = x.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False))
-    return np.split(flat, ends[:-1])
+def _level_two(window: int, parts: int):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _SENT.empty_table()
+        return _sent(Bucket(docs, window).candidates(answers)[2], docs.column("bucket")[0].as_py(), parts, True)
 
+    return run
 
-def _level_two(window: int):
-    """The windows whose half repeats."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for t, halves in zip(b.column("text").to_pylist(), _as_hashes(b.column("hashes")), strict=True):
-                h = word_hashes(t.split())
-                found.append(np.unique(window_hashes(h, window, 2)[np.isin(anchors(h, window), halves)]))
-            yield from _emit(b.column("doc_id").to_pylist(), found)
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("bucket", pa.int32()), ("held", pa.binary())])
+_RESULT_TYPES = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, removed array<struct<start:int,end:int>>, bucket int, held binary"
 
-    return run
 
+def _packed(docs: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(np.diff(docs, prepend=0).astype("<i8").tobytes() + np.diff(at, prepend=0).astype("<i8").tobytes() + hashes.tobytes())
 
-def _grown(window: int, level: int):
-    """The windows of the next level both of whose halves repeat."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for t, halves in zip(b.column("text").to_pylist(), _as_hashes(b.column("hashes")), strict=True):
-                full, size = window_hashes(word_hashes(t.split()), window, 2), window
-                for k in range(level):
-                    full, size = _twice_as_long(full, size, k), size * 2
-                good = np.isin(full, halves)
-                found.append(np.unique(_twice_as_long(full, size, level)[good[:-size] & good[size:]]))
-            yield from _emit(b.column("doc_id").to_pylist(), found)
+def _unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(held)
+    n = len(raw) // 24
+    return np.frombuffer(raw, "<i8", n).cumsum(), np.frombuffer(raw, "<i8", n, 8 * n).cumsum(), np.frombuffer(raw, np.uint64, n, 16 * n)
+
+
+def _apply(window: int, full: bool):
+    def run(docs: pa.Table, anchored: pa.Table, answers: pa.Table) -> pa.Table:
+        """Rows of documents (bucket null), and a row with the bucket's repeated windows."""
+        b = Bucket(docs, window)
+        which, h, distinct = b.candidates(anchored)
+        elsewhere, again = _bits(answers, 2)
+        number = np.searchsorted(distinct.hashes, h)
+        gone = elsewhere[number] | (distinct.least[number] < b.doc[which])
+        depth = np.zeros(len(b.h) + 1, np.int64)
+        np.add.at(depth, b.at[which[gone]], 1)
+        np.subtract.at(depth, b.at[which[gone]] + window, 1)
+        out = depth[:-1].cumsum() > 0
+        place = {i: k for k, i in enumerate(b.rows)}
+        rows = []
+        for i, (doc, text) in enumerate(zip(b.ids, b.texts, strict=True)):
+            words, spans, n_gone = (text or b"").split(), [], 0
+            n, k = len(words), place.get(i)
+            if k is not None and (own := out[b.first[k] : b.first[k] + n]).any():
+                n_gone = int(own.sum())
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8))).reshape(-1, 2)
+                spans = [{"start": int(x), "end": int(y)} for x, y in edges] if full else []
+                words = list(compress(words, (~own).tolist()))
+            kept = b" ".join(words)
+            rows.append((doc, n, n_gone, hashlib.sha256(kept).hexdigest(), kept if full else None, spans if full else None, None, None))
+        stay = again[number]
+        if stay.any():
+            # A step between texts, so that no window reaches from one into the next of the same id.
+            held = _packed(b.doc[which[stay]], (b.at + b.row)[which[stay]], h[stay])
+            rows.append((None, None, None, None, None, None, docs.column("bucket")[0].as_py(), held))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RESULT, strict=True)], schema=_RESULT)
 
     return run
 
 
-def _twice_as_long(full: np.ndarray, size: int, level: int) -> np.ndarray:
-    """From the hashes of all windows of a size, those of all of twice that size; level gives each its own permutation."""
-    return window_hashes(np.stack([full[:-size], full[size:]], 1).ravel(), 2, 3 + level)[::2]
+def _twice(docs: np.ndarray, at: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of twice the size both of whose halves are given; starts are numbers of words in the bucket and rise."""
+    i = np.searchsorted(at, at + size)
+    good = np.flatnonzero((i < len(at)) & (at[np.minimum(i, len(at) - 1)] == at + size))
+    good = good[docs[good] == docs[i[good]]]
+    both = np.stack([hashes[good], hashes[i[good]]], 1).ravel()
+    return docs[good], at[good], window_hashes(both, 2, 3)[::2] if len(good) else hashes[:0]
+
 
+def _grown(size: int, parts: int):
+    def run(held: pa.Table) -> pa.Table:
+        docs, _, h = _twice(*_unpacked(held.column("held")[0].as_py()), size)
+        return _sent(Windows(h, docs), held.column("bucket")[0].as_py(), parts, True)
 
-_KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("longest_repeat", pa.int64())])
+    return run
 
 
-def covered(h: np.ndarray, window: int, repeated: np.ndarray) -> np.ndarray:
-    """Whether each word lies in a window whose hash is among repeated."""
-    at = np.flatnonzero(np.isin(window_hashes(h, window, 2), repeated))
-    depth = np.zeros(len(h) + 1, np.int64)
-    depth[at] += 1
-    np.subtract.at(depth, at + window, 1)
-    return depth[:-1].cumsum() > 0
+_HELD = pa.schema([("bucket", pa.int32()), ("held", pa.binary()), ("docs", pa.list_(pa.int64()))])
 
 
-def _apply(window: int, full: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for t, lists in zip(b.column("text").to_pylist(), b.column("hashes").to_pylist(), strict=True):
-                words, spans, gone = (t or b"").split(), [], 0
-                n = len(words)
-                if lists:
-                    out = covered(word_hashes(words), window, np.array(lists, np.int64).view(np.uint64))
-                    gone = int(out.sum())
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]).astype(np.int8))).reshape(-1, 2)
-                    spans = [{"start": int(i), "end": int(j)} for i, j in edges]
-                    words = list(compress(words, (~out).tolist()))
-                kept = b" ".join(words)
-                for r, v in zip(rows, (n, gone, hashlib.sha256(kept).hexdigest(), kept if full else None, spans if full else None), strict=True):
-                    r.append(v)
-            yield batch(_KEPT, b.column("doc_id"), *rows, b.column("longest_repeat"))
+def _kept(size: int):
+    def run(held: pa.Table, answers: pa.Table) -> pa.Table:
+        """Of the windows of twice the size those that repeat, and the documents that hold any."""
+        if not held.num_rows or not answers.num_rows:
+            return _HELD.empty_table()
+        docs, at, h = _twice(*_unpacked(held.column("held")[0].as_py()), size)
+        stay = _bits(answers, 2)[1][np.searchsorted(Windows(h, docs).hashes, h)]
+        if not stay.any():
+            return _HELD.empty_table()
+        return pa.table([held.column("bucket"), pa.array([_packed(docs[stay], at[stay], h[stay])], pa.binary()), pa.array([np.unique(docs[stay])], pa.list_(pa.int64()))], schema=_HELD)
 
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, full: bool = True) -> DataFrame:
-    """Per row of docs (doc_id, text; other columns are ignored): what is left once repeated passages go.
+def substring_dedup(docs: DataFrame, window: int = 13, full: bool = True, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Per row of docs (doc_id, text; other columns, of any name, are ignored): what is left once repeated passages go.
 
     Words are runs of other than ASCII white space, unchanged. A word goes if a window of ``window``
     words over it also starts in a document with a smaller doc_id; windows are judged on the input.
@@ -143,46 +275,66 @@ def substring_dedup(docs: DataFrame, window: int = 13, full: bool = True) -> Dat
     there, and longest_repeat: the longest level (window, twice, four times ...) of which the document
     holds a window that occurs in another one (null: none).
 
-    A null text has no words. A null doc_id is smaller and greater than none: nothing goes from such a
+    A null or empty text has no words. A null doc_id is smaller and greater than none: nothing goes from such a
     row, and nothing because of it. Rows that share a doc_id do not make one another's windows go, but
-    each loses what any of them loses to smaller ids. No rows give no rows. Runs jobs at once and keeps
-    intermediate tables in spark.checkpoint.dir.
+    each loses what any of them loses to smaller ids. A text of any length is hashed in slices, but held whole by one
+    task. No rows give no rows. Runs jobs at once and keeps intermediate tables in spark.checkpoint.dir.
     """
-    tables = Tables(docs.sparkSession, "substrings")
-    source = text_bytes(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id")
-    usable = source.where("doc_id is not null and text is not null")
-
-    def twice(rows: DataFrame, name: str) -> DataFrame:
-        """Windows that occur in two documents, and the first of these."""
-        out = tables.keep(rows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first"), name)
+    spark = docs.sparkSession
+    tables = Tables(spark, "substrings")
+    rows = text_bytes(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = parts = max(1, -(-size // bucket_bytes))
+    rows = rows.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"), "text")
+
+    def dealt() -> DataFrame:
+        return rows.mapInArrow(compressed, "doc_id long, bucket int, text binary").repartition(buckets, "bucket")
+
+    def asked(sent: DataFrame, answer: Callable, name: str) -> DataFrame:
+        out = tables.keep(sent.repartition(parts, "part").groupBy("part").applyInArrow(answer, _ANSWER_TYPES), name)
         tables.release()
         return out
 
-    halves = tables.keep(usable.mapInArrow(_level_one(window), "hash long, doc_id long"), "windows-half")
-    found = tables.keep(halves.join(twice(halves, "twice-half"), "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")), "found-half")
-    del halves
-    tables.drop(["windows-half", "twice-half"])
-    tables.release()
-    rows, level = tables.keep(usable.join(found, "doc_id").mapInArrow(_level_two(window), "hash long, doc_id long"), "windows-0"), 0
+    ones = asked(dealt().groupBy("bucket").applyInArrow(_level_one(window, parts), _SENT_TYPES), _seen_twice, "answers-half")
+    sent = dealt().groupBy("bucket").cogroup(ones.groupBy("bucket")).applyInArrow(_level_two(window, parts), _SENT_TYPES)
+    twos = asked(sent, _compared, "answers-0")
+
+    both = ones.withColumn("level", F.lit(1)).unionByName(twos.withColumn("level", F.lit(2)))
+    apply = _apply(window, full)
+
+    def applied(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _RESULT.empty_table()
+        level = answers.column("level").to_numpy()
+        return apply(docs, answers.filter(pa.array(level == 1)), answers.filter(pa.array(level == 2)))
+
+    result = tables.keep(dealt().groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(applied, _RESULT_TYPES), "result")
+    tables.drop(["answers-half", "answers-0"])
     tables.release()
-    again = twice(rows, "twice-0")
-    gone = tables.keep(rows.join(again, "hash").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")), "gone")
-    reached = []
-    while not again.isEmpty():
-        held = tables.keep(rows.join(again.select("hash"), "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")), f"held-{level}")
-        reached.append(tables.keep(held.select("doc_id", F.lit(window << level).cast("long").alias("longest_repeat")), f"reached-{level}"))
-        tables.drop([f"windows-{level}", f"twice-{level}"])
-        rows = tables.keep(usable.join(held, "doc_id").mapInArrow(_grown(window, level), "hash long, doc_id long"), f"windows-{level + 1}")
-        tables.drop([f"held-{level}"])
+
+    longest = None
+    held, level = result.where("bucket is not null").select("bucket", "held"), 0
+    while not held.isEmpty():
+        length = window << level
+        # Level 0 lists its documents by the arrays themselves.
+        docs_of = held.select(F.explode("docs").alias("doc_id")) if level else held.mapInArrow(_docs_of, "doc_id long")
+        reached = docs_of.select("doc_id", F.lit(length).cast("long").alias("longest_repeat"))
+        longest = reached if longest is None else longest.unionByName(reached)
+        answers = asked(held.select("bucket", "held").groupBy("bucket").applyInArrow(_grown(length, parts), _SENT_TYPES), _compared, f"answers-{level + 1}")
+        grown = held.select("bucket", "held").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_kept(length), "bucket int, held binary, docs array<long>")
+        held = tables.keep(grown, f"held-{level + 1}")
+        tables.drop([f"answers-{level + 1}"])
+        tables.release()
         level += 1
-        again = twice(rows, f"twice-{level}")
-    tables.release()
-    if reached:
-        longest = reduce(DataFrame.unionByName, reached).groupBy("doc_id").agg(F.max("longest_repeat").alias("longest_repeat"))
-        gone = longest.join(gone, "doc_id", "left")
-    else:
-        gone = gone.withColumn("longest_repeat", F.lit(None).cast("long"))
-    marks = tables.keep(gone.select("doc_id", "hashes", "longest_repeat"), "marks")
-    tables.drop(["found-half", "gone", *(f"{name}-{i}" for i in range(level + 1) for name in ("windows", "twice", "reached"))])
-    types = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, removed array<struct<start:int,end:int>>, longest_repeat long"
-    return source.join(marks, "doc_id", "left").mapInArrow(_apply(window, full), types)
+    told = result.where("bucket is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept", "removed")
+    if longest is None:
+        return told.withColumn("longest_repeat", F.lit(None).cast("long"))
+    marks = tables.keep(longest.groupBy("doc_id").agg(F.max("longest_repeat").alias("longest_repeat")), "marks")
+    tables.drop(f"held-{i}" for i in range(1, level + 1))
+    return told.join(marks, "doc_id", "left")
+
+
+def _docs_of(batches):
+    for b in batches:
+        for held in b.column("held").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_unpacked(held)[0]))], names=["doc_id"])
