@@ -110,7 +110,7 @@ def _doubled_sql() -> str:
     """The windows of each level that occur in two documents; those of level 0 are l0."""
     again = "qualify min(doc_id) over (partition by k) < max(doc_id) over (partition by k)"
     steps = [f"l0 as (select doc_id, i, md5(k) k from win {again})"]
-    steps += [f"l{n} as (select a.doc_id, a.i, md5(a.k || b.k) k from l{n - 1} a join l{n - 1} b on a.doc_id = b.doc_id and b.i = a.i + {13 << (n - 1)} {again})" for n in range(1, _LEVELS)]
+    steps += [f"l{n} as (select * from (select a.doc_id, a.i, md5(a.k || b.k) k from l{n - 1} a join l{n - 1} b on a.doc_id = b.doc_id and b.i = a.i + {13 << (n - 1)}) {again})" for n in range(1, _LEVELS)]
     every = " union all ".join(f"select doc_id, {13 << n} s from l{n}" for n in range(_LEVELS))
     return ", ".join(steps) + f", longest as (select doc_id, max(s)::bigint longest_repeat from ({every}) group by doc_id)"
 
