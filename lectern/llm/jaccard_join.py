@@ -30,10 +30,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, batch, mix, signed, text_bytes, window_hashes, word_hashes
+from .common import Tables, WordHashes, batch, mix, signed, text_bytes, window_hashes
 from .components import components
 
 WORD_SHARE = 1e-5
@@ -42,8 +43,13 @@ HEAVY = 20_000
 BLOCK = 1024
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
+_WORDS = WordHashes(lower=True)
+
+
+def words_of(texts: list[bytes | None]) -> list[np.ndarray]:
+    """The hashes of the words of each text, A-Z in lower case."""
+    h, counts = _WORDS.of(texts)
+    return np.split(h, np.cumsum(counts)[:-1]) if texts else []
 
 
 def shingles(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +149,7 @@ class _Counts:
         self.waiting, self.size = [], 0
 
 
-_SCAN = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+_SCAN = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("row", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 
 
 def _scan(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -153,19 +159,19 @@ def _scan(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
         shingle_counts, word_counts, total = _Counts(3, HEAVY // 4), _Counts(8, int(1 / WORD_SHARE)), 0
         for b in batches:
             keys, sizes = [], []
-            for text in b.column("text").to_pylist():
-                h = word_hashes(words_of(text))
+            for h in words_of(b.column("text").to_pylist()):
                 s, _ = shingles(h, k)
                 total += len(h)
                 keys.append(class_key(s) if len(s) else 0)
                 sizes.append(len(s))
                 shingle_counts.add(s)
                 word_counts.add(h)
-            yield batch(_SCAN, pa.array(np.zeros(len(keys), np.int8)), b.column("doc_id"), keys, sizes)
+            yield batch(_SCAN, pa.array(np.zeros(len(keys), np.int8)), b.column("doc_id"), b.column("row"), keys, sizes)
         for kind, c in ((1, shingle_counts), (2, word_counts)):
             c.fold()
-            yield batch(_SCAN, pa.array(np.full(len(c.values), kind, np.int8)), pa.nulls(len(c.values), pa.int64()), signed(c.values), c.counts)
-        yield batch(_SCAN, pa.array([3], pa.int8()), pa.nulls(1, pa.int64()), [0], [total])
+            none = pa.nulls(len(c.values), pa.int64())
+            yield batch(_SCAN, pa.array(np.full(len(c.values), kind, np.int8)), none, none, signed(c.values), c.counts)
+        yield batch(_SCAN, pa.array([3], pa.int8()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), [0], [total])
 
     return run
 
@@ -178,8 +184,7 @@ def _tokens(orders, k: int, percent: int):
         o = orders.value
         for b in batches:
             tokens, keys, sizes, reps = [], [], [], []
-            for text in b.column("text").to_pylist():
-                h = word_hashes(words_of(text))
+            for h in words_of(b.column("text").to_pylist()):
                 s, first = shingles(h, k)
                 if len(s):
                     (t,) = o.prefixes(h, s, first, percent, (1,))
@@ -193,14 +198,22 @@ def _tokens(orders, k: int, percent: int):
     return run
 
 
-_TEXTS = pa.schema([("key", pa.int64()), ("bits", pa.binary()), ("text", pa.binary())])
+_TEXTS = pa.schema([("key", pa.int64()), ("bits", pa.binary()), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32())), ("text", pa.binary())])
+
 
+def _sketch(orders, k: int, percent: int):
+    """For each class its parity bits, its prefixes under orders 2 and 3 (cut to 32 bits), and its text compressed."""
 
-def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        o, z = orders.value, zstandard.ZstdCompressor(1)
         for b in batches:
-            bits = [parity(shingles(word_hashes(words_of(t)), k)[0]).tobytes() for t in b.column("text").to_pylist()]
-            yield batch(_TEXTS, b.column("key"), bits, b.column("text"))
+            texts, bits, second, third = b.column("text").to_pylist(), [], [], []
+            for h in words_of(texts):
+                s, first = shingles(h, k)
+                bits.append(parity(s).tobytes())
+                for out, p in zip((second, third), o.prefixes(h, s, first, percent, (2, 3)), strict=True):
+                    out.append(signed(p).astype(np.int32))
+            yield batch(_TEXTS, b.column("key"), bits, second, third, [z.compress(t) for t in texts])
 
     return run
 
@@ -289,19 +302,18 @@ def _cross(percent: int):
     return run
 
 
-def _verify(orders, k: int, percent: int):
-    """Of candidate pairs with their texts, those that share a prefix token under every order and are similar enough."""
+def _verify(k: int, percent: int):
+    """Of candidate pairs with their texts, those that are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o, known = orders.value, OrderedDict()
+        known: OrderedDict[int, np.ndarray] = OrderedDict()
+        z = zstandard.ZstdDecompressor()
 
-        def of(key: int, text: bytes) -> tuple:
+        def of(key: int, text: bytes) -> np.ndarray:
             if key in known:
                 known.move_to_end(key)
             else:
-                h = word_hashes(words_of(text))
-                s, first = shingles(h, k)
-                known[key] = (s, o.prefixes(h, s, first, percent, (2, 3)))
+                known[key] = shingles(words_of([z.decompress(text)])[0], k)[0]
                 if len(known) > 64:
                     known.popitem(last=False)
             return known[key]
@@ -309,11 +321,10 @@ def _verify(orders, k: int, percent: int):
         for b in batches:
             out = []
             for x, y, tx, ty in zip(*(b.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                (s, ps), (r, pr) = of(x, tx), of(y, ty)
-                if all(len(np.intersect1d(p, q)) for p, q in zip(ps, pr, strict=True)):
-                    both = len(np.intersect1d(s, r, assume_unique=True))
-                    if 100 * both >= percent * (len(s) + len(r) - both):
-                        out.append((x, y))
+                s, r = of(x, tx), of(y, ty)
+                both = len(np.intersect1d(s, r, assume_unique=True))
+                if 100 * both >= percent * (len(s) + len(r) - both):
+                    out.append((x, y))
             if out:
                 yield batch(_PAIRS, *map(list, zip(*out, strict=True)))
 
@@ -326,15 +337,17 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     A-Z are lower-cased, words are runs of other than ASCII white space. Two documents are linked if
     their shingle sets have a Jaccard similarity of at least percent / 100; component_id is the least
     doc_id that links reach. A null, empty or blank text has no shingles and is linked with nothing;
-    equal texts are linked (their similarity is 1). Rows with a null doc_id are kept and may be linked,
-    but are never a component_id unless alone (then null). Repeated rows give repeated rows. No rows
+    equal texts are linked (their similarity is 1). Rows with a null doc_id are kept and linked like others,
+    but are never a component_id unless no row with an id is linked with them (then null). Repeated rows give repeated
+    rows; rows that share a doc_id but not the text are linked each by its own text. Ties are no matter: a pair at
+    exactly percent / 100 is linked. A text of any length is hashed in slices, but held whole by one task. No rows
     give no rows. Runs jobs at once and keeps intermediate tables in spark.checkpoint.dir.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "jaccard")
-    source = text_bytes(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id")
-    scan = tables.keep(source.mapInArrow(_scan(k), "kind byte, doc_id long, key long, n long"), "scan")
-    classes = scan.where("kind = 0").select("doc_id", "key", "n")
+    source = text_bytes(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row")), "doc_id", "row")
+    scan = tables.keep(source.mapInArrow(_scan(k), "kind byte, doc_id long, row long, key long, n long"), "scan")
+    classes = scan.where("kind = 0").select("doc_id", "row", "key", "n")
 
     # Both lists are bounded: at most 1 / WORD_SHARE words, HEAVY shingles.
     total = scan.where("kind = 3").agg(F.sum("n")).first()[0] or 0
@@ -351,13 +364,19 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     tables.drop(["tokens"])
     tables.release()
 
-    members = classes.join(buckets.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
-    texts = tables.keep(source.join(members, "doc_id").dropDuplicates(["key"]).select("key", "text").mapInArrow(_sketch(k), "key long, bits binary, text binary"), "texts")
+    # A class's text is that of one of its rows; rows of one id may be of different classes, so they are told apart by a hash of id and text.
+    members = classes.join(buckets.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    texts = source.join(members, "row").dropDuplicates(["key"]).select("key", "text")
+    texts = tables.keep(texts.mapInArrow(_sketch(orders, k, percent), "key long, bits binary, second array<int>, third array<int>, text binary"), "texts")
     tables.release()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        a, b = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-        return tables.keep(pairs.distinct().join(a, "a").join(b, "b").mapInArrow(_verify(orders, k, percent), "a long, b long"), name)
+        side = lambda x: texts.select(F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("second", "third", "text")))
+        small = [side(x).drop(f"text_{x}") for x in "ab"]
+        # The filters of the orders meet before any text is fetched.
+        left = pairs.distinct().join(small[0], "a").join(small[1], "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+        whole = left.join(side("a").select("a", "text_a"), "a").join(side("b").select("b", "text_b"), "b")
+        return tables.keep(whole.mapInArrow(_verify(k, percent), "a long, b long"), name)
 
     size = f"100 * least(n, anchor_n) >= {percent} * greatest(n, anchor_n)"
     first = verified(buckets.where(f"key <> anchor and {size}").select(F.col("key").alias("a"), F.col("anchor").alias("b")), "links-1")

@@ -21,8 +21,9 @@ URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/"
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secret_scan.train(secret_scan.labelled_findings(spark))
-    return secret_scan.findings(table(spark, sf_dir, "documents"), forest)
+    docs = table(spark, sf_dir, "documents")
+    forest = secret_scan.train(secret_scan.labelled_findings(spark), secret_scan.dictionary(docs))
+    return secret_scan.findings(docs, forest)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

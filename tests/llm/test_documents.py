@@ -81,6 +81,13 @@ def test_jaccard_null_ids_and_empty(spark, docs):
     assert jaccard_join.jaccard_components(docs.limit(0)).collect() == []
 
 
+def test_jaccard_repeated_ids_with_different_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (7, b + " more"), (8, a + " more"), (None, a + " end"), (None, "c c c"), (None, "c c c d"), (None, "c c c")]
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(5, 5), (5, 5), (7, 5), (8, 5), (None, 5), (None, None), (None, None), (None, None)], key=str)
+
+
 def test_components(spark):
     tables = common.Tables(spark, "t")
     r = random.Random(5)

@@ -14,18 +14,38 @@ HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
 
 @pytest.fixture(scope="module")
 def forest(spark):
-    return secret_scan.train(secret_scan.labelled_findings(spark))
+    words = secret_scan.dictionary(spark.createDataFrame([("the order of these words is a text one and then",), (None,)], "text string"))
+    assert words[:2] == ["and", "one"] or "the" in words
+    return secret_scan.train(secret_scan.labelled_findings(spark), words)
 
 
 def test_forest_on_held_out_findings(spark, forest):
     rows = secret_scan.labelled_findings(spark, 5000).where("pmod(xxhash64(word), 5) = 0")
-    f = F.struct(*(c.alias(k) for k, c in secret_scan.features(F.col("word"), F.col("before"), F.col("after"), F.col("path")).items()))
+    f = F.struct(*(c.alias(k) for k, c in secret_scan.features(F.col("word"), F.col("before"), F.col("after"), F.col("path"), forest.words).items()))
     # Bound once, as the scan does.
     scored = rows.select("label", F.transform(F.array(f), lambda x: secret_scan._share(forest, x))[0].alias("p"))
     right = scored.select(F.avg(F.expr("if((p >= 0.5) = (label = 1), 1.0, 0.0)"))).first()[0]
     assert right > 0.97
 
 
+def test_secrets_of_all_shapes_go(spark, forest):
+    """Names in capitals, two keys in a word, keys without digits, passwords, addresses with a login; repeated and equal secrets."""
+    other, letters = "9f8e7d6c5b4a39281706f5e4d3c2b1a098765432", "kQzXwJvYqGpRtLmNbVcDfGhJkLqWeRtYuIoPaSdF"
+    texts = [f"MY_SERVICE_ACCESS_TOKEN={HEX}", f'token="{HEX}";secret="{other}"', f'api_key = "{letters}"', 'password = "hunter2x9!"', f"https://user:{HEX[:20]}@host.example.com/x", f'token="{HEX}" and token="{HEX}"']
+    secrets = [[HEX], [HEX, other], [letters], ["hunter2x9!"], [HEX[:20]], [HEX, HEX]]
+    docs = spark.createDataFrame([(i, t, "src1") for i, t in enumerate(texts)] + [(3, texts[3], "src1"), (None, texts[0], None)], "doc_id long, text string, source string")
+    found = {}
+    for r in secret_scan.findings(docs, forest).collect():
+        t = texts[r.doc_id or 0]
+        found.setdefault(r.doc_id, []).append(t[r.start - 1 : r.start - 1 + r.length])
+    assert {k: sorted(v) for k, v in found.items()} == {**{i: sorted(x) for i, x in enumerate(secrets)}, 3: secrets[3] * 2, None: [HEX]}
+    for r in secret_scan.redact(docs, forest).collect():
+        assert not any(x in r.text for x in secrets[r.doc_id or 0])
+    words = ["Donaudampfschifffahrtsgesellschaft kapitän", "internationalization-and-localization of texts", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "the/order/of/these/words/index.html", "see https://example.com/en/some-long-page-name-here"]
+    assert secret_scan.findings(spark.createDataFrame([(i, t, "src1") for i, t in enumerate(words)], docs.schema), forest).collect() == []
+    assert secret_scan.findings(docs.limit(0), forest).collect() == []
+
+
 def test_secrets(spark, forest):
     texts = [
         f'some words token = "{HEX}" and more', f"commit {HEX} fixes it", f'TOKEN = "{HEX.upper()}"!! SO!!', "call 4111111111111111 now", "mail 34@mail7.example.com to us", f'api_key="{HEX[:32]}",',
