@@ -153,8 +153,12 @@ class Tables:
     drop() deletes those that nothing lazy reads any more.
     """
 
+    #: Those made so far and not yet dropped as a whole, for who runs several operators one after the other.
+    made: list[Tables] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.top = spark, f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
+        self.made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.top}/{name}"
@@ -169,7 +173,14 @@ class Tables:
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, names: Iterable[str]) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.path(name))
+
+    def drop_all(self) -> None:
+        self._delete(self.top)
+        if self in self.made:
+            self.made.remove(self)
+
+    def _delete(self, path: str) -> None:
+        found = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)

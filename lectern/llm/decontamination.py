@@ -4,7 +4,7 @@ Seeds are the word n-grams of the benchmark's items. One pass over the corpus fi
 and all of them join documents to items: a frequent seed may be frequent because of the copies, so none
 is left out. Each stretch of a document with hits, with a margin of the item's length, is aligned with
 the item if the two have enough words in common to reach the score at all, whatever their order. Words
-are compared in lower case without punctuation.
+are compared by Unicode's case folding, without ASCII punctuation.
 
 The test for seeds inside the pass uses a broadcast array while there are at most ``SEEDS`` of them
 (checked); beyond that every n-gram goes to the join. The joins on seeds and ids are equi-joins.
@@ -29,7 +29,12 @@ _PLAIN = bytes.maketrans(string.ascii_uppercase.encode() + string.punctuation.en
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return text.translate(_PLAIN).split() if text else []
+    """Words in lower case by Unicode's case folding, ASCII punctuation taken for white space."""
+    if not text:
+        return []
+    if not text.isascii():
+        text = text.decode("utf-8", "replace").casefold().encode()
+    return text.translate(_PLAIN).split()
 
 
 def smith_waterman(item: list[bytes], passage: list[bytes]) -> tuple[int, int, int]:
@@ -114,11 +119,15 @@ def _align(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            last, words = None, []
+            last, words, known = None, [], {}
             for doc, item, text, item_text, spots in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "item_text", "spots")), strict=True):
                 if text != last:
                     last, words = text, words_of(text)
-                own = words_of(item_text)
+                if item_text not in known:
+                    if len(known) >= 1000:
+                        known.clear()
+                    known[item_text] = words_of(item_text)
+                own = known[item_text]
                 m, best = len(own), (0, 0, 0)
                 spots = sorted(spots)
                 i = 0
@@ -148,7 +157,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 3, least: float
     alignment's share of a perfect one, ``least`` or more; start and end are word numbers in the
     document (end not included). One row for each pair of ids, of the best alignment, the first on
     ties. Null ids and texts and texts without words match nothing; items of fewer than k words are
-    sought as they are. Empty tables give no rows. Runs jobs at once and keeps intermediate tables in
+    sought as they are. Rows that share an id count as one document (or item) of several texts, of which the best alignment is
+    told. Texts and items of any length are aligned whole, stretch by stretch. Empty tables give no rows. A copy without k
+    unchanged words in a row anywhere has no seed and is not found: by substitutions alone, that takes more than a quarter
+    of an item's words. Runs jobs at once and keeps intermediate tables in
     spark.checkpoint.dir.
     """
     spark = docs.sparkSession

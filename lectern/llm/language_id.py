@@ -5,10 +5,10 @@ scored by its character n-grams (with marks for its start and end): by the longe
 model knows any, then the next shorter one. N-grams are counted once for each distinct word, since
 they stand for words not seen.
 
-The model is bounded whatever the corpus: a word stays only if its share of its language's words is at
-least ``languages / WORDS``, so at most ``WORDS`` (word, language) pairs stay, and likewise for each order
-of n-grams. Counting combines in each task, in dictionaries that are emptied when they reach
-``FLUSH`` entries, and again before each shuffle.
+The model is learned from a bounded sample of the labelled rows: about ``LABELLED`` of them for each language, those of least
+hash, all of them in a small corpus. Every word and n-gram of the sample stays in the model. Counting combines in each task,
+in dictionaries that are emptied when they reach ``FLUSH`` entries, and again before each shuffle. Predictions cover
+all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -25,13 +25,16 @@ from pyspark.sql import types as T
 
 from .common import Tables, batch
 
-WORDS, GRAMS, ORDER = 100_000, 50_000, 4
+#: Labelled rows of a language that the model learns from (the expected number, if there are more), and the longest n-grams.
+LABELLED, ORDER = 4_000, 4
 FLUSH = 300_000
 #: Beyond so many words the posterior grows no further; it keeps scores of long texts off 1.
 STEADY = 20
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters (categories L*): word characters but for digits, the low line, and the other numbers that \w takes.
+_NUMBERS = "".join(c for c in map(chr, range(128, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]+")
 #: Marks of a word's start and end, which no word contains.
 _START, _END = "<", ">"
 
@@ -127,7 +130,11 @@ class Model:
 
 def train(labelled: DataFrame, tables: Tables) -> Model:
     """The model of texts with a language (lang, text). Rows without either are left out; no rows give a model that knows nothing."""
-    rows = labelled.where("lang is not null and text is not null").select("lang", "text")
+    rows = labelled.where("lang is not null and text is not null").withColumn("row", F.xxhash64(*labelled.columns)).select("lang", "text", "row")
+    # One row for each language; the rows whose hash lies in the lowest LABELLED / n part of all hashes stay.
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    low = (F.col("row") / F.lit(2.0**64) + 0.5) * F.col("n") <= LABELLED
+    rows = rows.join(F.broadcast(sizes), "lang").where(low).select("lang", "text")
     counted = rows.mapInArrow(_count_words, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     words = tables.keep(counted, "words")
     counted = words.select("lang", "gram").mapInArrow(_count_grams, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
@@ -136,13 +143,9 @@ def train(labelled: DataFrame, tables: Tables) -> Model:
     every = words.unionByName(parts)
     totals = {(r["lang"], r["size"]): r["n"] for r in every.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for lang, _ in totals})
-    share = F.when(F.col("size") == 0, len(langs) / WORDS).otherwise(len(langs) / GRAMS)
-    spark = labelled.sparkSession
-    sums = spark.createDataFrame([(lang, size, n) for (lang, size), n in totals.items()], "lang string, size int, total long")
-    kept = every.join(sums.hint("broadcast"), ["lang", "size"]).where(F.col("n") >= share * F.col("total")).select("lang", "size", "gram", "n")
-    # Shares of a language add up to 1, so this is at most WORDS + ORDER * GRAMS rows.
-    found = [tuple(r) for r in kept.orderBy("size", "gram", "lang").collect()]
-    return Model(langs, totals, found)
+    # Bounded by the sample.
+    found = every.orderBy("size", "gram", "lang").toArrow()
+    return Model(langs, totals, list(zip(*(found.column(c).to_pylist() for c in ("lang", "size", "gram", "n")), strict=True)))
 
 
 def _predict(model, at: int):
@@ -159,7 +162,7 @@ def _predict(model, at: int):
 def learn(docs: DataFrame) -> Model:
     """The model of the rows of docs (doc_id, text, lang) whose crc32 of the doc_id is not 0 modulo 5."""
     tables = Tables(docs.sparkSession, "language")
-    model = train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select(F.col("lang").cast("string"), F.col("text").cast("string")), tables)
+    model = train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string")), tables)
     tables.drop(["words", "grams"])
     return model
 
@@ -178,7 +181,8 @@ def identify(docs: DataFrame) -> DataFrame:
     predictions use the text alone. A text that is null or has no letter is ``und`` with score 0, as is
     every text if there is nothing to learn from. A null doc_id is not held out, but nothing is learned
     from its row either. score is the posterior of the predicted language, steadied for long texts.
-    Repeated rows give repeated rows, and no rows none. Training runs jobs at once and keeps its counts
+    Of languages with the same score the first in alphabetical order is told. A text of any length is judged whole; other
+    columns, of any name, are ignored. Repeated rows give repeated rows, and no rows none. Training runs jobs at once and keeps its counts
     in spark.checkpoint.dir.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))

@@ -232,6 +232,30 @@ def test_contaminated(spark):
     assert contaminated(docs.limit(0), bench).collect() == [] and contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_contaminated_recall_by_edit_rate(spark):
+    """Random substitutions, insertions and deletions of up to a fifth of an item's words; case by Unicode; nothing else is found."""
+    items = {i: prose(2000 + i, 24 + i, 4000) for i in range(40)}
+    items[100] = "ÉTÉ ÀPRÈS ÖLÜNÜ ÑANDÚ ÇÉLÈBRE".split()
+    items[101] = prose(2500, 4000, 4000)
+    rows, want = [(9000, "été après ölünü ñandú çélèbre", 100), (9001, " ".join(prose(8, 30, 4000) + items[101]), 101), (9002, " ".join(items[3] + prose(4, 99, 4000) + items[3]), 3)], {}
+    for rate in (0.05, 0.1, 0.2):
+        for i in range(40):
+            r, out = random.Random(1000 * rate + i), []
+            for w in items[i]:
+                kind = r.choice(["change", "drop", "add"]) if r.random() < rate else ""
+                out += {"": [w], "change": ["another"], "drop": [], "add": [w, "another"]}[kind]
+            rows.append((int(rate * 100) * 100 + i, " ".join(prose(i, 40, 4000) + out + prose(i + 50, 40, 4000)), i))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in contaminated(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).collect()}
+    want = {(d, i) for d, _, i in rows}
+    assert not set(found) - want
+    for rate, least in ((5, 1.0), (10, 0.97), (20, 0.9)):
+        of = {x for x in want if x[0] // 100 == rate}
+        assert len(of & set(found)) >= least * len(of), rate
+    # Of two equal copies in a document the first is told.
+    assert {(9000, 100), (9001, 101)} <= set(found) and found[9002, 3].start == 0
+
+
 def test_contaminated_frequent_seeds(spark):
     """What copies share is frequent because of them: edited copies are found beside exact ones, few or many."""
     item, hot = prose(2000, 20, 5000), prose(2001, 20, 5000)
@@ -280,6 +304,20 @@ def test_language_id(spark):
     assert language_id.identify(docs.limit(0)).collect() == []
 
 
+def test_letters_and_bounded_sample(spark, monkeypatch):
+    """Numbers of any kind are no letters; a sample of the labelled rows changes no prediction of clear texts."""
+    rows = [(i, f"{w} " * 9, lang) for i, (lang, w) in enumerate([("en", "the house of"), ("de", "das haus und")] * 40)]
+    odd = ["½ ²", "Ⅷ", "①", "१२३", "_ __", "Ⅷ house"]
+    docs = spark.createDataFrame(rows + [(100 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    want = {i: lang for i, _, lang in rows} | {100 + i: "und" for i in range(5)} | {105: "en"}
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()} == want
+    monkeypatch.setattr(language_id, "LABELLED", 8)
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()} == want
+    # Two languages with the same words tie: the first is told. Repeated rows.
+    tied = spark.createDataFrame([(i, "one two", lang) for i in range(30) for lang in ("y", "x")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.identify(tied).collect()} == {"x"}
+
+
 def test_backoff():
     m = language_id.Model(["a", "b"], {("a", 0): 10, ("b", 0): 10, ("a", 2): 20, ("b", 2): 20, ("a", 1): 20, ("b", 1): 20}, [("a", 0, "cat", 5), ("b", 0, "dog", 5), ("a", 2, "ca", 4), ("b", 1, "z", 9)])
     assert m.predict("cat")[0] == "a" and m.predict("dog")[0] == "b"

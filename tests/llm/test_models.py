@@ -207,3 +207,15 @@ def test_pipeline_rows_without_or_with_equal_ids(spark, tmp_path):
     assert sorted(set(got) - {"l", "m"}) == ["a", "b", "c", "d", "h", "i", "j", "k"] and len({"l", "m"} & set(got)) == 1 and len(got) == 9
     clean = {r.source for r in pipeline.decontaminate(spark, kept, path).collect()}
     assert clean == set(got) - {"d", "i"}
+
+
+def test_pipeline_empty_table_and_foreign_columns(spark, tmp_path):
+    """No rows give no rows at every stage; columns with the names that stages use inside travel along."""
+    pipeline, docs, path = planted(spark, tmp_path, [(1, "the house is on the hill " * 4, "en", "s"), (2, "ein haus steht auf dem hügel " * 4, "de", "s")], [(1, "nothing of this is there at all")])
+    docs = docs.withColumns({c: F.lit(c) for c in ("key", "n", "score", "lang_pred", "secrets", "component_id", "seed", "bucket")})
+    empty = docs.limit(0)
+    for name, stage in pipeline.STAGES[:4]:
+        assert stage(spark, empty, path).collect() == []
+        docs = stage(spark, docs, path)
+        assert len(docs.columns) == 12 and sorted((r.doc_id, r.key, r.seed) for r in docs.collect()) == [(1, "key", "seed"), (2, "key", "seed")], name
+    assert pipeline.tokens(spark, empty, path).collect() == [] and pipeline.tokens(spark, docs, path).count() == 2
