@@ -1,4 +1,10 @@
-"""A training corpus in five stages, each a corpus operator whose decisions take effect on documents."""
+"""A training corpus in five stages, each a corpus operator whose decisions take effect on documents.
+
+All stages: rows are told apart as rows, so null and repeated ids lose none; columns beyond documents' own, of any name but row,
+travel along until the last stage; an empty table gives an empty one; a text of any length is taken whole. Null and
+empty texts, which have no language, go in the first stage; the others keep them. Ties: of near copies with the same
+least id, the one whose row hash is least stays; secrets and items are judged one by one.
+"""
 
 from __future__ import annotations
 
@@ -12,10 +18,15 @@ from lectern.llm.jaccard_join import jaccard_components
 from lectern.llm.queries import MODEL_FILE
 
 
+#: Below this posterior a language is not taken as told.
+LEAST_SCORE = 0.5
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose language cannot be told (no text, or none with a letter)."""
+    """Documents go whose language cannot be told (no text, none with a letter, or a score below LEAST_SCORE); lang becomes what was told."""
     told = language_id.annotate(docs, language_id.learn(docs))
-    return told.where(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
+    told = told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return told.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -62,7 +73,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's rows are written and read again by the next."""
-    tables, docs = Tables(spark, "pipeline"), table(spark, sf_dir, "documents")
+    tables, docs, before = Tables(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        others = list(Tables.made)
         docs = tables.keep(stage(spark, docs, sf_dir), name)
+        # Nothing reads the operator's own tables any more, nor the stage before.
+        for made in [t for t in Tables.made if t not in others]:
+            made.drop_all()
+        tables.drop([before] if before else [])
+        before = name
     return docs
