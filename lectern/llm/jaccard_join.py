@@ -25,6 +25,7 @@ Shingles are compared by 64-bit hashes; classes by a 64-bit hash of the whole se
 
 from __future__ import annotations
 
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
@@ -34,6 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import repeats
 from .common import Tables, WordHashes, batch, mix, signed, text_bytes, window_hashes
 from .components import components
 
@@ -177,27 +179,65 @@ def _scan(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
 
 _TOKENS = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32())])
+_CHUNKS = pa.schema([("chunk", pa.int64()), ("classes", pa.binary()), ("tokens", pa.binary())])
+#: Prefix tokens that one row holds, about.
+CHUNK = 1 << 20
 
 
 def _tokens(orders, k: int, percent: int):
+    """The prefixes of order 1, in chunks: classes (key, n, size of the prefix) and their tokens, sorted by key; a random number for each chunk."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o = orders.value
+        o, found, size = orders.value, [], 0
+
+        def chunk() -> pa.RecordBatch:
+            found.sort(key=lambda x: x[0])
+            classes = np.array([(key, n, len(t)) for key, n, t in found], np.int64)
+            return batch(_CHUNKS, [uuid.uuid4().int >> 65], [classes.tobytes()], [np.concatenate([t for _, _, t in found]).tobytes()])
+
         for b in batches:
-            tokens, keys, sizes, reps = [], [], [], []
             for h in words_of(b.column("text").to_pylist()):
                 s, first = shingles(h, k)
                 if len(s):
                     (t,) = o.prefixes(h, s, first, percent, (1,))
-                    tokens.append(t)
-                    keys.append(class_key(s))
-                    sizes.append(len(s))
-                    reps.append(len(t))
-            if tokens:
-                yield batch(_TOKENS, signed(np.concatenate(tokens)), np.repeat(np.array(keys, np.int64), reps), np.repeat(np.array(sizes, np.int32), reps))
+                    found.append((class_key(s), len(s), t))
+                    size += len(t)
+                    if size >= CHUNK:
+                        yield chunk()
+                        found, size = [], 0
+        if found:
+            yield chunk()
 
     return run
 
 
+def _opened(classes: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The key and n of each token's class, and the tokens."""
+    c, t = np.frombuffer(classes, np.int64).reshape(-1, 3), np.frombuffer(tokens, np.uint64)
+    return np.repeat(c[:, 0], c[:, 2]), np.repeat(c[:, 1], c[:, 2]), t
+
+
+def _asked(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, classes, tokens in zip(*(b.column(c).to_pylist() for c in ("chunk", "classes", "tokens")), strict=True):
+                keys, _, t = _opened(classes, tokens)
+                yield from repeats.sent(repeats.Distinct(t, keys), number, parts, False).to_batches()
+
+    return run
+
+
+def _shared(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+    """The tokens of a chunk that another chunk has as well, or another class of it."""
+    if not chunks.num_rows:
+        return _TOKENS.empty_table()
+    keys, n, t = _opened(chunks.column("classes")[0].as_py(), chunks.column("tokens")[0].as_py())
+    (again,) = repeats.bits(answers, 1)
+    distinct = repeats.Distinct(t, keys).hashes
+    stay = again[np.searchsorted(distinct, t)]
+    return pa.table([pa.array(signed(t[stay])), pa.array(keys[stay]), pa.array(n[stay].astype(np.int32))], schema=_TOKENS)
+
+
 _TEXTS = pa.schema([("key", pa.int64()), ("bits", pa.binary()), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32())), ("text", pa.binary())])
 
 
@@ -356,7 +396,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     heavy = often.where("kind = 1").select("key", "n").orderBy(F.desc("n"), "key").limit(HEAVY).toPandas()
     orders = spark.sparkContext.broadcast(Orders(k, words["key"].to_numpy().astype(np.int64).view(np.uint64), words["n"].to_numpy(), total, heavy["key"].to_numpy().astype(np.int64).view(np.uint64), heavy["n"].to_numpy()))
 
-    tokens = tables.keep(source.mapInArrow(_tokens(orders, k, percent), "token long, key long, n int"), "tokens")
+    # A filter first: most tokens are of one class only, and go before they become rows.
+    chunks = tables.keep(source.mapInArrow(_tokens(orders, k, percent), "chunk long, classes binary, tokens binary"), "chunks")
+    parts = max(1, chunks.select("chunk").count())
+    asked = chunks.mapInArrow(_asked(parts), repeats.SENT_TYPES).repartition(parts, "part").groupBy("part")
+    answers = tables.keep(asked.applyInArrow(repeats.seen_twice, repeats.ANSWER_TYPES), "answers")
+    tables.release()
+    tokens = tables.keep(chunks.groupBy("chunk").cogroup(answers.groupBy("bucket")).applyInArrow(_shared, "token long, key long, n int"), "tokens")
+    tables.drop(["chunks", "answers"])
+    tables.release()
     # The buckets with two classes at least, and the least class of each; both aggregates combine before the shuffle.
     shared = tokens.groupBy("token").agg(F.min(F.struct("key", "n")).alias("m"), F.max("key").alias("last")).where("m.key <> last").select("token", F.col("m.key").alias("anchor"), F.col("m.n").alias("anchor_n"))
     buckets = tables.keep(tokens.join(shared, "token").distinct(), "buckets")

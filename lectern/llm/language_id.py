@@ -26,22 +26,24 @@ from pyspark.sql import types as T
 from .common import Tables, batch
 
 #: Labelled rows of a language that the model learns from (the expected number, if there are more), and the longest n-grams.
-LABELLED, ORDER = 4_000, 4
+LABELLED, ORDER = 3_000, 4
 FLUSH = 300_000
 #: Beyond so many words the posterior grows no further; it keeps scores of long texts off 1.
 STEADY = 20
 UNKNOWN = "und"
 
-#: Runs of letters (categories L*): word characters but for digits, the low line, and the other numbers that \w takes.
-_NUMBERS = "".join(c for c in map(chr, range(128, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 #: Marks of a word's start and end, which no word contains.
 _START, _END = "<", ">"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
-    return _LETTERS.findall(text.lower()) if text else []
+    """Lower-cased runs of letters (categories L*)."""
+    words = _LETTERS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    # The pattern also takes numbers that are no digits, such as fractions.
+    return [x for w in words for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def grams(word: str, n: int) -> list[str]:

@@ -2,15 +2,15 @@
 
 A window of ``w`` words can only repeat if the windows of half its length inside it repeat. Level one
 therefore looks at windows of ceil(w / 2) words, and only at one of those inside each long window: the
-one of least hash, which equal long windows share. Windows that occur in two documents survive; only
-they are extended to the full length, which settles what is removed. Windows that repeat at that
+one of least hash, which equal long windows share. Distinct that occur in two documents survive; only
+they are extended to the full length, which settles what is removed. Distinct that repeat at that
 length are extended to twice, four times ... the length until no candidate survives: at each level every
 start both of whose halves repeat, from the hashes of the level before, without the texts.
 
 Documents are dealt into buckets of bounded size by a hash, their texts compressed. A bucket knows its distinct windows
 in the order of their hashes, which are ranges of parts; a part hears of each window from each bucket once, so a
 passage in a third of all documents costs a row for each bucket, and answers with bits in the same
-order. Windows are packed into arrays for each bucket and part, and compared by 64-bit hashes (level one, a
+order. Distinct are packed into arrays for each bucket and part, and compared by 64-bit hashes (level one, a
 filter, by 40 bits within a part).
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, WordHashes, compressed, text_bytes, uncompressed, window_hashes
+from .repeats import ANSWER_TYPES, SENT, SENT_TYPES, Distinct, bits, compared, seen_twice, sent
 
 BUCKET_BYTES = 16 << 20
 _HASHES = WordHashes()
@@ -45,95 +46,6 @@ def anchors(h: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-class Windows:
-    """The distinct windows of a bucket, in the order of their hashes, with the least and greatest document of each.
-
-    hashes are those of all windows and owners their documents, which must not fall.
-    """
-
-    def __init__(self, hashes: np.ndarray, owners: np.ndarray):
-        order = np.argsort(hashes, kind="stable")
-        h = hashes[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        first = np.flatnonzero(new)
-        self.hashes = h[first]
-        self.least = owners[order[first]]
-        self.greatest = owners[order[np.append(first[1:], len(h)) - 1]] if len(h) else self.least
-
-    def parts(self, parts: int) -> list[tuple[int, int, int]]:
-        """(part, from, to): ranges of the windows, by part."""
-        part = (self.hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-        return [(p, i, j) for p, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if i < j]
-
-
-_SENT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary())])
-_SENT_TYPES = "part int, bucket int, n int, hashes binary, docs binary"
-_ANSWER_TYPES = "bucket int, part int, n int, bits binary"
-
-
-def _sent(windows: Windows, bucket: int, parts: int, exact: bool) -> pa.Table:
-    """The windows for each part: whole hashes with documents, or 40 bits with a bit for those that two documents of the bucket hold."""
-    z, rows = zstandard.ZstdCompressor(1), []
-    for p, i, j in windows.parts(parts):
-        h, least, greatest = windows.hashes[i:j], windows.least[i:j], windows.greatest[i:j]
-        if exact:
-            rows.append((p, bucket, j - i, h.tobytes(), z.compress(least.tobytes() + (greatest - least).tobytes())))
-        else:
-            rows.append((p, bucket, j - i, h.view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), np.packbits(least != greatest).tobytes()))
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, _SENT, strict=True)], schema=_SENT)
-
-
-def _answers(sent: pa.Table, found: list[np.ndarray], ends: np.ndarray) -> pa.Table:
-    """For each row of sent the bits of its windows, one array of bits after the other."""
-    bits = [b"".join(np.packbits(f[i:j]).tobytes() for f in found) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-    return pa.table([sent.column("bucket"), sent.column("part"), sent.column("n"), pa.array(bits, pa.binary())], names=["bucket", "part", "n", "bits"])
-
-
-def _ends(sent: pa.Table) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(sent.column("n").to_numpy())])
-
-
-def _seen_twice(sent: pa.Table) -> pa.Table:
-    """Level one: whether a window occurs in two buckets, or in two documents of one."""
-    ends = _ends(sent)
-    raw = np.frombuffer(b"".join(sent.column("hashes").to_pylist()), np.uint8).reshape(-1, 5)
-    h = np.zeros((len(raw), 8), np.uint8)
-    h[:, :5] = raw
-    _, which, times = np.unique(h.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
-    own = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(sent.column("docs").to_pylist(), sent.column("n").to_pylist(), strict=True)]
-    return _answers(sent, [(times[which] > 1) | np.concatenate(own).astype(bool)], ends)
-
-
-def _compared(sent: pa.Table) -> pa.Table:
-    """Whether a document outside the bucket with a smaller id than any inside holds the window, and whether two documents hold it at all."""
-    ends, z = _ends(sent), zstandard.ZstdDecompressor()
-    h = np.frombuffer(b"".join(sent.column("hashes").to_pylist()), np.uint64)
-    docs = [np.frombuffer(z.decompress(b), np.int64) for b in sent.column("docs").to_pylist()]
-    least = np.concatenate([d[: len(d) // 2] for d in docs])
-    greatest = least + np.concatenate([d[len(d) // 2 :] for d in docs])
-    order = np.argsort(h, kind="stable")
-    new = np.ones(len(h), bool)
-    new[1:] = h[order[1:]] != h[order[:-1]]
-    which = np.empty(len(h), np.int64)
-    which[order] = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    low, high = np.minimum.reduceat(least[order], first), np.maximum.reduceat(greatest[order], first)
-    return _answers(sent, [low[which] < least, (low < high)[which]], ends)
-
-
-def _bits(answers: pa.Table, kinds: int) -> list[np.ndarray]:
-    """The answers to all windows of a bucket, in order, for each kind."""
-    answers = answers.sort_by("part")
-    out: list[list[np.ndarray]] = [[] for _ in range(kinds)]
-    for n, bits in zip(answers.column("n").to_pylist(), answers.column("bits").to_pylist(), strict=True):
-        size = len(bits) // kinds
-        for k in range(kinds):
-            out[k].append(np.unpackbits(np.frombuffer(bits, np.uint8, size, k * size), count=n).astype(bool))
-    return [np.concatenate(x) if x else np.zeros(0, bool) for x in out]
-
-
 class Bucket:
     """The words of a bucket's documents, those without an id left out, in order of the ids."""
 
@@ -149,27 +61,27 @@ class Bucket:
         self.doc = np.array([self.ids[i] for i in self.rows], np.int64)[self.row] if self.rows else np.zeros(0, np.int64)
         self.window = window
 
-    def anchors(self) -> tuple[np.ndarray, Windows]:
+    def anchors(self) -> tuple[np.ndarray, Distinct]:
         """The anchor of each window, and their distinct ones."""
         a = anchors(self.h, self.window)[self.at] if len(self.at) else np.zeros(0, np.uint64)
-        # Windows side by side mostly share theirs.
+        # Distinct side by side mostly share theirs.
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (self.row[1:] != self.row[:-1])
-        return a, Windows(a[new], self.doc[new])
+        return a, Distinct(a[new], self.doc[new])
 
-    def candidates(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, Windows]:
+    def candidates(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, Distinct]:
         """The windows whose anchor repeats: which they are, their hashes, and the distinct ones."""
         a, distinct = self.anchors()
-        (again,) = _bits(answers, 1)
+        (again,) = bits(answers, 1)
         twice = distinct.hashes[again]
         which = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, a), len(twice) - 1)] == a) if len(twice) else np.zeros(0, np.int64)
         h = window_hashes(self.h, self.window, 2)[self.at[which]]
-        return which, h, Windows(h, self.doc[which])
+        return which, h, Distinct(h, self.doc[which])
 
 
 def _level_one(window: int, parts: int):
     def run(docs: pa.Table) -> pa.Table:
-        return _sent(Bucket(docs, window).anchors()[1], docs.column("bucket")[0].as_py(), parts, False)
+        return sent(Bucket(docs, window).anchors()[1], docs.column("bucket")[0].as_py(), parts, False)
 
     return run
 
@@ -177,14 +89,14 @@ def _level_one(window: int, parts: int):
 def _level_two(window: int, parts: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _SENT.empty_table()
-        return _sent(Bucket(docs, window).candidates(answers)[2], docs.column("bucket")[0].as_py(), parts, True)
+            return SENT.empty_table()
+        return sent(Bucket(docs, window).candidates(answers)[2], docs.column("bucket")[0].as_py(), parts, True)
 
     return run
 
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("bucket", pa.int32()), ("held", pa.binary())])
-_RESULT_TYPES = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, removed array<struct<start:int,end:int>>, bucket int, held binary"
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("bucket", pa.int64()), ("held", pa.binary())])
+_RESULT_TYPES = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, removed array<struct<start:int,end:int>>, bucket long, held binary"
 
 
 def _packed(docs: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> bytes:
@@ -202,7 +114,7 @@ def _apply(window: int, full: bool):
         """Rows of documents (bucket null), and a row with the bucket's repeated windows."""
         b = Bucket(docs, window)
         which, h, distinct = b.candidates(anchored)
-        elsewhere, again = _bits(answers, 2)
+        elsewhere, again = bits(answers, 2)
         number = np.searchsorted(distinct.hashes, h)
         gone = elsewhere[number] | (distinct.least[number] < b.doc[which])
         depth = np.zeros(len(b.h) + 1, np.int64)
@@ -243,12 +155,12 @@ def _twice(docs: np.ndarray, at: np.ndarray, hashes: np.ndarray, size: int) -> t
 def _grown(size: int, parts: int):
     def run(held: pa.Table) -> pa.Table:
         docs, _, h = _twice(*_unpacked(held.column("held")[0].as_py()), size)
-        return _sent(Windows(h, docs), held.column("bucket")[0].as_py(), parts, True)
+        return sent(Distinct(h, docs), held.column("bucket")[0].as_py(), parts, True)
 
     return run
 
 
-_HELD = pa.schema([("bucket", pa.int32()), ("held", pa.binary()), ("docs", pa.list_(pa.int64()))])
+_HELD = pa.schema([("bucket", pa.int64()), ("held", pa.binary()), ("docs", pa.list_(pa.int64()))])
 
 
 def _kept(size: int):
@@ -257,7 +169,7 @@ def _kept(size: int):
         if not held.num_rows or not answers.num_rows:
             return _HELD.empty_table()
         docs, at, h = _twice(*_unpacked(held.column("held")[0].as_py()), size)
-        stay = _bits(answers, 2)[1][np.searchsorted(Windows(h, docs).hashes, h)]
+        stay = bits(answers, 2)[1][np.searchsorted(Distinct(h, docs).hashes, h)]
         if not stay.any():
             return _HELD.empty_table()
         return pa.table([held.column("bucket"), pa.array([_packed(docs[stay], at[stay], h[stay])], pa.binary()), pa.array([np.unique(docs[stay])], pa.list_(pa.int64()))], schema=_HELD)
@@ -285,19 +197,19 @@ def substring_dedup(docs: DataFrame, window: int = 13, full: bool = True, bucket
     rows = text_bytes(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = parts = max(1, -(-size // bucket_bytes))
-    rows = rows.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"), "text")
+    rows = rows.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).alias("bucket"), "text")
 
     def dealt() -> DataFrame:
-        return rows.mapInArrow(compressed, "doc_id long, bucket int, text binary").repartition(buckets, "bucket")
+        return rows.mapInArrow(compressed, "doc_id long, bucket long, text binary").repartition(buckets, "bucket")
 
-    def asked(sent: DataFrame, answer: Callable, name: str) -> DataFrame:
-        out = tables.keep(sent.repartition(parts, "part").groupBy("part").applyInArrow(answer, _ANSWER_TYPES), name)
+    def asked(rows: DataFrame, answer: Callable, name: str) -> DataFrame:
+        out = tables.keep(rows.repartition(parts, "part").groupBy("part").applyInArrow(answer, ANSWER_TYPES), name)
         tables.release()
         return out
 
-    ones = asked(dealt().groupBy("bucket").applyInArrow(_level_one(window, parts), _SENT_TYPES), _seen_twice, "answers-half")
-    sent = dealt().groupBy("bucket").cogroup(ones.groupBy("bucket")).applyInArrow(_level_two(window, parts), _SENT_TYPES)
-    twos = asked(sent, _compared, "answers-0")
+    ones = asked(dealt().groupBy("bucket").applyInArrow(_level_one(window, parts), SENT_TYPES), seen_twice, "answers-half")
+    full_length = dealt().groupBy("bucket").cogroup(ones.groupBy("bucket")).applyInArrow(_level_two(window, parts), SENT_TYPES)
+    twos = asked(full_length, compared, "answers-0")
 
     both = ones.withColumn("level", F.lit(1)).unionByName(twos.withColumn("level", F.lit(2)))
     apply = _apply(window, full)
@@ -320,8 +232,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, full: bool = True, bucket
         docs_of = held.select(F.explode("docs").alias("doc_id")) if level else held.mapInArrow(_docs_of, "doc_id long")
         reached = docs_of.select("doc_id", F.lit(length).cast("long").alias("longest_repeat"))
         longest = reached if longest is None else longest.unionByName(reached)
-        answers = asked(held.select("bucket", "held").groupBy("bucket").applyInArrow(_grown(length, parts), _SENT_TYPES), _compared, f"answers-{level + 1}")
-        grown = held.select("bucket", "held").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_kept(length), "bucket int, held binary, docs array<long>")
+        answers = asked(held.select("bucket", "held").groupBy("bucket").applyInArrow(_grown(length, parts), SENT_TYPES), compared, f"answers-{level + 1}")
+        grown = held.select("bucket", "held").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_kept(length), "bucket long, held binary, docs array<long>")
         held = tables.keep(grown, f"held-{level + 1}")
         tables.drop([f"answers-{level + 1}"])
         tables.release()
