@@ -115,7 +115,7 @@ def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], packed], names=b.schema.names)
 
 
-def uncompressed(packed: pa.ChunkedArray) -> list[bytes | None]:
+def uncompressed(packed: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     z = zstandard.ZstdDecompressor()
     return [None if t is None else z.decompress(t) for t in packed.to_pylist()]
 

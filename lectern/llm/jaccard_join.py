@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import Tables, WordHashes, batch, mix, signed, text_bytes, window_hashes
+from .common import Tables, WordHashes, batch, compressed, mix, signed, text_bytes, uncompressed, window_hashes
 from .components import components
 
 WORD_SHARE = 1e-5
@@ -242,18 +242,18 @@ _TEXTS = pa.schema([("key", pa.int64()), ("bits", pa.binary()), ("second", pa.li
 
 
 def _sketch(orders, k: int, percent: int):
-    """For each class its parity bits, its prefixes under orders 2 and 3 (cut to 32 bits), and its text compressed."""
+    """For each class its parity bits, its prefixes under orders 2 and 3 (cut to 32 bits), and its text, compressed as it came."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o, z = orders.value, zstandard.ZstdCompressor(1)
+        o = orders.value
         for b in batches:
-            texts, bits, second, third = b.column("text").to_pylist(), [], [], []
-            for h in words_of(texts):
+            bits, second, third = [], [], []
+            for h in words_of(uncompressed(b.column("text"))):
                 s, first = shingles(h, k)
                 bits.append(parity(s).tobytes())
                 for out, p in zip((second, third), o.prefixes(h, s, first, percent, (2, 3)), strict=True):
                     out.append(signed(p).astype(np.int32))
-            yield batch(_TEXTS, b.column("key"), bits, second, third, [z.compress(t) for t in texts])
+            yield batch(_TEXTS, b.column("key"), bits, second, third, b.column("text"))
 
     return run
 
@@ -414,7 +414,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
 
     # A class's text is that of one of its rows; rows of one id may be of different classes, so they are told apart by a hash of id and text.
     members = classes.join(buckets.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
-    texts = source.join(members, "row").dropDuplicates(["key"]).select("key", "text")
+    packed = source.select("row", "text").mapInArrow(compressed, "row long, text binary")
+    texts = packed.join(members, "row").dropDuplicates(["row"]).select("key", "text")
     texts = tables.keep(texts.mapInArrow(_sketch(orders, k, percent), "key long, bits binary, second array<int>, third array<int>, text binary"), "texts")
     tables.release()
 
