@@ -60,9 +60,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
+#: Smaller buckets than the operator's own, since the rows carry all ids.
+TOKEN_BUCKET = 6 << 20
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids."""
-    return sentencepiece_lattice.encode(docs, MODEL_FILE, keys=("doc_id", "lang", "source"))
+    return sentencepiece_lattice.encode(docs, MODEL_FILE, keys=("doc_id", "lang", "source"), bucket_bytes=TOKEN_BUCKET)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("tokens", tokens)]
