@@ -107,10 +107,17 @@ class WordHashes:
             return mix(np.add.reduceat(self.value[codes[starts[0] :]] * self.odd[at], starts - starts[0]), 33)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that a worker holds few texts as Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows, their last column (text as bytes) compressed."""
     z = zstandard.ZstdCompressor(1)
-    for b in batches:
+    for b in small(batches):
         packed = pa.array([None if t is None else z.compress(t) for t in b.columns[-1].to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], packed], names=b.schema.names)
 

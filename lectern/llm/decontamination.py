@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, batch, signed, text_bytes, window_hashes, word_hashes
+from .common import Tables, batch, signed, small, text_bytes, window_hashes, word_hashes
 
 SEEDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -91,7 +91,7 @@ def _hits(known, sizes: list[int]):
             seeds = known.value
             low = np.zeros(1 << 20, bool)
             low[(seeds & np.uint64(0xFFFFF)).astype(np.int64)] = True
-        for b in batches:
+        for b in small(batches):
             ids, at, found = [], [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 h = word_hashes(words_of(text))
@@ -117,7 +117,7 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", p
 
 def _align(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             out = []
             last, words, known = None, [], {}
             for doc, item, text, item_text, spots in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "item_text", "spots")), strict=True):

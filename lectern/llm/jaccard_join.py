@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import Tables, WordHashes, batch, compressed, mix, signed, text_bytes, uncompressed, window_hashes
+from .common import Tables, WordHashes, batch, compressed, mix, signed, small, text_bytes, uncompressed, window_hashes
 from .components import components
 
 WORD_SHARE = 1e-5
@@ -159,7 +159,7 @@ def _scan(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle_counts, word_counts, total = _Counts(3, HEAVY // 4), _Counts(8, int(1 / WORD_SHARE)), 0
-        for b in batches:
+        for b in small(batches):
             keys, sizes = [], []
             for h in words_of(b.column("text").to_pylist()):
                 s, _ = shingles(h, k)
@@ -195,7 +195,7 @@ def _tokens(orders, k: int, percent: int):
             classes = np.array([(key, n, len(t)) for key, n, t in found], np.int64)
             return batch(_CHUNKS, [uuid.uuid4().int >> 65], [classes.tobytes()], [np.concatenate([t for _, _, t in found]).tobytes()])
 
-        for b in batches:
+        for b in small(batches):
             for h in words_of(b.column("text").to_pylist()):
                 s, first = shingles(h, k)
                 if len(s):
@@ -246,7 +246,7 @@ def _sketch(orders, k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = orders.value
-        for b in batches:
+        for b in small(batches):
             bits, second, third = [], [], []
             for h in words_of(uncompressed(b.column("text"))):
                 s, first = shingles(h, k)
@@ -358,7 +358,7 @@ def _verify(k: int, percent: int):
                     known.popitem(last=False)
             return known[key]
 
-        for b in batches:
+        for b in small(batches):
             out = []
             for x, y, tx, ty in zip(*(b.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
                 s, r = of(x, tx), of(y, ty)

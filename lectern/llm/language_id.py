@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Tables, batch
+from .common import Tables, batch, small
 
 #: Labelled rows of a language that the model learns from (the expected number, if there are more), and the longest n-grams.
-LABELLED, ORDER = 3_000, 4
+LABELLED, ORDER = 2_000, 4
 FLUSH = 300_000
+#: Unseen words whose scores a task remembers.
+BACKED = 50_000
 #: Beyond so many words the posterior grows no further; it keeps scores of long texts off 1.
 STEADY = 20
 UNKNOWN = "und"
@@ -63,7 +65,7 @@ def _flush(counts: dict[tuple[str, int], Counter]) -> Iterator[pa.RecordBatch]:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[tuple[str, int], Counter] = {}
-    for b in batches:
+    for b in small(batches):
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
             counts.setdefault((lang, 0), Counter()).update(words_of(text))
             if sum(map(len, counts.values())) > FLUSH:
@@ -109,7 +111,7 @@ class Model:
                 if known:
                     found = self.logs[n][known].mean(axis=0)
                     break
-            if len(self.backed) >= FLUSH:
+            if len(self.backed) >= BACKED:
                 self.backed.clear()
             self.backed[word] = found
         return found
@@ -153,7 +155,7 @@ def train(labelled: DataFrame, tables: Tables) -> Model:
 def _predict(model, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in batches:
+        for b in small(batches):
             out = [m.predict(t) for t in b.column(at).to_pylist()]
             schema = pa.schema([*b.schema, pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())])
             yield batch(schema, *b.columns, [x for x, _ in out], [s for _, s in out])
