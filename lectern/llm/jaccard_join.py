@@ -14,7 +14,8 @@ the same result.
 
 Equal sets are one class, found by a combining aggregate, so copies are never paired. Inside a
 bucket (the classes with one prefix token of order 1) every class is first tried against the bucket's
-least class only, which is linear and joins most near copies. Then only pairs that lie in *different*
+least class only: the one it meets most often, then the others that are still apart, which is linear and joins most near copies.
+While large buckets hold several components, each round draws another class of each for the rest to meet. Then only pairs that lie in *different*
 components are still of interest; they are enumerated block by block inside tasks, pruned by size and
 by parity sketches (their Hamming distance never exceeds the symmetric difference), and go
 through the filters and the exact comparison. No link between different components is lost; links
@@ -371,6 +372,23 @@ def _verify(k: int, percent: int):
     return run
 
 
+#: Rounds of anchors at most, and how many pairs for each row are left to enumeration.
+ROUNDS, IN_PROPORTION = 32, 8
+#: Pairs whose classes are broadcast.
+BROADCAST = 200_000
+
+
+def _named(buckets: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows of buckets with the component of their class."""
+    return buckets.select("token", "key", "n").join(comp.toDF("key", "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+
+
+def _mixed(named: DataFrame) -> DataFrame:
+    """The rows of buckets of more than SMALL classes that lie in two components at least."""
+    tokens = named.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"))
+    return named.join(tokens.where((F.col("c0") != F.col("c1")) & (F.col("size") > SMALL)).select("token"), "token", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text; other columns are ignored).
 
@@ -409,7 +427,6 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     shared = tokens.groupBy("token").agg(F.min(F.struct("key", "n")).alias("m"), F.max("key").alias("last")).where("m.key <> last").select("token", F.col("m.key").alias("anchor"), F.col("m.n").alias("anchor_n"))
     buckets = tables.keep(tokens.join(shared, "token").distinct(), "buckets")
     del tokens, shared
-    tables.drop(["tokens"])
     tables.release()
 
     # A class's text is that of one of its rows; rows of one id may be of different classes, so they are told apart by a hash of id and text.
@@ -420,22 +437,50 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     tables.release()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda x: texts.select(F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("second", "third", "text")))
+        pairs = tables.keep(pairs.distinct(), f"{name}-pairs")
+        # Only the classes of the pairs travel; few enough pairs (a checked count) pick them by a broadcast.
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        own = texts.join(F.broadcast(keys) if pairs.count() <= BROADCAST else keys, "key", "left_semi")
+        side = lambda x: own.select(F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("second", "third", "text")))
         small = [side(x).drop(f"text_{x}") for x in "ab"]
         # The filters of the orders meet before any text is fetched.
-        left = pairs.distinct().join(small[0], "a").join(small[1], "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+        left = pairs.join(small[0], "a").join(small[1], "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
         whole = left.join(side("a").select("a", "text_a"), "a").join(side("b").select("b", "text_b"), "b")
         return tables.keep(whole.mapInArrow(_verify(k, percent), "a long, b long"), name)
 
     size = f"100 * least(n, anchor_n) >= {percent} * greatest(n, anchor_n)"
-    first = verified(buckets.where(f"key <> anchor and {size}").select(F.col("key").alias("a"), F.col("anchor").alias("b")), "links-1")
-    links = first.toDF("u", "v")
+    tried = tables.keep(buckets.where(f"key <> anchor and {size}").groupBy("key", "anchor").agg(F.count("*").alias("shared")), "tried")
+    # Each class first meets the one anchor with which it shares most buckets, which joins most near copies; then the others that are still in another component.
+    best = tried.groupBy("key").agg(F.max_by("anchor", F.struct("shared", "anchor")).alias("anchor"))
+    links = verified(best.select(F.col("key").alias("a"), F.col("anchor").alias("b")), "links-0").toDF("u", "v")
+    comp = tables.keep(components(links, tables, "nearest"), "comp-0")
+    apart = tried.join(comp.toDF("key", "c"), "key", "left").join(comp.toDF("anchor", "d"), "anchor", "left").where(F.coalesce("c", "key") != F.coalesce("d", "anchor"))
+    links = links.unionByName(verified(apart.select(F.col("key").alias("a"), F.col("anchor").alias("b")), "links-1").toDF("u", "v"))
     comp = tables.keep(components(links, tables, "first"), "comp-1")
     tables.release()
 
+    # Large buckets of several components: each round draws another anchor for each, until what is left to enumerate is in proportion to the rows.
+    open_ = tables.keep(_mixed(_named(buckets, comp)), "open-0")
+    idle, before = 0, 0
+    for turn in range(ROUNDS):
+        sizes = open_.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        told = sizes.agg(F.sum("s").alias("rows"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")).first()
+        # Rounds that leave nine tenths of the pairs do not help: what is left is not linked.
+        idle, before = (idle + 1 if turn and told["pairs"] and told["pairs"] > 0.9 * before else 0), told["pairs"]
+        if (told["pairs"] or 0) <= IN_PROPORTION * (told["rows"] or 0) or idle == 3:
+            break
+        drawn = open_.groupBy("token").agg(F.min_by(F.struct(F.col("key").alias("anchor"), F.col("n").alias("anchor_n"), F.col("comp").alias("anchor_comp")), F.xxhash64("key", F.lit(turn))).alias("d")).select("token", "d.*")
+        met = open_.join(drawn, "token").where(f"comp <> anchor_comp and {size}").groupBy("key", "anchor").agg(F.count("*").alias("shared"))
+        best = met.groupBy("key").agg(F.max_by("anchor", F.struct("shared", "anchor")).alias("anchor"))
+        new = verified(best.select(F.col("key").alias("a"), F.col("anchor").alias("b")), f"links-r{turn}").toDF("u", "v")
+        if new.isEmpty():
+            continue
+        links = links.unionByName(new)
+        comp = tables.keep(components(links, tables, f"round-{turn}"), f"comp-r{turn}")
+        open_ = tables.keep(_mixed(_named(open_.select("token", "key", "n"), comp)), f"open-{turn + 1}")
+
     # What is left: buckets with two components at least, dealt out in blocks if they are large.
-    named = buckets.select("token", "key", "n").join(comp.toDF("key", "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    named = tables.keep(named, "named")
+    named = tables.keep(_named(buckets, comp), "named")
     mixed = named.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), "size")
     rows = named.join(mixed, "token").join(texts.select("key", "bits"), "key")
     # Classes of large buckets know all their buckets, so that a pair comes from one of the large ones only.
@@ -455,6 +500,6 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     by_class = tables.keep(by_class, "classes")
     least = by_class.groupBy("comp").agg(F.min("least").alias("component_id"))
     ids = tables.keep(by_class.join(least, "comp").select("key", "component_id"), "ids")
-    tables.drop(["texts", "buckets", "named", "pairs"])
+    tables.drop(["texts", "buckets", "named", "pairs", "tokens", "tried"])
     out = classes.join(ids, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

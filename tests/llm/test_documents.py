@@ -74,6 +74,22 @@ def test_jaccard_blocks_and_contraction(spark, docs, texts, monkeypatch):
     assert got == brute_components(texts, 3, 90)
 
 
+def test_jaccard_rounds_of_anchors(spark, monkeypatch):
+    """A group of copies, each with its own edits, of which many are not near any one of them."""
+    r, base = random.Random(3), [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(90):
+        w = list(base)
+        for at in r.sample(range(120), r.choice([1, 2, 3])):
+            w[at] = f"x{r.randrange(4)}"
+        texts.append(" ".join(w))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "IN_PROPORTION", 0)
+    for k, percent in ((5, 80), (3, 90)):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(rows, k, percent).collect()}
+        assert got == brute_components(texts, k, percent)
+
+
 def test_jaccard_null_ids_and_empty(spark, docs):
     odd = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (None, None), (5, "a b c d")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(odd).collect()), key=str)
