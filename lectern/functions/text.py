@@ -14,12 +14,12 @@ from .stemmer import stem
 TOKEN = r"([\p{L}\p{N}]+)"
 
 # Elements that separate words when markup goes; all others join what they touch.
-BLOCK_TAGS = ["address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figure", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"]
+BLOCK_TAGS = ["p", "div", "br", "hr", "li", "ul", "ol", "blockquote", "pre", "table", "tr", "td", "th", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6"]
 # Letters with marks in the Latin-1 range and their plain letters, for folding inside column expressions.
 _MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 # Words that a gloss may start with and that do not count, unless nothing else is left.
-GLOSS_FUNCTION_WORDS = ["a", "an", "the", "of", "in", "to", "and", "for", "from", "with", "by", "on", "at", "his", "her", "its", "their", "my", "your", "our", "be", "is", "was", "were", "are", "he", "she", "it", "they", "i", "you", "we", "who", "which", "that"]
+GLOSS_FUNCTION_WORDS = ["the", "a", "an", "of", "in", "into", "unto", "to", "by", "for", "at", "as", "with", "and", "that", "this", "these", "those", "which"]
 
 
 def tokens(text: Column) -> Column:
@@ -33,8 +33,8 @@ def fold(text: Column) -> Column:
 
 
 def html_text(html: Column) -> Column:
-    """The words of a page: scripts and styles go, block elements separate, others join, entities are decoded."""
-    out = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ")
+    """The words of a page: scripts and styles go (to the end, if they are not closed), block elements separate, others join, entities are decoded."""
+    out = F.regexp_replace(html, r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?-->", " ")
     out = F.regexp_replace(out, rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})\b[^>]*>", " ")
     out = F.regexp_replace(out, r"<[^>]*>", "")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
@@ -59,8 +59,8 @@ def sql_date(text: Column) -> Column:
 
 
 def normalize_gloss(gloss: Column) -> Column:
-    """A gloss in lower case without punctuation and leading function words, unless it has no others."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(gloss), r"[^\p{L}\p{N}' ]+", " "), " +"), lambda w: w != "")
+    """A gloss in lower case without punctuation (apostrophes and hyphens stay) and leading function words, unless it has no others."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(gloss), r"[^\p{L}\p{N}'-]+", " "), " +"), lambda w: w != "")
     light = F.array(*map(F.lit, GLOSS_FUNCTION_WORDS))
     first = F.coalesce(F.array_min(F.filter(F.transform(words, lambda w, i: F.when(~F.array_contains(light, w), i)), lambda i: i.isNotNull())), F.lit(0))
     return F.array_join(F.slice(words, first + 1, F.greatest(F.size(words), F.lit(1))), " ")

@@ -30,16 +30,22 @@ def streaks(log: DataFrame, key: str, ts: str) -> DataFrame:
     return runs.groupBy(key).agg(F.sum("n").alias("days"), F.max("n").alias("longest"), F.max_by("n", "last").alias("current"))
 
 
-def weighted_rate(events: DataFrame, key: str, ts: str, amount: str, seconds: str, latest: int = 10, low: float = 0.5, high: float = 2.0) -> DataFrame:
-    """(key, rate, used): the mean amount per minute over the latest events, newer ones weighing more; events far from the median rate are left out. Null with under two events."""
+# Rates in words a minute that count as measured, and what an event of the two kinds weighs.
+PLAUSIBLE_RATES = (80, 220)
+PREACHED, REHEARSED = 2, 1
+
+
+def speaking_rate(events: DataFrame, key: str, ts: str, words: str, seconds: str, preached: Column, latest: int = 10) -> DataFrame:
+    """(key, rate, preachings, rehearsals): words a minute over the latest timed events of each key, preaching weighing double.
+
+    Of the latest events with words and a duration (ties by event_id), those with an implausible rate are left out. Null with under
+    two events left; keys without a plausible event have no row.
+    """
     w = Window.partitionBy(key).orderBy(F.desc(ts), F.desc("event_id"))
-    rows = events.where((F.col(seconds) > 0) & (F.col(amount) > 0)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= latest)
-    rows = rows.withColumn("rate", F.col(amount) * 60 / F.col(seconds))
-    rows = rows.withColumn("median", F.expr("percentile(rate, 0.5)").over(Window.partitionBy(key)))
-    good = rows.where((F.col("rate") >= low * F.col("median")) & (F.col("rate") <= high * F.col("median")))
-    weight = F.lit(latest + 1) - F.col("place")
-    out = good.groupBy(key).agg(F.count("*").alias("used"), (F.sum(F.col("rate") * weight) / F.sum(weight)).alias("rate"))
-    return out.select(key, "used", F.when(F.col("used") >= 2, F.round("rate", 6)).alias("rate"))
+    timed = events.where((F.col(seconds) > 0) & (F.col(words) > 0)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= latest)
+    rated = timed.withColumns({"rate": F.col(words) * 60.0 / F.col(seconds), "weight": F.when(preached, PREACHED).otherwise(REHEARSED), "is_preached": preached.cast("int")}).where(F.col("rate").between(*PLAUSIBLE_RATES))
+    out = rated.groupBy(key).agg((F.sum(F.col("rate") * F.col("weight")) / F.sum("weight")).alias("mean"), F.sum("is_preached").alias("preachings"), F.count("*").alias("n"))
+    return out.select(key, F.when(F.col("n") >= 2, F.floor(F.round("mean", 6) + 0.5)).cast("long").alias("rate"), "preachings", (F.col("n") - F.col("preachings")).alias("rehearsals"))
 
 
 def sm2(state: Column, quality: Column) -> Column:

@@ -177,7 +177,7 @@ def tiered_search(spark, sf_dir):
 
 # Text functions
 
-_HTML = r"""regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g')"""
+_HTML = r"""regexp_replace(html, '(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?-->', ' ', 'g')"""
 
 
 @query(rf"""select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({_HTML}, '(?i)</?(?:{'|'.join(tx.BLOCK_TAGS)})\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'),
@@ -458,13 +458,13 @@ def weekly_grid(spark, sf_dir):
     return activity.weekly(T(spark, sf_dir).events, "ts")
 
 
-@query("""with e as (select *, (event_id % 50 + 20) * 60 secs from events where value > 0), p as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) place from e),
-    r as (select *, value * 60 / secs rate from p where place <= 10), m as (select *, quantile_cont(rate, 0.5) over (partition by user_id) med from r),
-    g as (select * from m where rate >= 0.5 * med and rate <= 2 * med)
-    select user_id, count(*) used, case when count(*) >= 2 then round(sum(rate * (11 - place)) / sum(11 - place), 6) end rate from g group by 1""")
+@query("""with e as (select user_id, event_type = 'purchase' p, floor(value * 60)::bigint words, (event_id % 50 + 10) * 30 secs, ts, event_id from events),
+    r as (select *, words / (secs / 60.0) wpm from e where words > 0 qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 10)
+    select user_id, case when count(*) >= 2 then floor(round(sum(wpm * case when p then 2 else 1 end) / sum(case when p then 2 else 1 end), 6) + 0.5)::bigint end rate, count(*) filter (where p) preachings, count(*) filter (where not p) rehearsals
+    from r where wpm between 80 and 220 group by 1""")
 def speaking_rate(spark, sf_dir):
-    events = T(spark, sf_dir).events.withColumn("secs", (F.col("event_id") % 50 + 20) * 60)
-    return activity.weighted_rate(events, "user_id", "ts", "value", "secs")
+    events = T(spark, sf_dir).events.withColumns({"secs": (F.col("event_id") % 50 + 10) * 30, "words": F.floor(F.col("value") * 60)})
+    return activity.speaking_rate(events, "user_id", "ts", "words", "secs", F.col("event_type") == "purchase")
 
 
 @query("""with recursive e as (select user_id, ts, least(5, floor(value / 20))::int q, row_number() over (partition by user_id order by ts, event_id) k from events),
@@ -575,12 +575,13 @@ def json_attribute(spark, sf_dir):
     return T(spark, sf_dir).events.select("event_id", props["k"].alias("k")).where("k >= 90")
 
 
-@query("select n_nationkey, count(*) n from nation join customer on (n_nationkey % 3 = 0 or c_custkey >= n_nationkey * 10) and (n_nationkey % 4 = 0 or c_custkey <= n_nationkey * 50) where c_custkey < 1000 group by 1")
+@query("""with s as (select n_nationkey, case when n_nationkey % 3 > 0 then n_nationkey * 10 end a, case when n_nationkey % 4 > 0 then n_nationkey * 50 end b from nation)
+    select n_nationkey, count(*) n from s join customer on (a is null or c_custkey >= a) and (b is null or c_custkey <= b) group by 1""")
 def open_ranges(spark, sf_dir):
     """Ranges whose ends may be open (null): points are held to the ends there are."""
     t = T(spark, sf_dir)
-    spans = t.nation.select("n_nationkey", F.expr("if(n_nationkey % 3 = 0, 0, n_nationkey * 10)").alias("a"), F.expr("if(n_nationkey % 4 = 0, 999, n_nationkey * 50)").alias("b"))
-    points = t.customer.where("c_custkey < 1000").select(F.col("c_custkey").alias("p"))
+    spans = t.nation.select("n_nationkey", F.expr("if(n_nationkey % 3 > 0, n_nationkey * 10, null)").alias("a"), F.expr("if(n_nationkey % 4 > 0, n_nationkey * 50, null)").alias("b"))
+    points = t.customer.select(F.col("c_custkey").alias("p"))
     return ranges.point_join(points, "p", spans, "a", "b", 100).groupBy("n_nationkey").agg(F.count("*").alias("n"))
 
 

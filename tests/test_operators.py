@@ -64,10 +64,21 @@ def test_streaks_heatmap(spark):
     assert rows(activity.heatmap(log, "ts", "2026-09-11"), "day") == [(D(2026, 9, 10), 1), (D(2026, 9, 11), 2)]
 
 
-def test_weighted_rate(spark):
-    e = spark.createDataFrame([(1, 1, 100, 1200.0, 600), (1, 2, 200, 1300.0, 600), (1, 3, 300, 10.0, 600), (2, 4, 100, 100.0, 60)], "k long, event_id long, ts long, words double, secs int")
-    got = dict((r[0], r[2]) for r in rows(activity.weighted_rate(e, "k", "ts", "words", "secs"), "k"))
-    assert got[2] is None and got[1] == pytest.approx((9 * 130 + 8 * 120) / 17, abs=1e-6)
+def test_speaking_rate(spark):
+    """Two rehearsals at 120 and a preaching at 140 make 130; a run at 50 is mis-timed; one event is no measurement; only the latest ten count."""
+    e = [(1, 1, 100, 1200, 600, "r"), (1, 2, 200, 1200, 600, "r"), (1, 3, 300, 1400, 600, "p"), (1, 4, 400, 500, 600, "r"), (1, 5, 500, 900, 0, "p"), (2, 6, 100, 100, 60, "r"), (3, 7, 100, 10, 60, "r")]
+    e += [(4, 10 + i, i, 200 if i == 0 else 100, 60, "p") for i in range(11)]
+    df = spark.createDataFrame(e, "k long, event_id long, ts long, words long, secs int, kind string")
+    got = {r.k: (r.rate, r.preachings, r.rehearsals) for r in activity.speaking_rate(df, "k", "ts", "words", "secs", F.col("kind") == "p").collect()}
+    assert got == {1: (130, 1, 2), 2: (None, 0, 1), 4: (100, 10, 0)}
+
+
+def test_open_ends(spark):
+    points = spark.createDataFrame([(i,) for i in (-7, 0, 5, 10, 300)] + [(None,)], "p long")
+    spans = spark.createDataFrame([(1, None, 5), (2, 5, None), (3, None, None), (4, 11, 20), (5, -10**12, 10**12), (6, 9, 8)], "k long, a long, b long")
+    got = sorted((r.k, r.p) for r in ranges.point_join(points, "p", spans, "a", "b", 4).collect())
+    assert got == sorted([(1, -7), (1, 0), (1, 5), (2, 5), (2, 10), (2, 300), *((k, p) for k in (3, 5) for p in (-7, 0, 5, 10, 300))])
+    assert ranges.point_join(points.limit(0), "p", spans, "a", "b", 4).collect() == []
 
 
 def test_changes(spark):
@@ -94,8 +105,8 @@ def test_html_and_words(spark):
 
 
 def test_glosses_and_numbers(spark):
-    df = spark.createDataFrame([(0, "the Word,"), (1, "in the beginning"), (2, "the"), (3, "mighty speech")], "i int, g string")
-    assert [r[1] for r in rows(df.select("i", tx.normalize_gloss(F.col("g"))), "i")] == ["word", "beginning", "the", "mighty speech"]
+    df = spark.createDataFrame([(0, "the Word,"), (1, "in the beginning"), (2, "the"), (3, "his speech"), (4, "into heaven"), (5, "Only-begotten")], "i int, g string")
+    assert [r[1] for r in rows(df.select("i", tx.normalize_gloss(F.col("g"))), "i")] == ["word", "beginning", "the", "his speech", "heaven", "only-begotten"]
     df = spark.createDataFrame([(0, "g0026"), (1, "H2617"), (2, "G0"), (3, "x")], "i int, s string")
     assert [r[1] for r in rows(df.select("i", tx.strongs_number(F.col("s"))), "i")] == ["G26", "H2617", None, None]
 
