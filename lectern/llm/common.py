@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -107,11 +108,23 @@ class WordHashes:
             return mix(np.add.reduceat(self.value[codes[starts[0] :]] * self.odd[at], starts - starts[0]), 33)
 
 
+def tidy() -> None:
+    """Gives what earlier tasks of this worker have freed back to the system, which C libraries otherwise keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that a worker holds few texts as Python objects at a time."""
+    """The same rows in small batches, so that a worker holds few texts as Python objects at a time; it starts and ends tidy."""
+    tidy()
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    tidy()
 
 
 def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import Tables, batch, small
 
 #: Labelled rows of a language that the model learns from (the expected number, if there are more), and the longest n-grams.
-LABELLED, ORDER = 2_000, 4
+LABELLED, ORDER = 1_500, 4
 FLUSH = 300_000
 #: Unseen words whose scores a task remembers.
 BACKED = 50_000
