@@ -69,7 +69,8 @@ def dictionary(docs: DataFrame, size: int = WORDS) -> list[str]:
 
 def _covered(core: Column, words: list[str]) -> Column:
     """The letters of core that stand in dictionary words; core is split at case changes and signs."""
-    known = F.array(*map(F.lit, sorted({*words, *PLACEHOLDERS})))
+    # One literal, which the optimizer splits once.
+    known = F.split(F.lit(" ".join(sorted({*words, *PLACEHOLDERS}))), " ")
     parts = F.split(F.lower(F.regexp_replace(core, "(?<=[a-z])(?=[A-Z])", " ")), "[^a-z0-9]+|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])")
     return F.aggregate(F.filter(parts, lambda x: (F.length(x) > 2) & F.array_contains(known, x)), F.lit(0), lambda n, x: n + F.length(x))
 
