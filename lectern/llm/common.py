@@ -167,6 +167,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; the JVM holds about three of a task's batches, the worker one.
+BATCH_BYTES = 2 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to BATCH_BYTES, so that rows of long texts need no more memory than short ones.
+
+    A lower bound of the session's own stays. Batches end at the first row beyond it: one text is never cut.
+    """
+    own = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_BYTES))
+    if own <= 0 or own > BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
+
+
 class Tables:
     """Intermediate tables in the shared folder: they cut lineage and outlive lost executors.
 
@@ -177,6 +192,7 @@ class Tables:
     made: list[Tables] = []
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark, self.top = spark, f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
         self.made.append(self)
 

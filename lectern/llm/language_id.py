@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Tables, batch, small
+from .common import Tables, batch, bounded_batches, small
 
 #: Labelled rows of a language that the model learns from (the expected number, if there are more), and the longest n-grams.
 LABELLED, ORDER = 1_500, 4
@@ -173,6 +173,7 @@ def learn(docs: DataFrame) -> Model:
 
 def annotate(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score (which replace columns of these names); all other columns and rows stay, in place."""
+    bounded_batches(docs.sparkSession)
     rest = docs.drop("lang_pred", "score")
     schema = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rest.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), rest.columns.index("text")), schema)

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import compressed, mix, uncompressed
+from .common import bounded_batches, compressed, mix, uncompressed
 
 SPACE = "▁"
 LONG = 60
@@ -553,6 +553,7 @@ def encode(docs: DataFrame, model_file: str, keys: tuple[str, ...] = ("doc_id",)
     number of buckets.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     vocabulary = Vocabulary.load(model_file)
     shared = spark.sparkContext.broadcast(vocabulary)
     rows = docs.select(*keys, F.col("text").cast("string").alias("text"))

@@ -338,3 +338,21 @@ def test_backoff():
     m = language_id.Model(["a", "b"], {("a", 0): 10, ("b", 0): 10, ("a", 2): 20, ("b", 2): 20, ("a", 1): 20, ("b", 1): 20}, [("a", 0, "cat", 5), ("b", 0, "dog", 5), ("a", 2, "ca", 4), ("b", 1, "z", 9)])
     assert m.predict("cat")[0] == "a" and m.predict("dog")[0] == "b"
     assert m.predict("cab")[0] == "a" and m.predict("zzz")[0] == "b"
+
+
+def test_results_do_not_depend_on_batch_size(spark, texts):
+    """Batches of a few hundred bytes, which cut every group and bucket into many, give the rows of whole ones; the bound only ever goes down."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    told = {}
+    try:
+        for bound in ("64m", "600b"):
+            spark.conf.set(key, bound)
+            joined = jaccard_join.jaccard_components(rows, k=5, percent=80)
+            removed = substring_dedup.substring_dedup(rows)
+            told[bound] = [sorted(map(tuple, d.collect()), key=repr) for d in (joined, removed)]
+            assert spark.conf.get(key) == (str(common.BATCH_BYTES) if bound == "64m" else bound)
+    finally:
+        spark.conf.set(key, before)
+    assert told["64m"] == told["600b"]
