@@ -29,6 +29,7 @@ from __future__ import annotations
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -56,15 +57,108 @@ def words_of(texts: list[bytes | None]) -> list[np.ndarray]:
 
 
 def shingles(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of k-word shingles, and where each first starts; fewer words than k make one shingle."""
+    """Distinct hashes of k-word shingles, sorted, and a place where each starts; fewer words than k make one shingle."""
     if not len(h):
         return h, np.zeros(0, np.int64)
-    return np.unique(window_hashes(h, min(k, len(h)), k if len(h) >= k else len(h)), return_index=True)
+    w = window_hashes(h, min(k, len(h)), k if len(h) >= k else len(h))
+    # Equal shingles have equal words, so any of their starts does.
+    at = np.argsort(w)
+    w = w[at]
+    new = np.ones(len(w), bool)
+    np.not_equal(w[1:], w[:-1], out=new[1:])
+    return w[new], at[new]
 
 
-def class_key(s: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        return int(signed(mix(np.array([mix(s, 11).sum(dtype=np.uint64) ^ np.uint64(len(s))]), 12))[0])
+def class_keys(sums: list[int], sizes: list[int]) -> list[int]:
+    """A hash of each set, from the sum of its elements' hashes (mix with seed 11) and its size; 0 for an empty one."""
+    n = np.array(sizes, np.uint64)
+    return np.where(n > 0, signed(mix(np.array(sums, np.uint64) ^ n, 12)), 0).tolist()
+
+
+#: Bytes of texts whose words are hashed at once.
+AT_ONCE = 1 << 20
+
+
+@dataclass
+class Sets:
+    """The shingle sets of some texts: all windows of all texts, one after the other, and for each text its distinct ones."""
+
+    words: np.ndarray
+    #: The windows, and how many words each has (fewer than k only where it is a whole text).
+    windows: np.ndarray
+    sizes: np.ndarray
+    #: The first word of each window.
+    starts: np.ndarray
+    #: For each text the places of its distinct windows, in order of their hashes.
+    places: list[np.ndarray]
+
+    def sets(self) -> Iterator[np.ndarray]:
+        return (self.windows[at] for at in self.places)
+
+    def class_keys(self) -> list[int]:
+        m = mix(self.windows, 11)
+        return class_keys([m[at].sum(dtype=np.uint64) for at in self.places], list(map(len, self.places)))
+
+
+def sets_of(texts: list[bytes | None], k: int) -> Iterator[Sets]:
+    """The shingle sets of the texts, so many at once as AT_ONCE holds, as shingles() has them."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or b"")
+        if size >= AT_ONCE or i == len(texts) - 1:
+            yield _sets(texts[first : i + 1], k)
+            first, size = i + 1, 0
+
+
+def _sets(texts: list[bytes | None], k: int) -> Sets:
+    h, counts = _WORDS.of(texts)
+    ends = counts.cumsum()
+    # Of all windows of k words those count that no text's end cuts, and one for each text that is shorter.
+    own = np.maximum(counts - k + 1, 0)
+    whole = np.ones(max(len(h) - k + 1, 0), bool)
+    for d in range(1, k):
+        cut = ends - d
+        whole[cut[(cut >= 0) & (cut < len(whole))]] = False
+    starts = np.flatnonzero(whole)
+    windows, sizes = window_hashes(h, k, k)[starts], np.full(len(starts), k)
+    if len(short := np.flatnonzero((counts > 0) & (counts < k))):
+        at = np.searchsorted(starts, ends[short] - counts[short])
+        windows = np.insert(windows, at, np.concatenate([window_hashes(h[ends[i] - counts[i] : ends[i]], int(counts[i]), int(counts[i])) for i in short]))
+        sizes, starts = np.insert(sizes, at, counts[short]), np.insert(starts, at, ends[short] - counts[short])
+        own[short] = 1
+    places, end = [], 0
+    for n in own.tolist():
+        w = windows[end : end + n]
+        # Equal shingles have equal words, so any of their places does.
+        at = np.argsort(w)
+        w = w[at]
+        new = np.ones(n, bool)
+        np.not_equal(w[1:], w[:-1], out=new[1:])
+        places.append(at[new] + end)
+        end += n
+    return Sets(h, windows, sizes, starts, places)
+
+
+class _Lookup:
+    """Places of values in a sorted table of hashes; most are found by their first bits."""
+
+    def __init__(self, table: np.ndarray, bits: int):
+        self.table, self.shift = table, np.uint64(64 - bits)
+        edges = np.searchsorted(table, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.several = np.diff(edges, append=len(table)) > 1
+        self.first = np.minimum(edges, max(len(table) - 1, 0))
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each x stands, and whether it does."""
+        if not len(self.table):
+            return np.zeros(len(x), np.int32), np.zeros(len(x), bool)
+        slot = (x >> self.shift).astype(np.int32)
+        at = self.first[slot]
+        known = self.table[at] == x
+        if len(rest := np.flatnonzero(~known & self.several[slot])):
+            at[rest] = np.minimum(np.searchsorted(self.table, x[rest]), len(self.table) - 1)
+            known[rest] = self.table[at[rest]] == x[rest]
+        return at, known
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -76,54 +170,77 @@ class Orders:
 
     def __init__(self, k: int, words: np.ndarray, word_counts: np.ndarray, total: int, heavy: np.ndarray, heavy_counts: np.ndarray):
         i, j = np.argsort(words), np.argsort(heavy)
+        self._lookups: tuple[_Lookup, _Lookup] | None = None
         self.k, self.words, self.heavy, self.heavy_counts = k, words[i], heavy[j], heavy_counts[j].astype(np.uint64)
         # Steps of an eighth of a factor of two below a frequency of 1.
         self.rare = np.round(-8 * np.log2(np.maximum(word_counts[i], 1) / max(total, 1))).astype(np.int64)
         self.unlisted = int(np.ceil(-8 * np.log2(WORD_SHARE))) + 8
 
-    @staticmethod
-    def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        at = np.minimum(np.searchsorted(table, x), len(table) - 1)
-        return at, table[at] == x
-
-    def keys(self, h: np.ndarray, s: np.ndarray, first: np.ndarray, orders: tuple[int, ...]) -> list[np.ndarray]:
-        """For each of the orders, an integer by which it sorts the shingles s, which start at first."""
-        at, known = self._find(self.words, h)
-        rare = np.where(known, self.rare[at], self.unlisted) if len(self.rare) else np.full(len(h), self.unlisted)
-        new = (~known).astype(np.int64)
-        score, fresh = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
-        for i in range(min(self.k, len(h))):
-            score += rare[first + i]
-            fresh += new[first + i]
-        at, heavy = self._find(self.heavy, s)
-        last = np.where(heavy, self.heavy_counts[at], 0).astype(np.uint64) if len(self.heavy) else np.zeros(len(s), np.uint64)
-        last = np.minimum(last, np.uint64(2**20 - 1)) << np.uint64(44)
+    def lookups(self) -> tuple[_Lookup, _Lookup]:
+        """Made by each worker, once."""
+        if self._lookups is None:
+            self._lookups = _Lookup(self.words, 20), _Lookup(self.heavy, 18)
+        return self._lookups
+
+    def keys(self, x: Sets, orders: tuple[int, ...]) -> list[np.ndarray]:
+        """For each of the orders, an integer by which it sorts the windows."""
+        words, heavies = self.lookups()
+        at, known = words.find(x.words)
+        rare = np.where(known, self.rare[at], self.unlisted) if len(self.rare) else np.full(len(x.words), self.unlisted)
+
+        def summed(values: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(x.starts), np.int64)
+            for i in range(self.k):
+                # Only the shorter windows end before k words.
+                out += values[np.minimum(x.starts + i, len(values) - 1)] * (x.sizes > i)
+            return out
+
+        last = np.zeros(len(x.windows), np.uint64)
+        at, heavy = heavies.find(x.windows)
+        last[heavy] = np.minimum(self.heavy_counts[at[heavy]], np.uint64(2**20 - 1)) << np.uint64(44)
         out = []
         for o in orders:
-            low = {1: 4095 - np.minimum(score, 4095), 2: 15 - np.minimum(fresh, 15), 3: np.zeros(len(s), np.int64)}[o].astype(np.uint64)
-            out.append(last | low << np.uint64(32) | mix(s, 100 + o) >> np.uint64(32))
+            key = last | mix(x.windows, 100 + o) >> np.uint64(32)
+            if o == 1:
+                key |= (4095 - np.minimum(summed(rare), 4095)).astype(np.uint64) << np.uint64(32)
+            elif o == 2:
+                key |= (15 - np.minimum(summed((~known).astype(np.int64)), 15)).astype(np.uint64) << np.uint64(32)
+            out.append(key)
         return out
 
-    def prefixes(self, h: np.ndarray, s: np.ndarray, first: np.ndarray, percent: int, orders: tuple[int, ...]) -> list[np.ndarray]:
-        """The prefix of s under each order. Ties of the sort key are broken by the shingle's hash."""
-        p = prefix_size(len(s), percent)
-        if p >= len(s):
-            return [s] * len(orders)
+    def prefixes(self, x: Sets, percent: int, orders: tuple[int, ...]) -> list[list[np.ndarray]]:
+        """For each of the orders, each text's prefix. Ties of the sort key are broken by the shingle's hash."""
         out = []
-        for key in self.keys(h, s, first, orders):
-            edge = np.partition(key, p - 1)[p - 1]
-            # s is sorted, so flatnonzero takes ties in order of the hash.
-            below = np.flatnonzero(key < edge)
-            out.append(s[np.concatenate([below, np.flatnonzero(key == edge)[: p - len(below)]])])
+        for keys in self.keys(x, orders):
+            out.append([])
+            for at, s in zip(x.places, x.sets(), strict=True):
+                p = prefix_size(len(s), percent)
+                if p < len(s):
+                    key = keys[at]
+                    edge = np.partition(key, p - 1)[p - 1]
+                    # s is sorted, so flatnonzero takes ties in order of the hash.
+                    below = np.flatnonzero(key < edge)
+                    s = s[np.concatenate([below, np.flatnonzero(key == edge)[: p - len(below)]])]
+                out[-1].append(s)
         return out
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """1024 bits: for each, whether an odd number of elements falls on it."""
-    bits = np.bincount((mix(s, 7) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
-    return np.packbits(bits.astype(np.uint8))
+def parities(x: Sets) -> list[bytes]:
+    """For each text 1024 bits: for each, whether an odd number of elements falls on it."""
+    bit = (mix(x.windows, 7) & np.uint64(1023)).astype(np.int64)
+    return [np.packbits((np.bincount(bit[at], minlength=1024) & 1).astype(np.uint8)).tobytes() for at in x.places]
+
+
+def sketches(x: Sets) -> list[np.ndarray]:
+    """For each text parity bits as longs: 1024, or for larger sets about as many as elements, a power of two.
+
+    The upper half of a sketch, folded onto the lower one by xor, gives the sketch of half the size.
+    """
+    hashes, out = mix(x.windows, 7).astype(np.int64), []
+    for at in x.places:
+        most = 1 << max(10, len(at).bit_length())
+        out.append(np.packbits((np.bincount(hashes[at] & (most - 1), minlength=most) & 1).astype(np.uint8)).view(np.int64))
+    return out
 
 
 class _Counts:
@@ -162,13 +279,13 @@ def _scan(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
         shingle_counts, word_counts, total = _Counts(3, HEAVY // 4), _Counts(8, int(1 / WORD_SHARE)), 0
         for b in small(batches):
             keys, sizes = [], []
-            for h in words_of(b.column("text").to_pylist()):
-                s, _ = shingles(h, k)
-                total += len(h)
-                keys.append(class_key(s) if len(s) else 0)
-                sizes.append(len(s))
-                shingle_counts.add(s)
-                word_counts.add(h)
+            for x in sets_of(b.column("text").to_pylist(), k):
+                total += len(x.words)
+                keys += x.class_keys()
+                sizes += map(len, x.places)
+                for s in x.sets():
+                    shingle_counts.add(s)
+                word_counts.add(x.words)
             yield batch(_SCAN, pa.array(np.zeros(len(keys), np.int8)), b.column("doc_id"), b.column("row"), keys, sizes)
         for kind, c in ((1, shingle_counts), (2, word_counts)):
             c.fold()
@@ -197,15 +314,15 @@ def _tokens(orders, k: int, percent: int):
             return batch(_CHUNKS, [uuid.uuid4().int >> 65], [classes.tobytes()], [np.concatenate([t for _, _, t in found]).tobytes()])
 
         for b in small(batches):
-            for h in words_of(b.column("text").to_pylist()):
-                s, first = shingles(h, k)
-                if len(s):
-                    (t,) = o.prefixes(h, s, first, percent, (1,))
-                    found.append((class_key(s), len(s), t))
-                    size += len(t)
-                    if size >= CHUNK:
-                        yield chunk()
-                        found, size = [], 0
+            for x in sets_of(b.column("text").to_pylist(), k):
+                (prefixes,) = o.prefixes(x, percent, (1,))
+                for key, at, t in zip(x.class_keys(), x.places, prefixes, strict=True):
+                    if len(t):
+                        found.append((key, len(at), t))
+                        size += len(t)
+                        if size >= CHUNK:
+                            yield chunk()
+                            found, size = [], 0
         if found:
             yield chunk()
 
@@ -239,22 +356,23 @@ def _shared(chunks: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table([pa.array(signed(t[stay])), pa.array(keys[stay]), pa.array(n[stay].astype(np.int32))], schema=_TOKENS)
 
 
-_TEXTS = pa.schema([("key", pa.int64()), ("bits", pa.binary()), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32())), ("text", pa.binary())])
+_TEXTS = pa.schema([("key", pa.int64()), ("size", pa.int32()), ("bits", pa.binary()), ("sketch", pa.list_(pa.int64())), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32())), ("text", pa.binary())])
 
 
 def _sketch(orders, k: int, percent: int):
-    """For each class its parity bits, its prefixes under orders 2 and 3 (cut to 32 bits), and its text, compressed as it came."""
+    """For each class its size, its parity bits, its sketch, its prefixes under orders 2 and 3 (cut to 32 bits), and its text, compressed as it came."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = orders.value
         for b in small(batches):
-            bits, second, third = [], [], []
-            for h in words_of(uncompressed(b.column("text"))):
-                s, first = shingles(h, k)
-                bits.append(parity(s).tobytes())
-                for out, p in zip((second, third), o.prefixes(h, s, first, percent, (2, 3)), strict=True):
-                    out.append(signed(p).astype(np.int32))
-            yield batch(_TEXTS, b.column("key"), bits, second, third, b.column("text"))
+            sizes, bits, longs, second, third = [], [], [], [], []
+            for x in sets_of(uncompressed(b.column("text")), k):
+                sizes += map(len, x.places)
+                bits += parities(x)
+                longs += sketches(x)
+                for out, prefixes in zip((second, third), o.prefixes(x, percent, (2, 3)), strict=True):
+                    out += (signed(p).astype(np.int32) for p in prefixes)
+            yield batch(_TEXTS, b.column("key"), sizes, bits, longs, second, third, b.column("text"))
 
     return run
 
@@ -374,8 +492,12 @@ def _verify(k: int, percent: int):
 
 #: Rounds of anchors at most, and how many pairs for each row are left to enumeration.
 ROUNDS, IN_PROPORTION = 32, 8
-#: Pairs whose classes are broadcast.
+#: Buckets of more classes than this get rounds of anchors; enumerating the others is linear, with this factor.
+LARGE = 128
+#: Pairs at most whose classes are broadcast at once.
 BROADCAST = 200_000
+#: Pairs at most that meet their sketches at once.
+SKETCHED = 500_000
 
 
 def _named(buckets: DataFrame, comp: DataFrame) -> DataFrame:
@@ -384,9 +506,9 @@ def _named(buckets: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _mixed(named: DataFrame) -> DataFrame:
-    """The rows of buckets of more than SMALL classes that lie in two components at least."""
+    """The rows of buckets of more than LARGE classes that lie in two components at least."""
     tokens = named.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"))
-    return named.join(tokens.where((F.col("c0") != F.col("c1")) & (F.col("size") > SMALL)).select("token"), "token", "left_semi")
+    return named.join(tokens.where((F.col("c0") != F.col("c1")) & (F.col("size") > LARGE)).select("token"), "token", "left_semi")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -433,20 +555,44 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     members = classes.join(buckets.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
     packed = source.select("row", "text").mapInArrow(compressed, "row long, text binary")
     texts = packed.join(members, "row").dropDuplicates(["row"]).select("key", "text")
-    texts = tables.keep(texts.mapInArrow(_sketch(orders, k, percent), "key long, bits binary, second array<int>, third array<int>, text binary"), "texts")
+    texts = tables.keep(texts.mapInArrow(_sketch(orders, k, percent), "key long, size int, bits binary, sketch array<long>, second array<int>, third array<int>, text binary"), "texts")
     tables.release()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = tables.keep(pairs.distinct(), f"{name}-pairs")
-        # Only the classes of the pairs travel; few enough pairs (a checked count) pick them by a broadcast.
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        own = texts.join(F.broadcast(keys) if pairs.count() <= BROADCAST else keys, "key", "left_semi")
-        side = lambda x: own.select(F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("second", "third", "text")))
-        small = [side(x).drop(f"text_{x}") for x in "ab"]
-        # The filters of the orders meet before any text is fetched.
-        left = pairs.join(small[0], "a").join(small[1], "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
-        whole = left.join(side("a").select("a", "text_a"), "a").join(side("b").select("b", "text_b"), "b")
-        return tables.keep(whole.mapInArrow(_verify(k, percent), "a long, b long"), name)
+        # Sizes and sketches meet first, so many pairs at once: n1 + n2 = m, so the symmetric difference, which the sketches' distance never exceeds, is m (1 - t) / (1 + t) at most.
+        bits = lambda x: texts.select(F.col("key").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+        # The longer sketch is folded to the size of the other.
+        least = F.least(F.size("sketch_a"), F.size("sketch_b"))
+        part = lambda c, i: F.slice(c, i * least + 1, least)
+        xor = lambda c, d: F.zip_with(c, d, lambda x, y: x.bitwiseXOR(y))
+        folded = lambda c: F.when(F.size(c) > least, F.aggregate(F.sequence(F.lit(1), F.try_divide(F.size(c), least).cast("int") - 1), part(c, F.lit(0)), lambda sum_, i: xor(sum_, part(c, i)))).otherwise(F.col(c))
+        far = F.aggregate(F.zip_with(folded("sketch_a"), folded("sketch_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        fits = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
+        turns = max(1, -(-pairs.count() // SKETCHED))
+        for i in range(turns):
+            some = pairs.where(F.pmod(F.xxhash64("b", "a"), F.lit(turns)) == i).join(bits("a"), "a").join(bits("b"), "b")
+            # How sketches are folded is read only where the sizes fit.
+            fit = F.when(F.expr(fits), far * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent))
+            some.where(fit).select("a", "b").write.mode("append" if i else "overwrite").parquet(tables.path(f"{name}-near"))
+            del some
+            tables.release()
+        near = spark.read.schema("a long, b long").parquet(tables.path(f"{name}-near"))
+        # Only the classes of the pairs travel: a bounded number of pairs at once picks them by a broadcast.
+        turns = max(1, -(-near.count() // BROADCAST))
+        for i in range(turns):
+            some = near.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == i)
+            own = texts.join(F.broadcast(some.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "key", "left_semi")
+            side = lambda x, own=own: own.select(F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("second", "third", "text")))
+            small = [side(x).drop(f"text_{x}") for x in "ab"]
+            # The filters of the orders meet before any text is fetched.
+            left = some.join(small[0], "a").join(small[1], "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+            whole = left.join(side("a").select("a", "text_a"), "a").join(side("b").select("b", "text_b"), "b")
+            whole.mapInArrow(_verify(k, percent), "a long, b long").write.mode("append" if i else "overwrite").parquet(tables.path(name))
+            del some, own, side, small, left, whole
+            tables.release()
+        tables.drop([f"{name}-pairs", f"{name}-near"])
+        return spark.read.schema("a long, b long").parquet(tables.path(name))
 
     size = f"100 * least(n, anchor_n) >= {percent} * greatest(n, anchor_n)"
     tried = tables.keep(buckets.where(f"key <> anchor and {size}").groupBy("key", "anchor").agg(F.count("*").alias("shared")), "tried")
@@ -478,6 +624,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
         links = links.unionByName(new)
         comp = tables.keep(components(links, tables, f"round-{turn}"), f"comp-r{turn}")
         open_ = tables.keep(_mixed(_named(open_.select("token", "key", "n"), comp)), f"open-{turn + 1}")
+        tables.drop([f"open-{turn}"])
+        tables.release()
+    tables.drop(["tried"])
+    tables.release()
 
     # What is left: buckets with two components at least, dealt out in blocks if they are large.
     named = tables.keep(_named(buckets, comp), "named")
@@ -492,7 +642,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     rows = rows.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "key", "n", "comp", "bits", "own")
     pairs = rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_cross(percent), "a long, b long")
     pairs = tables.keep(pairs.distinct(), "pairs")
+    del rows, lists, in_large, mixed, named
+    tables.drop(["buckets", "named"])
+    tables.release()
     second = verified(pairs, "links-2")
+    tables.drop(["texts", "pairs"])
     comp = components(links.unionByName(second.toDF("u", "v")), tables, "all")
 
     # Each component's least document; classes outside any link are their own component.
@@ -500,6 +654,6 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     by_class = tables.keep(by_class, "classes")
     least = by_class.groupBy("comp").agg(F.min("least").alias("component_id"))
     ids = tables.keep(by_class.join(least, "comp").select("key", "component_id"), "ids")
-    tables.drop(["texts", "buckets", "named", "pairs", "tokens", "tried"])
+    tables.release()
     out = classes.join(ids, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

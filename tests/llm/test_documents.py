@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,29 @@ def test_jaccard_rounds_of_anchors(spark, monkeypatch):
         assert got == brute_components(texts, k, percent)
 
 
+def test_jaccard_pairs_in_turns(spark, docs, texts, monkeypatch):
+    """Pairs in many bounded turns and rounds for all but the smallest buckets give the same."""
+    for name, value in (("SKETCHED", 40), ("BROADCAST", 40), ("LARGE", 20)):
+        monkeypatch.setattr(jaccard_join, name, value, raising=True)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, 5, 80).collect()}
+    assert got == brute_components(texts, 5, 80)
+
+
+def test_sketches_tell_large_sets_apart():
+    """Two unrelated texts of 6,000 words go by their sketches, two with a few edits stay; folded, a sketch is that of the smaller size."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(30_000)]
+    one = r.choices(words, k=6000)
+    edited = [w if r.random() > 0.01 else "x" for w in one]
+    (x,) = jaccard_join.sets_of([" ".join(w).encode() for w in (one, r.choices(words, k=6000), edited)], 5)
+    sizes, (a, b, c) = list(map(len, x.places)), jaccard_join.sketches(x)
+    far = lambda s, t: int(np.bitwise_count(s ^ t).sum())
+    assert far(a, b) * 180 > (sizes[0] + sizes[1]) * 20 >= far(a, c) * 180
+    while len(a) > 16:
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    assert a.tobytes() == jaccard_join.parities(x)[0]
+
+
 def test_jaccard_null_ids_and_empty(spark, docs):
     odd = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (None, None), (5, "a b c d")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(odd).collect()), key=str)
