@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import language_id, secret_scan, sentencepiece_lattice
-from lectern.llm.common import Tables, table
+from lectern.llm.common import Tables, release, table
 from lectern.llm.decontamination import contaminated
 from lectern.llm.jaccard_join import jaccard_components
 from lectern.llm.queries import MODEL_FILE
@@ -24,7 +24,9 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose language cannot be told (no text, none with a letter, or a score below LEAST_SCORE); lang becomes what was told."""
-    told = language_id.annotate(docs, language_id.learn(docs))
+    model = language_id.learn(docs)
+    release(spark)
+    told = language_id.annotate(docs, model)
     told = told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return told.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
@@ -55,7 +57,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Confirmed secrets are replaced by a mark; all documents stay."""
-    forest = secret_scan.train(secret_scan.labelled_findings(spark), secret_scan.dictionary(docs))
+    words = secret_scan.dictionary(docs)
+    release(spark)
+    forest = secret_scan.train(secret_scan.labelled_findings(spark), words)
+    release(spark)
     out = secret_scan.redact(docs, forest)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
