@@ -1,16 +1,21 @@
 """Operator 6: licence scan by a trained paragraph classifier, confirmed by templates. DataFrame functions only.
 
-A paragraph is a line. One that holds no stem of the licence vocabulary (``ANCHOR``) is no licence; the others, few in any corpus, are
-described by the set of their word uni- and bigrams. A multinomial logistic regression with an L1
+A paragraph is a line, with the lines that continue it: those that begin with a lower-case letter after one that does not end a
+sentence. Every paragraph is judged, described by the set of its word uni- and bigrams. A multinomial logistic regression with an L1
 penalty, trained on edited templates and on near misses, leaves a sparse table of weights (bounded by
 the templates' n-grams), which is joined to the n-grams. The scores' temperature and the probability
 below which a paragraph is unknown are fitted on variants that training did not see. The family that
 wins is confirmed if enough of the paragraph's trigrams, or of a template's, are shared.
+
+Most paragraphs need not be scored: ``gate`` derives from the weights a set of words without all of which no
+family can reach the score of unknown, whatever else a paragraph holds. Told are the paragraphs of a known family, and the
+unknown ones that hold a stem of the licence vocabulary (``ANCHOR``).
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -44,6 +49,10 @@ NEAR_MISSES = [
     "The court issued a warrant for his arrest.", "The radio station lost its broadcasting license.", "The right to redistribute wealth was debated in public.", "The gnu is a large animal of the plains.",
     "They asked for permission to use the hall.", "The copyright office opened at nine.", "The poem had been in the public domain for years.", "A license to print money, he called it.", "The dealer refused to honour the warranty of the washing machine.",
     "Poetic licence lets a writer break the rules.", "The driver showed her license and the papers of the car.", "No rights reserved seats were left in the theatre.", "Creative commons and open fields lay around the village.", "The pub has a licence to serve spirits until midnight.",
+    # Prose that shares single words with the notices, in other languages too.
+    "Mit dem Wagen fuhren sie nach Hause.", "Sie kam mit ihrer Schwester und mit dem Hund.", "Mit und ohne Zucker.", "Wir gehen mit.", "Er war mit sich und der Welt zufrieden.", "Elle a perdu sa clef dans sa maison.", "Il aime sa ville et sa rue.", "Es la historia de sa gente.",
+    "She studied at MIT and is a member of the board.", "The notice on the door said closed.", "A notice came on Monday.", "They are here and we are there.", "The files are on the desk.", "Version 1.0 was slow and 2.0 was no better.", "It rose by 1.0 and then by 2.1 and 4.0 points.", "The program of the concert begins at eight.",
+    "All of this is under the table.", "The authors of the study are not known.", "The apache rode over the hill.", "A confidential letter came by mail.", "Reserved tables are by the window.", "The library is free for all.", "The work was used by a person with a clause.",
 ]
 VARIANTS = 40
 
@@ -118,36 +127,100 @@ def train(rows: DataFrame, folds: int = 4) -> Classifier:
     return Classifier(families, intercepts, weights, scale, min(0.5, max(0.2, min(right, default=0.4) / 2)))
 
 
+def gate(classifier: Classifier) -> list[str] | None:
+    """Words of which a paragraph must hold one to be of a known family; None if there is no such set.
+
+    A family must reach the score of unknown. Without any of these words only n-grams of other words are left, and all of those
+    that speak for a family, together, do not make up for what its intercept is behind that of unknown.
+    """
+    u = classifier.families.index(UNKNOWN)
+    by_gram: dict[str, dict[int, float]] = {}
+    for g, i, w in classifier.weights:
+        by_gram.setdefault(g, {})[i] = w
+    gaps = {i: classifier.intercepts[u] - b for i, b in enumerate(classifier.intercepts) if i != u}
+    # What each n-gram speaks for each family against unknown.
+    gains = [(set(g.split(" ")), {i: x for i in gaps if (x := w.get(i, 0.0) - w.get(u, 0.0)) > 0}) for g, w in by_gram.items()]
+    gains = [(words, own) for words, own in gains if own]
+
+    def enough(needed: set[str]) -> bool:
+        left = dict.fromkeys(gaps, 0.0)
+        for words, own in gains:
+            if not words & needed:
+                for i, x in own.items():
+                    left[i] += x
+        return all(left[i] < gap - 1e-6 for i, gap in gaps.items())
+
+    needed = set().union(*(words for words, _ in gains))
+    if not enough(needed):
+        return None
+    # Words of plain prose and short ones, which many paragraphs hold, are let go first.
+    plain = {w for t in NEAR_MISSES for w in re.findall(r"\w+", t.lower())}
+    for w in sorted(needed, key=lambda w: (w not in plain, len(w), w)):
+        if enough(needed - {w}):
+            needed.remove(w)
+    return sorted(needed)
+
+
+def _any_word(words: list[str]) -> str:
+    """A regular expression for a text in lower case that holds one of the words, as words_of has them (or inside a number)."""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        by_first.setdefault(w[0], []).append(re.escape(w[1:]))
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in sorted(by_first.items())) + r")(?![\p{L}\p{N}])"
+
+
+#: Stands for a line's end inside a paragraph.
+_JOINED = "\uffff"
+
+
+def _paragraphs(text: Column) -> Column:
+    """The paragraphs of a text, as an array; inside them line ends are _JOINED."""
+    return F.split(F.regexp_replace(F.translate(text, _JOINED, " "), r"(?<![.!?:;\s])([ \t]*\r?)\n(?=[ \t]*\p{Ll})", "$1" + _JOINED), "\n")
+
+
 def license_scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
-    """(doc_id, paragraph, family, probability, overlap, confirmed, text): a row for each line of docs that speaks of licences.
+    """(doc_id, paragraph, family, probability, overlap, confirmed, text): a row for each paragraph of docs that speaks of licences.
 
-    docs has doc_id and text; other columns are ignored. paragraph numbers the text's lines from 0.
+    docs has doc_id and text; other columns are ignored. paragraph is the number of the paragraph's first line, from 0.
     family is ``unknown`` where no family reaches the calibrated probability. overlap is the larger share of
     trigrams that paragraph and the family's best template have in common; confirmed: it is enough. Null and empty texts
     give no rows; rows that share a doc_id are told apart inside, and repeated rows give repeated
-    rows. Runs jobs at once: training, and the lines, which are kept in spark.checkpoint.dir.
+    rows. Runs jobs at once: training, and the paragraphs told, which are kept in spark.checkpoint.dir.
     """
     spark = docs.sparkSession
     classifier = classifier or train(training_rows(spark))
     tables = Tables(spark, "licences")
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda t, i: F.struct(i.alias("paragraph"), t.alias("text"))), lambda x: x["text"].rlike(ANCHOR))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("text").rlike(ANCHOR))
-    rows = rows.select("doc_id", F.explode(lines).alias("p")).select("doc_id", "p.*").withColumn("words", words_of(F.col("text")))
-    rows = tables.keep(rows.withColumn("row", F.monotonically_increasing_id()), "lines")
-
-    grams = rows.select("row", F.explode(F.concat(ngrams(F.col("words"), 1), ngrams(F.col("words"), 2))).alias("gram"))
-    # The weights are bounded by the templates' n-grams.
-    sums = grams.join(F.broadcast(classifier.table(spark)), "gram").groupBy("row", "family").agg(F.sum("weight").alias("score"))
-    by_row = sums.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("family", "score"))).alias("s"))
-    scored = rows.join(by_row, "row", "left")
-    values = F.array(*(F.lit(b) + F.coalesce(F.try_element_at("s", F.lit(i)), F.lit(0.0)) for i, b in enumerate(classifier.intercepts)))
+    words = gate(classifier)
+    anchored = lambda t: t.rlike(ANCHOR)
+    may = lambda t: F.lit(True) if words is None else F.lower(t).rlike(_any_word(words)) | anchored(t)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.length("text") > 0).where(may(F.col("text")))
+
+    def found(parts: Column) -> Column:
+        numbered = F.filter(F.transform(parts, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: may(x["t"]))
+        before = lambda i: F.size(F.split(F.array_join(F.slice(parts, F.lit(1), i), ""), _JOINED)) - 1
+        return F.transform(numbered, lambda x: F.struct((x["i"] + before(x["i"])).cast("int").alias("paragraph"), F.translate(x["t"], _JOINED, "\n").alias("text")))
+
+    # The paragraphs are bound once, as the one element of an array.
+    rows = rows.select("doc_id", F.explode(F.transform(F.array(_paragraphs(F.col("text"))), found)[0]).alias("p")).select("doc_id", "p.*").withColumn("words", words_of(F.col("text")))
+
+    # The weights are bounded by the templates' n-grams, so each paragraph is scored in its row.
+    own: dict[str, list[float]] = {}
+    for g, i, w in classifier.weights:
+        own.setdefault(g, [0.0] * len(classifier.families))[i] += w
+    known, weights = F.lit(list(own)), F.create_map(*(x for g, ws in own.items() for x in (F.lit(g), F.lit(ws))))
+    pairs = F.zip_with("words", F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))), lambda x, y: F.concat(x, F.lit(" "), y))
+    rows = rows.withColumn("grams", F.array_intersect(F.concat("words", pairs), known))
+    scored = rows.withColumn("v", F.aggregate("grams", F.lit(classifier.intercepts), lambda v, g: F.zip_with(v, F.element_at(weights, g), lambda x, y: x + y)))
     exps = F.transform(F.col("v"), lambda x: F.exp((x - F.array_max("v")) * classifier.scale))
-    scored = scored.withColumn("v", values).withColumn("e", exps)
+    scored = scored.withColumn("e", exps)
     best = (F.array_position("e", F.array_max("e"))).cast("int")
     probability = F.array_max("e") / F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     names = F.array(*map(F.lit, classifier.families))
     scored = scored.withColumns({"probability": probability, "family": F.element_at(names, best)})
     scored = scored.withColumn("family", F.when(F.col("probability") < classifier.least, F.lit(UNKNOWN)).otherwise(F.col("family")))
+    # A column that is no function of the row keeps the filter above the scores, which else are computed again inside it.
+    scored = scored.withColumn("row", F.monotonically_increasing_id())
+    scored = tables.keep(scored.where((F.col("family") != UNKNOWN) | anchored(F.col("text"))).select("doc_id", "paragraph", "text", "words", "family", "probability"), "lines")
 
     forms = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, t string").select("family", ngrams(words_of(F.col("t")), 3).alias("g"))
     forms = forms.groupBy("family").agg(F.collect_list("g").alias("forms"))

@@ -101,6 +101,25 @@ def test_licences(spark, classifier):
     assert license_scan.license_scan(docs.limit(0), classifier).collect() == []
 
 
+def test_every_paragraph_is_judged(spark, classifier):
+    """Notices without a licence word and wrapped ones are found; the gate lets go of none that the model knows."""
+    wrapped = license_scan.TEMPLATES["MIT"][3].replace("any person", "any\nperson").replace("to deal", "to\ndeal")
+    texts = ["Plain words.\nThis software is proprietary and confidential.\nMore words.", f"First line.\n{wrapped}\nThis software is proprietary and confidential.", "Wir gehen mit\nund kommen wieder.\nSa maison."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.paragraph, r.family, r.text) for r in license_scan.license_scan(docs, classifier).collect())
+    assert got == [(0, 1, "Proprietary", "This software is proprietary and confidential."), (1, 1, "MIT", wrapped), (1, 4, "Proprietary", "This software is proprietary and confidential.")]
+
+    words = license_scan.gate(classifier)
+    rows = license_scan.training_rows(spark, 8).select(F.array_join("words", " ").alias("text")).distinct().withColumn("doc_id", F.xxhash64("text"))
+    every = {}
+    for gate in (lambda c: words, lambda c: None):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(license_scan, "gate", gate)
+            every[gate] = sorted(r[:3] for r in license_scan.license_scan(rows, classifier).collect())
+    a, b = every.values()
+    assert a == b and len(a) > 300
+
+
 def test_licence_calibration(spark, classifier):
     assert 0.2 <= classifier.least <= 0.5 and len({g for g, _, _ in classifier.weights}) < 2000
 
