@@ -14,18 +14,23 @@ unknown ones that hold a stem of the licence vocabulary (``ANCHOR``).
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables
+from .common import Tables, let
 
 UNKNOWN = "unknown"
 ANCHOR = r"(?i)licen[cs]|copyright|spdx|creative commons|cc[ -]by|cc0|\bgnu\b|\b[al]?gpl|warrant|redistribut|public domain|rights reserved|permission is hereby|permission to use"
+#: One of these is in every text that holds a match of ANCHOR, in lower case; they are looked for first, which is faster.
+STEMS = ("licen", "copyright", "spdx", "creative commons", "cc by", "cc-by", "cc0", "gnu", "gpl", "warrant", "redistribut", "public domain", "rights reserved", "permission ")
 #: Share of an n-gram set that must be found in a template, or the other way round.
 CONFIRM = 0.4
 
@@ -59,8 +64,7 @@ VARIANTS = 40
 
 def words_of(text: Column) -> Column:
     """Lower-cased runs of letters, digits and dots inside numbers."""
-    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?!\d)|(?<!\d)\.", " ")
-    return F.filter(F.split(plain, " +"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?:[\p{L}\p{N}]|(?<=\d)\.(?=\d))+"), 0)
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -169,13 +173,48 @@ def _any_word(words: list[str]) -> str:
     return r"(?<![\p{L}\p{N}])(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in sorted(by_first.items())) + r")(?![\p{L}\p{N}])"
 
 
+def anchored(text: Column) -> Column:
+    """Whether a text holds a stem of the licence vocabulary."""
+    return let(F.lower(text), lambda t: reduce(lambda a, b: a | b, (t.contains(x) for x in STEMS))) & text.rlike(ANCHOR)
+
+
 #: Stands for a line's end inside a paragraph.
 _JOINED = "\uffff"
 
 
 def _paragraphs(text: Column) -> Column:
     """The paragraphs of a text, as an array; inside them line ends are _JOINED."""
-    return F.split(F.regexp_replace(F.translate(text, _JOINED, " "), r"(?<![.!?:;\s])([ \t]*\r?)\n(?=[ \t]*\p{Ll})", "$1" + _JOINED), "\n")
+    return F.split(F.regexp_replace(F.replace(text, F.lit(_JOINED), F.lit(" ")), r"(?=[ \t\r\n])(?<![.!?:;\s])([ \t]*\r?)\n(?=[ \t]*\p{Ll})", "$1" + _JOINED), "\n")
+
+
+def _scores(classifier: Classifier) -> Callable[[Column], Column]:
+    """Of a paragraph's text, a struct: the family (or unknown) and its probability. Each step is computed once for the next."""
+    own: dict[str, list[float]] = {}
+    for g, i, w in classifier.weights:
+        own.setdefault(g, [0.0] * len(classifier.families))[i] += w
+    # One literal, which the optimizer makes a map of once; thousands of literals take the driver seconds.
+    weights = F.from_json(F.lit(json.dumps(own)), "map<string, array<double>>")
+    known = F.map_keys(weights)
+    names = F.array(*map(F.lit, classifier.families))
+
+    def grams(words: Column) -> Column:
+        pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda x, y: F.concat(x, F.lit(" "), y))
+        return F.array_intersect(F.concat(words, pairs), known)
+
+    def exps(v: Column) -> Column:
+        return let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp((x - top) * classifier.scale)))
+
+    def best(e: Column) -> Column:
+        return let(F.array_max(e), lambda top: named(F.element_at(names, F.array_position(e, top).cast("int")), top / F.aggregate(e, F.lit(0.0), lambda a, x: a + x)))
+
+    def named(family: Column, probability: Column) -> Column:
+        return let(probability, lambda p: F.struct(F.when(p < classifier.least, F.lit(UNKNOWN)).otherwise(family).alias("family"), p.alias("probability")))
+
+    def score(text: Column) -> Column:
+        v = let(let(words_of(text), grams), lambda g: F.aggregate(g, F.lit(classifier.intercepts), lambda v, x: let(F.element_at(weights, x), lambda w: F.zip_with(v, w, lambda a, b: a + b))))
+        return let(let(v, exps), best)
+
+    return score
 
 
 def license_scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
@@ -191,36 +230,21 @@ def license_scan(docs: DataFrame, classifier: Classifier | None = None) -> DataF
     classifier = classifier or train(training_rows(spark))
     tables = Tables(spark, "licences")
     words = gate(classifier)
-    anchored = lambda t: t.rlike(ANCHOR)
-    may = lambda t: F.lit(True) if words is None else F.lower(t).rlike(_any_word(words)) | anchored(t)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.length("text") > 0).where(may(F.col("text")))
+    may = lambda t: F.lit(True) if words is None else F.lower(t).rlike(_any_word(words))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.length("text") > 0).where(may(F.col("text")) | anchored(F.col("text")))
 
-    def found(parts: Column) -> Column:
-        numbered = F.filter(F.transform(parts, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: may(x["t"]))
+    def told(parts: Column, anchor: Column) -> Column:
+        """anchor: whether the whole text is anchored; if not, no paragraph is."""
+        numbered = F.filter(F.transform(parts, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: may(x["t"]) | (anchor & anchored(x["t"])))
+        own = F.filter(F.transform(numbered, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t"), score(x["t"]).alias("s"))), lambda x: (x["s"]["family"] != UNKNOWN) | (anchor & anchored(x["t"])))
         before = lambda i: F.size(F.split(F.array_join(F.slice(parts, F.lit(1), i), ""), _JOINED)) - 1
-        return F.transform(numbered, lambda x: F.struct((x["i"] + before(x["i"])).cast("int").alias("paragraph"), F.translate(x["t"], _JOINED, "\n").alias("text")))
-
-    # The paragraphs are bound once, as the one element of an array.
-    rows = rows.select("doc_id", F.explode(F.transform(F.array(_paragraphs(F.col("text"))), found)[0]).alias("p")).select("doc_id", "p.*").withColumn("words", words_of(F.col("text")))
+        return F.transform(own, lambda x: F.struct((x["i"] + before(x["i"])).cast("int").alias("paragraph"), F.translate(x["t"], _JOINED, "\n").alias("text"), x["s"].alias("s")))
 
-    # The weights are bounded by the templates' n-grams, so each paragraph is scored in its row.
-    own: dict[str, list[float]] = {}
-    for g, i, w in classifier.weights:
-        own.setdefault(g, [0.0] * len(classifier.families))[i] += w
-    known, weights = F.lit(list(own)), F.create_map(*(x for g, ws in own.items() for x in (F.lit(g), F.lit(ws))))
-    pairs = F.zip_with("words", F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))), lambda x, y: F.concat(x, F.lit(" "), y))
-    rows = rows.withColumn("grams", F.array_intersect(F.concat("words", pairs), known))
-    scored = rows.withColumn("v", F.aggregate("grams", F.lit(classifier.intercepts), lambda v, g: F.zip_with(v, F.element_at(weights, g), lambda x, y: x + y)))
-    exps = F.transform(F.col("v"), lambda x: F.exp((x - F.array_max("v")) * classifier.scale))
-    scored = scored.withColumn("e", exps)
-    best = (F.array_position("e", F.array_max("e"))).cast("int")
-    probability = F.array_max("e") / F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    names = F.array(*map(F.lit, classifier.families))
-    scored = scored.withColumns({"probability": probability, "family": F.element_at(names, best)})
-    scored = scored.withColumn("family", F.when(F.col("probability") < classifier.least, F.lit(UNKNOWN)).otherwise(F.col("family")))
-    # A column that is no function of the row keeps the filter above the scores, which else are computed again inside it.
-    scored = scored.withColumn("row", F.monotonically_increasing_id())
-    scored = tables.keep(scored.where((F.col("family") != UNKNOWN) | anchored(F.col("text"))).select("doc_id", "paragraph", "text", "words", "family", "probability"), "lines")
+    # The weights are bounded by the templates' n-grams, so each paragraph is scored in its row. Told are picked before they become
+    # rows: a filter on rows is put below the scores, with a copy of their expression for each time that it uses one.
+    score = _scores(classifier)
+    rows = rows.select("doc_id", F.explode(let(anchored(F.col("text")), lambda a: let(_paragraphs(F.col("text")), lambda parts: told(parts, a)))).alias("p")).select("doc_id", "p.paragraph", "p.text", words_of(F.col("p.text")).alias("words"), "p.s.family", "p.s.probability")
+    scored = tables.keep(rows, "lines")
 
     forms = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, t string").select("family", ngrams(words_of(F.col("t")), 3).alias("g"))
     forms = forms.groupBy("family").agg(F.collect_list("g").alias("forms"))

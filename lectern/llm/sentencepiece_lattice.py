@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, compressed, mix, uncompressed
+from .common import bounded_batches, compressed, let, mix, uncompressed
 
 SPACE = "▁"
 LONG = 60
@@ -163,11 +163,6 @@ class Cutter:
         return block, starts.astype(np.int32), hashes, owner
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _left(x: Column, by: Column | int) -> Column:
     return F.call_function("shiftleft", x, by if isinstance(by, Column) else F.lit(by))
 
@@ -225,7 +220,7 @@ def _bpe_fold(word: Column, edges: Column, vocabulary: Vocabulary) -> Column:
             return F.struct(cuts.alias("cuts"), still.alias("open")).cast(state_type)
 
         done = F.struct(cuts.alias("cuts"), F.array().cast(f"array<{edge_type}>").alias("open")).cast(state_type)
-        next_ = _let(best, lambda z: F.when(z.isNull(), done).otherwise(_let(cuts - cuts.bitwiseAND(z["inside"]), merged)))
+        next_ = let(best, lambda z: F.when(z.isNull(), done).otherwise(let(cuts - cuts.bitwiseAND(z["inside"]), merged)))
         return F.when(F.size(open_) == 0, state).otherwise(next_)
 
     start = F.struct((_bit(n + 1) - 1).alias("cuts"), F.transform(edges, mask).alias("open")).cast(state_type)
@@ -239,7 +234,7 @@ def _bpe_fold(word: Column, edges: Column, vocabulary: Vocabulary) -> Column:
         chars = F.transform(alone, lambda s: _left(s.cast("long"), 24) + _char(word, s))
         return F.transform(F.sort_array(F.concat(pieces, chars)), lambda x: x.bitwiseAND((1 << 24) - 1).cast("int"))
 
-    return _let(cuts, spelled)
+    return let(cuts, spelled)
 
 
 #: Key of an edge of a unigram lattice: its start (from 0) times this, plus its length.
@@ -264,7 +259,7 @@ def _viterbi_fold(word: Column, edges: Column, vocabulary: Vocabulary) -> Column
             return F.struct(score.alias("score"), (-(j - length)).alias("back"))
 
         paths = F.filter(F.transform(F.sequence(F.lit(1), F.least(j, F.lit(vocabulary.longest))), path), lambda p: p["score"].isNotNull())
-        return F.concat(cells, F.array(_let(F.array_max(paths), lambda best: F.struct(best["score"].alias("score"), (-best["back"]).alias("start")).cast(cell))))
+        return F.concat(cells, F.array(let(F.array_max(paths), lambda best: F.struct(best["score"].alias("score"), (-best["back"]).alias("start")).cast(cell))))
 
     cells = F.aggregate(F.sequence(F.lit(1), n), first, step)
 
@@ -275,12 +270,12 @@ def _viterbi_fold(word: Column, edges: Column, vocabulary: Vocabulary) -> Column
         return F.aggregate(F.sequence(F.lit(1), n), F.array(n), walk)
 
     def ids(start: Column, end: Column) -> Column:
-        return _let(F.try_element_at(edges, _key(start, end - start))["id"], lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(F.array(_char(word, start))))
+        return let(F.try_element_at(edges, _key(start, end - start))["id"], lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(F.array(_char(word, start))))
 
     def spelled(starts: Column) -> Column:
         return F.flatten(F.transform(F.sequence(F.lit(0), F.size(starts) - 2), lambda k: ids(F.get(starts, k), F.get(starts, k + 1))))
 
-    return _let(_let(cells, back), spelled)
+    return let(let(cells, back), spelled)
 
 
 def merge_long(word: str, ranks: dict[str, tuple[int, float]], vocabulary: Vocabulary) -> list[int]:
@@ -421,7 +416,7 @@ def lattice_ids(chunks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     wanted = F.col("id").isNotNull() & (F.col("size") >= (2 if vocabulary.bpe else 1))
     grouped = matched.groupBy("chunk", "group").agg(F.first("places").alias("places"), F.collect_list(F.when(wanted, edge)).alias("e"))
     in_order, fold = (F.sort_array("e"), _bpe_fold) if vocabulary.bpe else (F.map_from_entries("e"), _viterbi_fold)
-    return grouped.withColumn("edges", in_order).select("chunk", "group", "places", F.when(short, _let(F.col("edges"), lambda e: fold(F.col("chunk"), e, vocabulary))).alias("ids"))
+    return grouped.withColumn("edges", in_order).select("chunk", "group", "places", F.when(short, let(F.col("edges"), lambda e: fold(F.col("chunk"), e, vocabulary))).alias("ids"))
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

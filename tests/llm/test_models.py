@@ -120,6 +120,21 @@ def test_every_paragraph_is_judged(spark, classifier):
     assert a == b and len(a) > 300
 
 
+def test_paragraphs_are_scored_once(spark, classifier):
+    """The plan that scores holds the scores once, with no filter above them that repeats them; stems hold for all that ANCHOR finds."""
+    plans, keep = [], license_scan.Tables.keep
+    docs = spark.createDataFrame([(1, "Plain words.\nReleased under the MIT License.\n" * 40)], "doc_id long, text string")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(license_scan.Tables, "keep", lambda self, df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(self, df, name))
+        found = license_scan.license_scan(docs, classifier).collect()
+    assert sorted(r.paragraph for r in found) == list(range(1, 80, 2)) and {r.family for r in found} == {"MIT"}
+    assert [p.count("array_intersect") for p in plans] == [1]
+
+    texts = ["Licence", "a license", "licensee", "licen", "COPYRIGHT", "spdx", "Creative Commons", "CC BY", "cc-by", "cc_by", "CC0", "GNU x", "gnus", "GPL", "agpl3", "warranty", "Redistributed", "Public domain", "public\ndomain", "all rights reserved", "Permission is hereby", "permission to use", "permission", "no"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(license_scan.anchored(F.col("t")), F.col("t").rlike(license_scan.ANCHOR)).collect()
+    assert all(a == b for a, b in rows) and sum(b for _, b in rows) == 18
+
+
 def test_licence_calibration(spark, classifier):
     assert 0.2 <= classifier.least <= 0.5 and len({g for g, _, _ in classifier.weights}) < 2000
 
