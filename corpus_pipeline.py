@@ -8,11 +8,14 @@ least id, the one whose row hash is least stays; secrets and items are judged on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import language_id, secret_scan, sentencepiece_lattice
-from lectern.llm.common import Tables, release, table
+from lectern.llm.common import Tables, release, release_executors, table
 from lectern.llm.decontamination import contaminated
 from lectern.llm.jaccard_join import jaccard_components
 from lectern.llm.queries import MODEL_FILE
@@ -22,6 +25,18 @@ from lectern.llm.queries import MODEL_FILE
 LEAST_SCORE = 0.5
 
 
+def fresh(stage: Callable) -> Callable:
+    """The stage, begun with heaps that hold nothing of the stages before."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@fresh
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose language cannot be told (no text, none with a letter, or a score below LEAST_SCORE); lang becomes what was told."""
     model = language_id.learn(docs)
@@ -36,6 +51,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
 
 
+@fresh
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (shingles of five words, similarity 0.8) the row of least id stays, one without an id only if none has one.
 
@@ -48,6 +64,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(docs.columns)
 
 
+@fresh
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows go that hold a copy of a benchmark item."""
     rows = keyed(docs)
@@ -55,6 +72,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.join(found, "row", "left_anti").select(docs.columns)
 
 
+@fresh
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Confirmed secrets are replaced by a mark; all documents stay."""
     words = secret_scan.dictionary(docs)
@@ -69,6 +87,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 TOKEN_BUCKET = 6 << 20
 
 
+@fresh
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids."""
     return sentencepiece_lattice.encode(docs, MODEL_FILE, keys=("doc_id", "lang", "source"), bucket_bytes=TOKEN_BUCKET)

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, compressed, let, mix, uncompressed
+from .common import bounded_batches, compressed, let, mix, tidy, uncompressed
 
 SPACE = "▁"
 LONG = 60
@@ -351,6 +351,7 @@ _SENT = pa.schema([("group", pa.int32()), ("part", pa.int32()), ("chunks", pa.bi
 def _chunks(vocabulary, parts: int):
     def run(bucket: pa.Table) -> pa.Table:
         """The distinct chunks of a bucket with their numbers, for each part of its group."""
+        tidy()
         cutter, known, words = vocabulary.value.cutter, np.zeros(0, np.uint64), []
         for block, starts, hashes, _ in cutter.blocks(_unpacked(bucket)):
             own, first = np.unique(hashes, return_index=True)
@@ -438,6 +439,7 @@ HELD = 1 << 21
 def _tell(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each bucket the ids of its chunks, by number; long chunks are folded here."""
+        tidy()
         v = vocabulary.value
         ranks, fold = {p: (i, s) for p, i, s in v.usable()}, merge_long if v.bpe else viterbi_long
         chars = {ord(p): i for p, (i, _) in ranks.items() if len(p) == 1}
@@ -499,6 +501,7 @@ def _by_number(told: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _assemble(vocabulary, keys: list[str], full: bool):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        tidy()
         v, texts = vocabulary.value, _unpacked(docs)
         n, same = len(texts), [t is not None for t in texts]
         flat, sizes = _by_number(told.column("told").to_pylist())

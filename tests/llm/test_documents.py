@@ -380,3 +380,26 @@ def test_results_do_not_depend_on_batch_size(spark, texts):
     finally:
         spark.conf.set(key, before)
     assert told["64m"] == told["600b"]
+
+
+def test_stages_begin_with_small_heaps(spark, monkeypatch):
+    """Executors collect their garbage, and every stage of the pipeline has them do so before anything else."""
+    import corpus_pipeline
+    from lectern.llm.common import release_executors
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory
+    count = lambda: sum(b.getCollectionCount() for b in beans.getGarbageCollectorMXBeans())
+    before = count()
+    release_executors(spark)
+    assert count() >= before + spark.sparkContext.defaultParallelism
+
+    class Begun(Exception):
+        pass
+
+    def begun(_):
+        raise Begun
+
+    monkeypatch.setattr(corpus_pipeline, "release_executors", begun)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Begun):
+            stage(spark, None, "")
