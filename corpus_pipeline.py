@@ -26,10 +26,11 @@ LEAST_SCORE = 0.5
 
 
 def fresh(stage: Callable) -> Callable:
-    """The stage, begun with heaps that hold nothing of the stages before."""
+    """The stage, begun with a driver and executors that hold nothing of the stages before."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
         release_executors(spark)
         return stage(spark, docs, sf_dir)
 

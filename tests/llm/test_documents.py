@@ -403,3 +403,34 @@ def test_stages_begin_with_small_heaps(spark, monkeypatch):
     for _, stage in corpus_pipeline.STAGES:
         with pytest.raises(Begun):
             stage(spark, None, "")
+
+
+def test_release_gives_native_memory_back(spark):
+    """What the driver's JVM has freed outside its heap goes back to the system after each table and on release, so that trimming again finds little."""
+    import re
+
+    if common.trim_driver(spark) is None:
+        pytest.skip("this JVM cannot trim")
+
+    def trimmed():
+        """The MB that trimming frees."""
+        change, unit = re.search(r"\(([-+]?\d+)([BKMG])\)", common.trim_driver(spark)).groups()
+        return -int(change) * 1024.0 ** ("BKMG".index(unit) - 2)
+
+    data = bytearray(random.Random(1).randbytes(200_000))
+    tables = common.Tables(spark, "native")
+    left = []
+    for given_back in (lambda: None, lambda: common.release(spark), lambda: tables.keep(spark.range(1), "one")):
+        made = [spark.sparkContext._jvm.java.util.zip.Deflater(1) for _ in range(300)]
+        for d in made:
+            d.setInput(data)
+            d.deflate(data)
+        # Some stay, so that what is freed between them is at no end.
+        for d in (d for i, d in enumerate(made) if i % 10):
+            d.end()
+        given_back()
+        left.append(trimmed())
+        for d in made[::10]:
+            d.end()
+    tables.drop_all()
+    assert left[0] > 25 and max(left[1:]) < 10, left
