@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import queries
 from lectern.functions import alignment, morphology
 from lectern.functions import text as tx
 from lectern.operators import activity, changes, layout, ranges, study
@@ -81,6 +82,37 @@ def test_open_ends(spark):
     assert ranges.point_join(points.limit(0), "p", spans, "a", "b", 4).collect() == []
 
 
+def test_point_pairs(spark, monkeypatch):
+    """The rows of point_join, copies of rows and open ends included, whatever the cells; one bin is dealt out over tasks by its pairs."""
+    points = spark.createDataFrame([(i % 97, i % 7 / 2) for i in range(600)] + [(600, None), (601, 40.5), (602, -3.0), (603, -3.0)], "id long, p double")
+    spans = spark.createDataFrame([(i % 50, None if i % 11 == 0 else i % 5 - 1.0, None if i % 13 == 0 else i % 4 + 0.5) for i in range(400)] + [(400, 41.0, 50.0), (401, 2.0, 1.0)], "k long, a double, b double")
+    want = rows(ranges.point_join(points, "p", spans, "a", "b", 4), "id", "p", "k", "a", "b")
+    assert len(want) > 100_000
+    for cell, run, most in ((1 << 13, 168, 1 << 13), (64, 168, 3), (64, 16, 1 << 13)):
+        monkeypatch.setattr(ranges, "CELL", cell)
+        monkeypatch.setattr(ranges, "TASK", 4096)
+        monkeypatch.setattr(ranges, "RUN", run)
+        monkeypatch.setattr(ranges, "MOST", most)
+        got = ranges.point_pairs(points, "p", spans, "a", "b", 4)
+        assert got.columns == ["id", "p", "k", "a", "b"]
+        assert rows(got, "id", "p", "k", "a", "b") == want
+    made = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(made) > 10
+    assert max(made) < 0.3 * len(want)
+    assert ranges.point_pairs(points.limit(0), "p", spans, "a", "b", 4).collect() == []
+    assert ranges.point_pairs(points, "p", spans.limit(0), "a", "b", 4).collect() == []
+
+
+def test_range_point_join_stays_small(spark, tmp_path):
+    """A day with 5,000 events and 3,000 orders' spans: 15 million pairs take a fifth of a byte each at most."""
+    day = F.to_timestamp(F.lit("2024-01-10"))
+    spark.range(5000).select(F.col("id").alias("event_id"), day.alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(3000).select(((F.xxhash64("id") % 1_000_000) * 10).alias("o_orderkey"), F.date_sub(day, 9001).cast("timestamp").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    queries.QUERIES["range_point_join"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 15_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 3_000_000
+
+
 def test_changes(spark):
     log = spark.createDataFrame([(1, 1, "U", "a"), (1, 2, "U", "b"), (2, 1, "U", "c"), (2, 3, "D", None)], "k long, ts long, op string, v string")
     assert rows(changes.latest(log, ["k"]), "k") == [(1, 2, "b")]
